@@ -20,6 +20,7 @@ from grainwise.bindings.tables import (
     Star,
 )
 from grainwise.functions.classify import first_match, star_sentiment
+from grainwise.functions.money import exact_total, in_units
 from grainwise.functions.temporal import parse_timestamp
 from grainwise.functions.text import collapse_whitespace
 from grainwise.operators import agreement as ag
@@ -77,21 +78,23 @@ def parse_ts_coerce(t: Star) -> DataFrame:
 
 @query
 def item_grain(t: Star) -> DataFrame:
-    return od.item_grain(t.lines()).withColumns(
+    return grain.to_parent_grain(t.lines(), "order_id", t.item_measures()).withColumns(
         {c: F.col(c).cast("double") for c in ("order_product_revenue", "order_freight")}
     )
 
 
 @query
 def payment_grain(t: Star) -> DataFrame:
-    return od.payment_grain(t.payments(), "customer_id").withColumn(
-        "order_payment_total", F.col("order_payment_total").cast("double")
-    )
+    measures = od.payment_measures(exact_total(F.col("payment_cents")), F.col("payment_installments"))
+    main = F.max_by("payment_type", F.struct("payment_cents", "payment_sequential"))
+    grained = grain.to_parent_grain(t.payments(), "customer_id", {**measures, "main_payment_type": main})
+    return grained.withColumn("order_payment_total", F.col("order_payment_total").cast("double"))
 
 
 @query
 def dominant_payment(t: Star) -> DataFrame:
-    return od.main_payment_type(t.payments(), "customer_id")
+    by = ["payment_cents", "payment_sequential"]
+    return grain.dominant_attribute(t.payments(), "customer_id", "payment_type", by, "main_payment_type")
 
 
 @query
@@ -129,7 +132,7 @@ def category_map(t: Star) -> DataFrame:
 
 @query
 def items_with_category(t: Star) -> DataFrame:
-    items = t.lines().select("order_id", "order_item_id", "product_id", F.col("price").cast("double").alias("price"))
+    items = t.lines().select("order_id", "order_item_id", "product_id", (F.col("price_cents") / 100).alias("price"))
     return od.items_with_category(items, category_map(t))
 
 
@@ -138,7 +141,7 @@ def items_with_category(t: Star) -> DataFrame:
 
 def _fan_out(t: Star) -> DataFrame:
     people = t.raw("customer").select(F.col("c_custkey").alias("customer_id"))
-    return grain.fan_out_by_key(people, t.order_totals(), t.purchases(), "customer_id", "price", "payment_value")
+    return grain.fan_out_by_key(people, t.order_totals(), t.purchases(), "customer_id", "price_cents", "payment_cents")
 
 
 def _fan_out_totals(t: Star) -> DataFrame:
@@ -230,8 +233,8 @@ def score_by_status(t: Star) -> DataFrame:
 @query
 def signal_value_vs_payment(t: Star) -> DataFrame:
     sources = {
-        "items": (t.order_totals(), {"value": F.col("price")}),
-        "payments": (t.payments(), {"paid": F.col("payment_value")}),
+        "items": (t.order_totals(), {"value": F.col("price_cents")}),
+        "payments": (t.payments(), {"paid": F.col("payment_cents")}),
     }
     return out.value_against_paid(grain.cogroup_counts("customer_id", sources), "value", "paid")
 
@@ -251,7 +254,13 @@ def kpi_summary(t: Star) -> DataFrame:
 
 @query
 def dashboard_kpi(t: Star) -> DataFrame:
-    return out.dashboard_kpi(t.order_grain(), t.lines(), t.customers())
+    return out.dashboard_kpi(
+        t.order_grain(),
+        t.lines().agg(
+            F.sum(in_units(F.col("price_cents"))).alias("gmv"), F.sum(in_units(F.col("freight_units"), 4)).alias("freight")
+        ),
+        t.customers(),
+    )
 
 
 @query
@@ -263,7 +272,7 @@ def text_coverage(t: Star) -> DataFrame:
 
 
 def _category_revenue(t: Star, how: str = "left") -> DataFrame:
-    return out.revenue_by_category(t.lines(), category_map(t), "price", how)
+    return out.revenue_by_category(t.lines(), category_map(t), exact_total(F.col("price_cents")), how)
 
 
 def _states(t: Star) -> DataFrame:
@@ -308,7 +317,7 @@ def concentration_topn(t: Star) -> DataFrame:
 
 @query
 def payment_mix(t: Star) -> DataFrame:
-    return out.payment_mix(t.payments())
+    return out.payment_mix(t.payments(), F.sum(in_units(F.col("payment_cents"))))
 
 
 # --- people -----------------------------------------------------------------------------------------------
@@ -385,7 +394,7 @@ def invalid_values(t: Star) -> DataFrame:
     return quality.conditional_counts(
         t.payments(),
         {
-            "nonpositive_value": F.col("payment_value") <= 0,
+            "nonpositive_value": F.col("payment_cents") <= 0,
             "not_defined_type": F.col("payment_type") == "error",
         },
     )

@@ -354,10 +354,10 @@ FROM m JOIN ty ON ty.p_brand = m.p_brand JOIN nm ON nm.p_brand = m.p_brand""",
     "items_with_category": f"WITH {LINES}, {CATEGORY} SELECT order_id, item_id AS order_item_id, lines.product_id AS product_id, "
     "CAST(price AS DOUBLE) AS price, coalesce(category_en, 'unknown') AS category_en "
     "FROM lines LEFT JOIN cat ON cat.product_id = lines.product_id",
-    "fanout_naive": f"WITH {NAIVE} SELECT naive_rows, CAST(round(np, 2) AS DOUBLE) AS naive_revenue, "
+    "fanout_naive": f"WITH {NAIVE} SELECT CAST(naive_rows AS DECIMAL(38,0)) AS naive_rows, CAST(round(np, 2) AS DOUBLE) AS naive_revenue, "
     "CAST(round(nc, 2) AS DOUBLE) AS naive_cash, nk AS naive_orders, round(CAST(np AS DOUBLE) / nk, 2) AS naive_aov FROM tot",
     "fanout_algebraic": f"WITH {NAIVE} SELECT customer_id, count(DISTINCT o_orderkey) AS n_items, "
-    "count(DISTINCT event_id) AS n_payments, count(*) AS naive_rows, CAST(sum(price) AS DOUBLE) AS naive_revenue, "
+    "count(DISTINCT event_id) AS n_payments, CAST(count(*) AS DECIMAL(38,0)) AS naive_rows, CAST(sum(price) AS DOUBLE) AS naive_revenue, "
     "CAST(sum(paid) AS DOUBLE) AS naive_cash FROM naive GROUP BY 1",
     "fanout_reconciliation": f"""WITH {NAIVE}, pairs AS (
   SELECT 'Join rows used for revenue' AS metric, CAST(naive_rows AS DOUBLE) AS a, CAST(ready_rows AS DOUBLE) AS b FROM tot, good

@@ -149,7 +149,7 @@ def expectations(t: Star) -> DataFrame:
         orders.agg(missing.alias("missing_order_fields")),
         integrity(t).select(*ORPHANS, "orders_without_items"),
         grain,
-        t.payments().agg(count_true(F.col("payment_value") <= 0).alias("nonpositive_payments")),
+        t.payments().agg(count_true(F.col("payment_cents") <= 0).alias("nonpositive_payments")),
     ]
     return quality.expectation_register(union_all([_as_metrics(m) for m in measured]), EXPECTED)
 
@@ -191,7 +191,7 @@ def dq_register(t: Star) -> DataFrame:
     category = F.col("product_category_name")
     unmapped = t.products().filter(category.isNotNull() & ~category.isin(list(CATEGORY_LOOKUP)))
     payments = t.payments().agg(
-        count_true(F.col("payment_value") <= 0).alias("value"),
+        count_true(F.col("payment_cents") <= 0).alias("value"),
         count_true(F.col("payment_type") == "error").alias("type"),
     )
     links = integrity(t).select(

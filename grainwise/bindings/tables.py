@@ -7,10 +7,11 @@ the aggregates and columns that a product does not use.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainwise.functions.classify import first_match
+from grainwise.functions.money import cents, exact_total
 from grainwise.operators.frames import inline_table
 from grainwise.operators.grain import attach, to_parent_grain
 from grainwise.plans.orders import derive_order_fields, item_measures, review_measures
@@ -46,7 +47,7 @@ class Star:
         )
 
     def lines(self) -> DataFrame:
-        price = F.col("l_extendedprice").cast("decimal(12,2)")
+        price = cents(F.col("l_extendedprice"))
         message = F.when(F.col("l_returnflag") == "R", F.col("l_returnflag"))
         title = F.when(F.col("l_linestatus") == "O", F.col("l_linestatus"))
         return self.raw("lineitem").select(
@@ -54,21 +55,30 @@ class Star:
             F.col("l_linenumber").alias("order_item_id"),
             F.col("l_partkey").alias("product_id"),
             F.col("l_suppkey").alias("seller_id"),
-            price.alias("price"),
-            (price * F.col("l_tax").cast("decimal(4,2)")).alias("freight_value"),
+            price.alias("price_cents"),
+            (price * cents(F.col("l_tax"))).alias("freight_units"),  # ten-thousandths
             F.expr("1 + (cast(l_quantity as int) - 1) div 10").alias("review_score"),
             message.alias("review_comment_message"),
             title.alias("review_comment_title"),
             F.col("l_shipdate").alias("shipped"),
         )
 
+    @staticmethod
+    def item_measures() -> dict[str, Column]:
+        return item_measures(
+            exact_total(F.col("price_cents")),
+            exact_total(F.col("freight_units"), 4),
+            F.col("order_item_id"),
+            F.col("seller_id"),
+        )
+
     def order_children(self) -> DataFrame:
         score = F.col("review_score")
         return to_parent_grain(
             self.lines(),
             "order_id",
             {
-                **item_measures(F.col("price"), F.col("freight_value"), F.col("order_item_id"), F.col("seller_id")),
+                **self.item_measures(),
                 **review_measures(score, F.col("review_comment_message").isNotNull()),
                 "review_total": F.sum(score),
                 "review_squares": F.sum(score * score),
@@ -105,7 +115,7 @@ class Star:
             F.col("event_id").alias("payment_sequential"),
             F.col("event_type").alias("payment_type"),
             F.hour("ts").alias("payment_installments"),
-            F.col("value").cast("decimal(12,2)").alias("payment_value"),
+            cents(F.col("value")).alias("payment_cents"),
         )
 
     def purchases(self) -> DataFrame:
@@ -114,7 +124,7 @@ class Star:
     def order_totals(self) -> DataFrame:
         """Orders as the item-like child of a customer."""
         return self.raw("orders").select(
-            F.col("o_custkey").alias("customer_id"), F.col("o_totalprice").cast("decimal(12,2)").alias("price")
+            F.col("o_custkey").alias("customer_id"), cents(F.col("o_totalprice")).alias("price_cents")
         )
 
     def products(self) -> DataFrame:

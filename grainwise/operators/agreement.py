@@ -17,6 +17,7 @@ from grainwise.functions.stats import count_true, percent, ratio, wilson_bounds
 from grainwise.functions.text import hash_prefix, sample_hash
 from grainwise.operators.frames import long_form
 from grainwise.operators.rank import order_statistics
+from grainwise.session import cut_lineage
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -151,22 +152,36 @@ def subgroup_against_base(df: DataFrame, subgroup: Column, measures: Mapping[str
     return df.agg(*aggs)
 
 
-def reproducible_sample(df: DataFrame, row_id: str, size: int, seed: int) -> DataFrame:
-    """Exactly ``size`` rows in the order of a seeded hash, with a dense ``idx`` from 0.
-
-    The hash of the ``size``-th row is found first, from ids alone, and used as a
-    filter; only the rows below it are then ordered. A plain top-k would send
-    ``size`` whole rows per input partition to one task.
+def reproducible_sample(
+    df: DataFrame, row_id: str, size: int, seed: int, eligible: Column | None = None
+) -> DataFrame:
+    """Exactly ``size`` rows (or all) in the order of a seeded hash, with a dense ``idx``.
+
+    ``row_id`` is unique. A plain top-k would send ``size`` whole rows per input
+    partition to one task. Here the hash of a row somewhat beyond the ``size``-th is
+    located from the ids alone and used as a filter, so the wide columns are scanned
+    once and only the few rows below it are ordered. ``eligible`` may need the wide
+    columns; when too few of the rows below the cut pass it, the cut moves up until
+    enough do or every row has been considered.
     """
     digest = sample_hash(seed, F.col(row_id))
     hashed = df.withColumn("_digest", digest).withColumn("_prefix", hash_prefix(F.col("_digest")))
-    cut = order_statistics(
-        hashed.select("_prefix"), F.col("_prefix"), lambda n: {"cut": F.least(F.lit(size), n)}
-    ).select("cut")
-    drawn = (
-        hashed.filter(F.col("_prefix") <= cut.scalar()).orderBy("_digest", row_id).limit(size)
-    )
+    reach = size if eligible is None else 4 * size + 64
+    while True:
+        cut = order_statistics(
+            hashed.select("_prefix"),
+            F.col("_prefix"),
+            lambda n, r=reach: {"cut": F.least(F.lit(r).cast("bigint"), n)},
+        )
+        near = hashed.filter(F.col("_prefix") <= cut.select("cut").scalar())
+        if eligible is None:
+            break
+        near = cut_lineage(near.filter(eligible))
+        if near.count() >= size or reach >= df.count():
+            break
+        reach *= 4
     order = Window.orderBy("_digest", row_id)
+    drawn = near.orderBy("_digest", row_id).limit(size)
     return drawn.withColumn("idx", F.row_number().over(order) - 1).drop("_digest", "_prefix")
 
 

@@ -7,8 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainwise.operators.frames import long_form, union_all
+from grainwise.functions.money import in_units
 from grainwise.functions.stats import count_true, money, percent, ratio
+from grainwise.operators.frames import long_form, union_all
 
 
 def to_parent_grain(child: DataFrame, key: str, measures: Mapping[str, Column]) -> DataFrame:
@@ -105,36 +106,39 @@ def cogroup_counts(key: str, sources: Mapping[str, tuple[DataFrame, Mapping[str,
 
 
 def fan_out_by_key(
-    parents: DataFrame, items: DataFrame, payments: DataFrame, key: str, price: str, paid: str
+    parents: DataFrame, items: DataFrame, payments: DataFrame, key: str, price_units: str, paid_units: str
 ) -> DataFrame:
     """What ``parents x items x payments`` would produce per key, without producing it.
 
     Joining on the key repeats each price once per payment row and each payment
     once per item row, so the totals follow from the per-key counts and sums.
     """
-    return cogroup_counts(
+    per_key = cogroup_counts(
         key,
         {
             "parents": (parents, {}),
-            "items": (items, {"revenue": F.col(price)}),
-            "payments": (payments, {"cash": F.col(paid)}),
+            "items": (items, {"revenue": F.col(price_units)}),
+            "payments": (payments, {"cash": F.col(paid_units)}),
         },
     )
+    return per_key.withColumns({c: in_units(F.col(c)) for c in ("revenue", "cash")})
 
 
-def _naive(per_key: DataFrame) -> dict[str, Column]:
-    n_p, n_i, n_y = F.col("n_parents"), F.col("n_items"), F.col("n_payments")
-    wide = "decimal(20,0)"
+def _naive() -> dict[str, Column]:
+    """Naive rows and totals of one key. A hot key times a hot key exceeds BIGINT, so
+    the products are decimals."""
+    wide = lambda c: F.col(c).cast("decimal(20,0)")
+    n_p, n_i, n_y = wide("n_parents"), wide("n_items"), wide("n_payments")
     return {
-        "naive_rows": n_p * n_i * n_y,
-        "naive_revenue": F.col("revenue") * (n_p * n_y).cast(wide),
-        "naive_cash": F.col("cash") * (n_p * n_i).cast(wide),
+        "naive_rows": (n_p * n_i * n_y).cast("decimal(38,0)"),
+        "naive_revenue": F.col("revenue") * (n_p * n_y).cast("decimal(38,0)"),
+        "naive_cash": F.col("cash") * (n_p * n_i).cast("decimal(38,0)"),
     }
 
 
 def fan_out_contribution(per_key: DataFrame, key: str) -> DataFrame:
     """Naive rows and totals of every key the naive join would keep."""
-    naive = _naive(per_key)
+    naive = _naive()
     matched = (F.col("n_parents") > 0) & (F.col("n_items") > 0) & (F.col("n_payments") > 0)
     return per_key.filter(matched & F.col(key).isNotNull()).select(
         key,
@@ -148,7 +152,7 @@ def fan_out_contribution(per_key: DataFrame, key: str) -> DataFrame:
 
 def fan_out_totals(per_key: DataFrame, key: str) -> DataFrame:
     """Naive and grain-correct totals in one aggregate row."""
-    naive = _naive(per_key)
+    naive = _naive()
     matched = (
         (F.col("n_parents") > 0)
         & (F.col("n_items") > 0)
@@ -157,12 +161,12 @@ def fan_out_totals(per_key: DataFrame, key: str) -> DataFrame:
     )
     with_items = (F.col("n_parents") > 0) & (F.col("n_items") > 0) & F.col(key).isNotNull()
     return per_key.agg(
-        F.coalesce(F.sum(F.when(matched, naive["naive_rows"])), F.lit(0)).alias("naive_rows"),
+        F.coalesce(F.sum(F.when(matched, naive["naive_rows"])), F.lit(0)).cast("decimal(38,0)").alias("naive_rows"),
         F.sum(F.when(matched, naive["naive_revenue"])).alias("naive_revenue"),
         F.sum(F.when(matched, naive["naive_cash"])).alias("naive_cash"),
         count_true(matched).alias("naive_orders"),
         F.coalesce(F.sum(F.when(with_items, F.col("n_parents"))), F.lit(0)).alias("ready_rows"),
-        F.sum(F.when(with_items, F.col("n_parents") * F.col("revenue"))).alias("ready_revenue"),
+        F.sum(F.when(with_items, F.col("n_parents").cast("decimal(20,0)") * F.col("revenue"))).alias("ready_revenue"),
         F.sum("revenue").alias("all_revenue"),
         F.sum("cash").alias("ready_cash"),
         count_true(with_items).alias("ready_orders"),

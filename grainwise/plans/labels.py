@@ -21,7 +21,7 @@ def draw_sample(
     texts: DataFrame, row_id: str, text: str, size: int, gold: int, seeds: tuple[int, int] = (42, 43)
 ) -> DataFrame:
     """Seeded sample of rows that have text, a flagged nested sample, normalised text."""
-    sample = ag.reproducible_sample(texts.filter(F.col(text).isNotNull()), row_id, size, seeds[0])
+    sample = ag.reproducible_sample(texts, row_id, size, seeds[0], F.col(text).isNotNull())
     flagged = ag.nested_sample(sample, gold, seeds[1], "in_gold")
     return flagged.withColumn("text", collapse_whitespace(F.col(text)))
 

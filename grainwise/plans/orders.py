@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainwise.functions.classify import category_label, rfm_segment
+from grainwise.functions.money import exact_total, minor_units
 from grainwise.functions.temporal import elapsed_days, whole_days, year_month
 from grainwise.operators.grain import attach, dedupe_dimension, dominant_attribute, to_parent_grain
 from grainwise.operators.rank import global_rank, quantile_bin
@@ -25,18 +26,19 @@ PURCHASED, DELIVERED, PROMISED = (
 )
 
 
-def item_measures(price: Column, freight: Column, item_id: Column, seller: Column) -> dict[str, Column]:
+def item_measures(revenue: Column, freight: Column, item_id: Column, seller: Column) -> dict[str, Column]:
+    """``revenue`` and ``freight`` are aggregates, see :func:`exact_total`."""
     return {
-        "order_product_revenue": F.sum(price),
-        "order_freight": F.sum(freight),
+        "order_product_revenue": revenue,
+        "order_freight": freight,
         "n_items": F.count(item_id),
         "n_sellers": F.count_distinct(seller),
     }
 
 
-def payment_measures(value: Column, installments: Column) -> dict[str, Column]:
+def payment_measures(total: Column, installments: Column) -> dict[str, Column]:
     return {
-        "order_payment_total": F.sum(value),
+        "order_payment_total": total,
         "n_payments": F.count("*"),
         "n_installments": F.max(installments),
     }
@@ -51,13 +53,20 @@ def review_measures(score: Column, has_text: Column) -> dict[str, Column]:
 
 
 def item_grain(items: DataFrame, key: str = "order_id") -> DataFrame:
-    measures = item_measures(F.col("price"), F.col("freight_value"), F.col("order_item_id"), F.col("seller_id"))
+    measures = item_measures(
+        exact_total(minor_units(F.col("price"))),
+        exact_total(minor_units(F.col("freight_value"))),
+        F.col("order_item_id"),
+        F.col("seller_id"),
+    )
     return to_parent_grain(items, key, measures)
 
 
 def payment_grain(payments: DataFrame, key: str = "order_id") -> DataFrame:
     """Payments per parent with the type of the largest one, in a single aggregate."""
-    measures = payment_measures(F.col("payment_value"), F.col("payment_installments"))
+    measures = payment_measures(
+        exact_total(minor_units(F.col("payment_value"))), F.col("payment_installments")
+    )
     main = F.max_by("payment_type", F.struct("payment_value", "payment_sequential"))
     return to_parent_grain(payments, key, {**measures, "main_payment_type": main})
 

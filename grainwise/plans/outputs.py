@@ -195,9 +195,10 @@ def score_by_status(per_parent: DataFrame, status: str, delivered_status: str, t
 # --- concentration ------------------------------------------------------------
 
 
-def revenue_by_category(items: DataFrame, categories: DataFrame, price: str, how: str) -> DataFrame:
-    """Exact revenue per category; items are summed per product before the lookup join."""
-    per_product = items.groupBy("product_id").agg(F.sum(price).alias("_revenue"))
+def revenue_by_category(items: DataFrame, categories: DataFrame, revenue: Column, how: str) -> DataFrame:
+    """Revenue per category. ``revenue`` is an aggregate; it is taken per product first,
+    so the lookup join sees one row per product."""
+    per_product = items.groupBy("product_id").agg(revenue.alias("_revenue"))
     joined = per_product.join(categories.select("product_id", "category_en"), "product_id", how)
     return joined.groupBy(F.coalesce("category_en", F.lit("unknown")).alias("category_en")).agg(
         F.sum("_revenue").alias("revenue")
@@ -268,7 +269,7 @@ def revenue_by_state(order_grain: DataFrame, customers: DataFrame) -> DataFrame:
     )
     where = customers.select("customer_id", "customer_unique_id", "customer_state")
     per_person = (
-        per_customer.join(where, "customer_id", "left")
+        per_customer.join(where, "customer_id")
         .filter(F.col("customer_state").isNotNull())
         .groupBy("customer_state", "customer_unique_id")
         .agg(F.sum("_rev").alias("_rev"), F.sum("_orders").alias("_orders"))
@@ -328,12 +329,12 @@ def repeat_summary(per_person: DataFrame) -> DataFrame:
     )
 
 
-def payment_mix(payments: DataFrame) -> DataFrame:
+def payment_mix(payments: DataFrame, total: Column) -> DataFrame:
     """Rows, share, mean installments and value per payment type."""
     grouped = payments.groupBy("payment_type").agg(
         F.count("*").alias("payment_rows"),
         F.round(F.avg("payment_installments"), 2).alias("avg_installments"),
-        money(F.sum("payment_value")).alias("total_value"),
+        money(total).alias("total_value"),
     )
     return grouped.withColumn("pct_rows", share_of_total(F.col("payment_rows")))
 
@@ -386,11 +387,12 @@ def kpi_summary(order_grain: DataFrame, per_person: DataFrame, reviews_text: Dat
     )
 
 
-def dashboard_kpi(order_grain: DataFrame, items: DataFrame, customers: DataFrame) -> DataFrame:
-    """Ten headline figures in one row; revenue and freight over all item rows."""
-    sold = items.agg(
-        money(F.sum("price")).alias("gmv"), money(F.sum("freight_value")).alias("freight")
-    )
+def dashboard_kpi(order_grain: DataFrame, sold: DataFrame, customers: DataFrame) -> DataFrame:
+    """Ten headline figures in one row.
+
+    ``sold`` is one row with ``gmv`` and ``freight`` over all item rows.
+    """
+    sold = sold.select(money(F.col("gmv")).alias("gmv"), money(F.col("freight")).alias("freight"))
     head = _headline(order_grain).select(
         F.col("net").alias("net_revenue_delivered"),
         F.col("orders").alias("total_orders"),
