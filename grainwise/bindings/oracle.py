@@ -213,12 +213,13 @@ def _expectations() -> str:
         f"SELECT '{name}' AS metric, CAST(({sql}) AS DOUBLE) AS actual" for name, sql in measured.items()
     )
     wanted = " UNION ALL ".join(
-        f"SELECT '{m}' AS metric, CAST({e} AS DOUBLE) AS expected, CAST({tol} AS DOUBLE) AS tolerance"
-        for m, e, tol in EXPECTED
+        f"SELECT '{e.check}' AS \"check\", '{e.metric}' AS metric, CAST({e.expected} AS DOUBLE) AS expected, "
+        f"CAST({e.tolerance} AS DOUBLE) AS tolerance"
+        for e in EXPECTED
     )
     return (
         f"WITH {GRAIN}, measured AS ({values}), wanted AS ({wanted}) "
-        "SELECT metric, expected, actual, tolerance, coalesce(abs(actual - expected) <= tolerance, FALSE) AS ok "
+        "SELECT \"check\", metric, expected, actual, tolerance, coalesce(abs(actual - expected) <= tolerance, FALSE) AS ok "
         "FROM wanted LEFT JOIN measured USING (metric)"
     )
 
@@ -244,10 +245,10 @@ def _dq_register() -> str:
         "RI-00": "SELECT (" + " + ".join(f"({s})" for s in _ORPHAN_SQL.values()) + ") || ' orphans'",
     }
     rows = []
-    for issue, area, severity, treatment, status in ISSUES:
+    for i in ISSUES:
         rows.append(
-            f"SELECT '{issue}' AS id, ({issues[issue]}) AS issue, '{area}' AS area, '{severity}' AS severity, "
-            f"'{treatment}' AS treatment, '{status}' AS status"
+            f"SELECT '{i.id}' AS id, ({issues[i.id]}) AS issue, '{i.area}' AS area, '{i.severity}' AS severity, "
+            f"'{i.treatment}' AS treatment, '{i.impact}' AS impact, '{i.status}' AS status"
         )
     return " UNION ALL ".join(rows)
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainwise.bindings.tables import CATEGORY_LOOKUP, DELIVERED_STATUS, REPEAT_MIN, Star
+from grainwise.bindings.tables import CATEGORY_LOOKUP, DELIVERED_STATUS, QUALITY, REPEAT_MIN, Star
 from grainwise.functions.stats import count_true, ratio
 from grainwise.operators import agreement as ag
 from grainwise.operators import quality
-from grainwise.operators.frames import inline_table, long_form, side_by_side, union_all
+from grainwise.operators.frames import side_by_side, union_all
+from grainwise.plans.audit import as_metrics
 
 ALL_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -110,23 +111,19 @@ def integrity(t: Star) -> DataFrame:
     return side_by_side(*checked)
 
 
-def _as_metrics(one_row: DataFrame) -> DataFrame:
-    return long_form(one_row, {c: F.col(c).cast("double") for c in one_row.columns})
-
-
-# (metric, expected, tolerance); orders without items are a known gap and stay flagged
+# orders without items are a known gap and stay flagged, so does the unmeasured metric
 EXPECTED = [
-    ("nations", 25, 0),
-    ("regions", 5, 0),
-    ("order_key_duplicates", 0, 0),
-    ("label_key_duplicates", 0, 0),
-    ("missing_order_fields", 0, 0),
-    *[(name, 0, 0) for name in ORPHANS],
-    ("orders_without_items", 0, 0),
-    ("mean_review_score", 3.0, 0.1),
-    ("late_share", 0.42, 0.1),
-    ("nonpositive_payments", 0, 0),
-    ("not_measured", 1, 0),
+    quality.Expectation("table sizes", "nations", 25),
+    quality.Expectation("table sizes", "regions", 5),
+    quality.Expectation("unique keys", "order_key_duplicates", 0),
+    quality.Expectation("unique keys", "label_key_duplicates", 0),
+    quality.Expectation("complete orders", "missing_order_fields", 0),
+    *[quality.Expectation("referential integrity", name, 0) for name in ORPHANS],
+    quality.Expectation("orders have items", "orders_without_items", 0),
+    quality.Expectation("mean score", "mean_review_score", 3.0, 0.1),
+    quality.Expectation("late share", "late_share", 0.42, 0.1),
+    quality.Expectation("payments are positive", "nonpositive_payments", 0),
+    quality.Expectation("unmeasured", "not_measured", 1),
 ]
 
 
@@ -151,78 +148,96 @@ def expectations(t: Star) -> DataFrame:
         grain,
         t.payments().agg(count_true(F.col("payment_cents") <= 0).alias("nonpositive_payments")),
     ]
-    return quality.expectation_register(union_all([_as_metrics(m) for m in measured]), EXPECTED)
+    return quality.expectation_register(union_all([as_metrics(m) for m in measured]), EXPECTED)
 
 
-# Issue id, area, severity, treatment, status.
+# The issues, their wording, treatment and status.
 ISSUES = [
-    ("DQ-01", "Join grain", "High", "Aggregate children to parent grain before joining", "Resolved"),
-    ("DQ-02", "Duplicated dimension", "High", "Dedupe to one row per key (mean, mode)", "Resolved"),
-    ("DQ-03", "Identity", "High", "Key people on the person id", "Resolved"),
-    ("DQ-04", "Reviews", "Medium", "Scope text analysis to rows with text", "Resolved"),
-    ("DQ-05", "Orders", "Medium", "Exclude from delivery figures", "Resolved"),
-    ("DQ-06", "Products", "Medium", "Bucket missing categories as unknown", "Resolved"),
-    ("DQ-07", "Categories", "Low", "Add manual labels", "Resolved"),
-    ("DQ-08", "Payments", "Low", "Flag invalid payments", "Resolved"),
-    ("DQ-09", "Orphans", "Low", "Exclude from revenue", "Resolved"),
-    ("DQ-10", "Labels", "Medium", "Validate against a second annotator", "Validated"),
-    ("RI-00", "Referential integrity", "Info", "Anti-join checks", "Verified"),
+    quality.Issue(
+        "DQ-01", "Join grain", "%s parents with several items (max %s)", ("multi", "largest"),
+        "High", "Aggregate children to parent grain before joining", "Naive join inflates totals", "Resolved",
+    ),
+    quality.Issue(
+        "DQ-02", "Duplicated dimension", "%s rows for %s keys", ("rows", "distinct_keys"),
+        "High", "Dedupe to one row per key (mean, mode)", "Prevents join row explosion", "Resolved",
+    ),
+    quality.Issue(
+        "DQ-03", "Identity", "%s order ids collapse to %s people, %s of them repeat", ("orders", "people", "repeat"),
+        "High", "Key people on the person id", "Repeat rate is per person", "Resolved",
+    ),
+    quality.Issue(
+        "DQ-04", "Reviews", "message missing %s; title missing %s", ("message", "title"),
+        "Medium", "Scope text analysis to rows with text", "Text covers a subset", "Resolved",
+    ),
+    quality.Issue(
+        "DQ-05", "Orders", "%s orders not delivered", ("undelivered",),
+        "Medium", "Exclude from delivery figures", "Delivery figures use known dates", "Resolved",
+    ),
+    quality.Issue(
+        "DQ-06", "Products", "%s products without category", ("uncategorised",),
+        "Medium", "Bucket missing categories as unknown", "Pareto has an unknown bucket", "Resolved",
+    ),
+    quality.Issue(
+        "DQ-07", "Categories", "%s categories absent from lookup", ("unmapped",),
+        "Low", "Add manual labels", "Category totals reconcile", "Resolved",
+    ),
+    quality.Issue(
+        "DQ-08", "Payments", "%s payments not positive; %s of undefined type", ("nonpositive", "undefined"),
+        "Low", "Flag invalid payments", "Negligible effect on totals", "Resolved",
+    ),
+    quality.Issue(
+        "DQ-09", "Orphans", "%s orders without items; %s customers without payments",
+        ("orders_without_items", "customers_without_payments"),
+        "Low", "Exclude from revenue", "Revenue uses orders with items", "Resolved",
+    ),
+    quality.Issue(
+        "DQ-10", "Labels", "%s labels, %s match", ("n", "hits"),
+        "Medium", "Validate against a second annotator", "Agreement is reported", "Validated",
+    ),
+    quality.Issue(
+        "RI-00", "Referential integrity", "%s orphans", ("orphans",),
+        "Info", "Anti-join checks", "No orphans expected", "Verified",
+    ),
 ]
 
 
-def _issue(frame: DataFrame, issue_id: str, text: str, *columns: str) -> DataFrame:
-    values = [F.coalesce(F.col(c).cast("string"), F.lit("0")) for c in columns]
-    return frame.select(F.lit(issue_id).alias("id"), F.format_string(text, *values).alias("issue"))
-
-
 def dq_register(t: Star) -> DataFrame:
     """One row per issue with the measured extent, treatment and status."""
     families = t.raw("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")).agg(
         count_true(F.col("n") > 1).alias("multi"), F.max("n").alias("largest")
     )
     people = t.raw("orders").groupBy("o_custkey").agg(F.count("*").alias("n")).agg(
-        F.sum("n").alias("orders"), F.count("o_custkey").alias("people"), count_true(F.col("n") >= REPEAT_MIN).alias("repeat")
+        F.sum("n").alias("orders"),
+        F.count("o_custkey").alias("people"),
+        count_true(F.col("n") >= REPEAT_MIN).alias("repeat"),
     )
     reviews = t.lines().agg(
         count_true(F.col("review_comment_message").isNull()).alias("message"),
         count_true(F.col("review_comment_title").isNull()).alias("title"),
     )
-    undelivered = t.raw("orders").agg(count_true(F.col("o_orderstatus") != DELIVERED_STATUS).alias("n"))
     category = F.col("product_category_name")
-    unmapped = t.products().filter(category.isNotNull() & ~category.isin(list(CATEGORY_LOOKUP)))
+    unmapped = F.when(~category.isin(list(CATEGORY_LOOKUP)), category)
+    products = t.products().agg(
+        count_true(category.isNull()).alias("uncategorised"), F.count_distinct(unmapped).alias("unmapped")
+    )
     payments = t.payments().agg(
-        count_true(F.col("payment_cents") <= 0).alias("value"),
-        count_true(F.col("payment_type") == "error").alias("type"),
+        count_true(F.col("payment_cents") <= 0).alias("nonpositive"),
+        count_true(F.col("payment_type") == "error").alias("undefined"),
     )
     links = integrity(t).select(
-        "orders_without_items", "customers_without_payments", sum((F.col(c) for c in ORPHANS), F.lit(0)).alias("orphans")
+        "orders_without_items",
+        "customers_without_payments",
+        sum((F.col(c) for c in ORPHANS), F.lit(0)).alias("orphans"),
     )
-    labels = ag.agreement(t.classified(), "reference", "system", ["good", "poor"])
-    measured = union_all(
-        [
-            _issue(families, "DQ-01", "%s parents with several items (max %s)", "multi", "largest"),
-            _issue(
-                quality.duplication(t.raw("part"), "p_brand"), "DQ-02", "%s rows for %s keys", "rows", "distinct_keys"
-            ),
-            _issue(people, "DQ-03", "%s order ids collapse to %s people, %s of them repeat", "orders", "people", "repeat"),
-            _issue(reviews, "DQ-04", "message missing %s; title missing %s", "message", "title"),
-            _issue(undelivered, "DQ-05", "%s orders not delivered", "n"),
-            _issue(t.products().agg(count_true(category.isNull()).alias("n")), "DQ-06", "%s products without category", "n"),
-            _issue(
-                unmapped.agg(F.count_distinct("product_category_name").alias("n")), "DQ-07", "%s categories absent from lookup", "n"
-            ),
-            _issue(payments, "DQ-08", "%s payments not positive; %s of undefined type", "value", "type"),
-            _issue(
-                links, "DQ-09", "%s orders without items; %s customers without payments",
-                "orders_without_items", "customers_without_payments",
-            ),
-            _issue(labels, "DQ-10", "%s labels, %s match", "n", "hits"),
-            _issue(links, "RI-00", "%s orphans", "orphans"),
-        ]
+    measured = side_by_side(
+        families,
+        quality.duplication(t.raw("part"), "p_brand").select("rows", "distinct_keys"),
+        people,
+        reviews,
+        t.raw("orders").agg(count_true(F.col("o_orderstatus") != DELIVERED_STATUS).alias("undelivered")),
+        products,
+        payments,
+        links,
+        ag.agreement(t.classified(), "reference", "system", QUALITY).select("n", "hits"),
     )
-    return measured.join(_issue_texts(t), "id")
-
-
-def _issue_texts(t: Star) -> DataFrame:
-    columns = ["id", "area", "severity", "treatment", "status"]
-    return inline_table(t.spark, dict(zip(columns, (list(c) for c in zip(*ISSUES)))))
+    return quality.issue_register(measured, ISSUES)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainwise.functions.stats import count_true, percent, ratio
-from grainwise.operators.frames import inline_table, long_form, side_by_side, union_all
+from grainwise.operators.frames import inline_table, long_form, union_all
 from grainwise.operators.grain import cogroup_counts
 
 
@@ -115,21 +116,28 @@ def repeat_rate(per_person: DataFrame, frequency: str, repeat_min: int = 2) -> D
     )
 
 
-def expectation_register(
-    measured: DataFrame, expected: Sequence[tuple[str, float, float]]
-) -> DataFrame:
+class Expectation(NamedTuple):
+    """One measured value of a check; a check passes when all its values do."""
+
+    check: str
+    metric: str
+    expected: float
+    tolerance: float = 0.0
+
+
+def expectation_register(measured: DataFrame, expected: Sequence[Expectation]) -> DataFrame:
     """Expected against measured, exact or within a tolerance.
 
-    ``measured`` has columns ``metric`` and ``value``; ``expected`` lists
-    (metric, value, tolerance). An expectation without a measurement fails.
+    ``measured`` has columns ``metric`` and ``value``. An expectation without a
+    measurement fails.
     """
-    names, values, tolerances = zip(*expected)
     register = inline_table(
         measured.sparkSession,
         {
-            "metric": list(names),
-            "expected": [float(v) for v in values],
-            "tolerance": [float(t) for t in tolerances],
+            "check": [e.check for e in expected],
+            "metric": [e.metric for e in expected],
+            "expected": [float(e.expected) for e in expected],
+            "tolerance": [float(e.tolerance) for e in expected],
         },
     )
     within = F.abs(F.col("actual") - F.col("expected")) <= F.col("tolerance")
@@ -138,13 +146,45 @@ def expectation_register(
             measured.select("metric", F.col("value").cast("double").alias("actual")), "metric", "left"
         )
         .withColumn("ok", F.coalesce(within, F.lit(False)))
-        .select("metric", "expected", "actual", "tolerance", "ok")
+        .select("check", "metric", "expected", "actual", "tolerance", "ok")
     )
 
 
 def register_tally(register: DataFrame) -> DataFrame:
     """Passed and total checks."""
-    return register.agg(count_true(F.col("ok")).alias("passed"), F.count("*").alias("checks"))
+    per_check = register.groupBy("check").agg(F.bool_and("ok").alias("ok"))
+    return per_check.agg(count_true(F.col("ok")).alias("passed"), F.count("*").alias("checks"))
+
+
+class Issue(NamedTuple):
+    """A known data problem and how its extent is phrased from measured columns."""
+
+    id: str
+    area: str
+    text: str
+    columns: tuple[str, ...]
+    severity: str
+    treatment: str
+    impact: str
+    status: str
+
+
+def issue_register(measured: DataFrame, issues: Sequence[Issue]) -> DataFrame:
+    """One row per issue with its measured extent; ``measured`` is one wide row."""
+
+    def describe(issue: Issue) -> Column:
+        values = [F.coalesce(F.col(c).cast("string"), F.lit("0")) for c in issue.columns]
+        return F.struct(
+            F.lit(issue.area).alias("area"),
+            F.format_string(issue.text, *values).alias("issue"),
+            F.lit(issue.severity).alias("severity"),
+            F.lit(issue.treatment).alias("treatment"),
+            F.lit(issue.impact).alias("impact"),
+            F.lit(issue.status).alias("status"),
+        )
+
+    rows = long_form(measured, {i.id: describe(i) for i in issues}, "id", "row")
+    return rows.select("id", "row.*")
 
 
 def data_dictionary(
@@ -163,19 +203,3 @@ def data_dictionary(
         null_profile(tables).select("tbl", "field", "rows", "missing_pct"), ["tbl", "field"], "left"
     )
 
-
-__all__ = [
-    "children_profile",
-    "conditional_counts",
-    "data_dictionary",
-    "duplication",
-    "expectation_register",
-    "key_coverage",
-    "null_profile",
-    "register_tally",
-    "repeat_rate",
-    "row_counts",
-    "side_by_side",
-    "unmapped_values",
-    "value_mix",
-]

@@ -106,3 +106,20 @@ def sentiment_by_topic(
     df: DataFrame, topics: Sequence[str] = TOPICS, sentiments: Sequence[str] = SENTIMENTS
 ) -> DataFrame:
     return ag.crosstab(df, "topic", "sentiment", topics, sentiments)
+
+
+def review_sample(
+    reviews: DataFrame, orders_clean: DataFrame, size: int = 1000, gold: int = 200
+) -> DataFrame:
+    """Commented reviews with their delivery time, drawn reproducibly for labelling.
+
+    A review may cover several orders, so the pair of ids identifies the row.
+    """
+    keyed = reviews.withColumn("_row", F.concat_ws("|", "review_id", "order_id"))
+    drawn = draw_sample(keyed, "_row", "review_comment_message", size, gold)
+    # the sample has at most ``size`` rows, which bounds the broadcast
+    wanted = F.broadcast(drawn.select("order_id").distinct())
+    days = orders_clean.join(wanted, "order_id", "left_semi").select("order_id", "delivery_days")
+    return drawn.join(days, "order_id", "left").select(
+        "idx", "review_id", "order_id", "review_score", "delivery_days", "in_gold", "text"
+    )
