@@ -23,7 +23,7 @@ def money(total: Column, digits: int = 2) -> Column:
 
 def count_true(condition: Column) -> Column:
     """Rows for which the condition holds (null counts as not); 0 on empty input."""
-    return F.count(F.when(condition, 1))
+    return F.count_if(condition)
 
 
 def wilson_bounds(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:

@@ -16,6 +16,9 @@ from grainwise.sources.io import register_views, write_csv, write_table
 
 Tables = Mapping[str, DataFrame]
 
+# The order table is partitioned by month, which prunes date-bounded reads.
+PARTITIONING = {"orders_clean": ("purchase_ym",)}
+
 
 def cleaned_tables(t: Tables) -> dict[str, DataFrame]:
     """Tables at their proper grain, before the person table that needs the order grain."""
@@ -28,12 +31,19 @@ def cleaned_tables(t: Tables) -> dict[str, DataFrame]:
     }
 
 
-def fan_out(t: Tables) -> DataFrame:
-    """Naive and correct totals of orders x items x payments."""
+def valid_payments(payments: DataFrame) -> DataFrame:
+    """Payments with a positive value and a defined type."""
+    return payments.filter((F.col("payment_value") > 0) & (F.col("payment_type") != "not_defined"))
+
+
+def fan_out(t: Tables, *, exclude_invalid: bool = False) -> DataFrame:
+    """Naive and correct totals of orders x items x payments.
+
+    All payments count as cash unless ``exclude_invalid`` is set.
+    """
+    paid = valid_payments(t["order_payments"]) if exclude_invalid else t["order_payments"]
     items = t["order_items"].select("order_id", minor_units(F.col("price")).alias("price_cents"))
-    payments = t["order_payments"].select(
-        "order_id", minor_units(F.col("payment_value")).alias("payment_cents")
-    )
+    payments = paid.select("order_id", minor_units(F.col("payment_value")).alias("payment_cents"))
     per_key = fan_out_by_key(
         t["orders"].select("order_id"), items, payments, "order_id", "price_cents", "payment_cents"
     )
@@ -90,7 +100,7 @@ def build(spark: SparkSession, tables: Tables, target: str) -> dict[str, DataFra
 
     def materialise(name: str, df: DataFrame) -> DataFrame:
         path = os.path.join(clean_dir, name)
-        write_table(df, path)
+        write_table(df, path, PARTITIONING.get(name, ()))
         return spark.read.schema(df.schema).parquet(path)
 
     clean = {name: materialise(name, df) for name, df in cleaned_tables(tables).items()}

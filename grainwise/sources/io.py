@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,8 +52,14 @@ def write_csv(df: DataFrame, path: str, *, single_file: bool = False) -> None:
     out.write.mode("overwrite").options(**_CSV_WRITE).csv(path)
 
 
-def write_table(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+    """Parquet. With ``partition_by`` the rows are rebalanced on those columns first, so
+    each value lands in a few well-sized files and a hot value is split over tasks."""
+    if not partition_by:
+        df.write.mode("overwrite").parquet(path)
+        return
+    balanced = df.hint("rebalance", *[F.col(c) for c in partition_by])
+    balanced.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
 def write_labelling_text(sample: DataFrame, path: str) -> None:

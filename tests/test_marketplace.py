@@ -149,6 +149,12 @@ def test_reconciliation(t):
     assert got["AOV (BRL per order)"] == (naive_aov, half_up(gmv, len(with_items)))
 
 
+def test_invalid_payments_can_be_excluded(t):
+    every, valid = (marketplace.fan_out(t, exclude_invalid=x).first() for x in (False, True))
+    assert (every.naive_orders, valid.naive_orders) == (9, 8)  # o07 only has an undefined payment
+    assert every.ready_cash == valid.ready_cash  # of value zero
+
+
 def test_pareto_ties(spark):
     revenue = spark.createDataFrame(
         [("a", 50), ("b", 20), ("c", 20), ("d", 10)], "category_en string, r int"
