@@ -65,7 +65,7 @@ def src_csv_multiline(t: Star) -> DataFrame:
 
 @query
 def parse_ts_coerce(t: Star) -> DataFrame:
-    text = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
+    text = F.col("o_orderdate").cast("string")
     broken = first_match(
         [(F.col("o_orderstatus") == "P", F.concat(F.lit("n/a "), text)), (F.col("o_orderstatus") == "O", F.lit(""))],
         text,

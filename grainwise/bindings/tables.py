@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from grainwise.functions.classify import first_match
 from grainwise.functions.money import cents, exact_total
+from grainwise.functions.temporal import plus_days
 from grainwise.operators.frames import inline_table
 from grainwise.operators.grain import attach, to_parent_grain
 from grainwise.plans.orders import derive_order_fields, item_measures, review_measures
@@ -65,7 +66,7 @@ class Star:
             F.col("o_custkey").alias("customer_id"),
             F.col("o_orderstatus").alias("order_status"),
             F.col("o_orderdate").alias("order_purchase_timestamp"),
-            F.timestamp_add("DAY", days, F.col("o_orderdate")).alias("order_estimated_delivery_date"),
+            plus_days(F.col("o_orderdate"), days).alias("order_estimated_delivery_date"),
         )
 
     def lines(self) -> DataFrame:

@@ -1,4 +1,9 @@
-"""Time expressions for TIMESTAMP_NTZ columns."""
+"""Time expressions for TIMESTAMP_NTZ columns.
+
+They use interval arithmetic and casts only: functions such as ``timestamp_diff``,
+``timestamp_add`` and ``date_format`` read a zone-less value in the session time
+zone, so a daylight-saving change there would shift the result by an hour.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +20,8 @@ def parse_timestamp(text: Column) -> Column:
 
 def elapsed_micros(start: Column, end: Column) -> Column:
     """Exact elapsed time as BIGINT microseconds."""
-    return F.timestamp_diff("MICROSECOND", start, end)
+    seconds = (end - start).cast("interval second").cast("decimal(18,6)")
+    return (seconds * 1_000_000).cast("bigint")
 
 
 def elapsed_days(start: Column, end: Column) -> Column:
@@ -28,5 +34,10 @@ def whole_days(start: Column, end: Column) -> Column:
     return F.floor(elapsed_days(start, end)).cast("bigint")
 
 
+def plus_days(ts: Column, days: Column) -> Column:
+    return ts + F.make_dt_interval(days)
+
+
 def year_month(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM")
+    """``YYYY-MM`` of a timestamp."""
+    return F.substring(ts.cast("string"), 1, 7)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from grainwise.functions.classify import bucket_conditions, frequency_bucket, rfm_segment, star_sentiment
-from grainwise.functions.temporal import elapsed_days, parse_timestamp, whole_days
+from grainwise.functions.temporal import elapsed_days, elapsed_micros, parse_timestamp, plus_days, whole_days, year_month
 from grainwise.operators import quality
 
 
@@ -66,6 +66,22 @@ def test_time_functions(spark):
     assert tuple(got) == (1, -2, 26 / 24, None, "2018-01-02 03:04:05")
 
 
+def test_time_functions_ignore_the_session_zone(spark):
+    # this zone skips the hour after midnight of 1995-10-15
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+    try:
+        df = spark.sql("SELECT timestamp_ntz'1995-10-14 23:00:00' AS a, timestamp_ntz'1995-10-15 00:00:00' AS b")
+        got = df.select(
+            elapsed_micros(F.col("a"), F.col("b")),
+            plus_days(F.col("a"), F.lit(1)).cast("string"),
+            year_month(F.col("b")),
+            parse_timestamp(F.lit("1995-10-15 00:00:00")).cast("string"),
+        ).first()
+        assert tuple(got) == (3_600_000_000, "1995-10-15 23:00:00", "1995-10", "1995-10-15 00:00:00")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_rules(spark):
     scored = spark.createDataFrame(
         [(2, 1, 1), (1, 4, 4), (1, 5, 3), (1, 2, 4), (1, 1, 1), (1, 3, 5)], "f int, r int, m int"
