@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from grainwise.functions.stats import count_true, percent, ratio, wilson_bounds
 from grainwise.functions.text import hash_prefix, sample_hash
 from grainwise.operators.frames import long_form
-from grainwise.operators.rank import order_statistics
+from grainwise.operators.rank import count_values, order_statistics
 from grainwise.session import cut_lineage
 
 
@@ -169,8 +169,7 @@ def reproducible_sample(
     reach = size if eligible is None else 4 * size + 64
     while True:
         cut = order_statistics(
-            hashed.select("_prefix"),
-            F.col("_prefix"),
+            count_values(hashed, F.col("_prefix")),
             lambda n, r=reach: {"cut": F.least(F.lit(r).cast("bigint"), n)},
         )
         near = hashed.filter(F.col("_prefix") <= cut.select("cut").scalar())

@@ -54,36 +54,49 @@ def quantile_bin(rank: Column, n: Column, bins: int = 5) -> Column:
 _SHIFTS = (40, 20)  # bits dropped by the coarse and by the fine histogram
 
 
+def count_values(
+    df: DataFrame, value: Column, groups: Sequence[str] = (), totals: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """Rows per distinct value (and group), with further sums over the same rows.
+
+    This is the only pass over the data that quantiles need: one partial aggregate
+    and one shuffle. With ``totals`` the result is checkpointed, so a report of
+    quantiles and sums evaluates the joins behind ``df`` once. Rows without a value
+    count zero but enter the totals.
+    """
+    totals = totals or {}
+    counts = (
+        df.select(*groups, value.cast("bigint").alias("_v"), *[c.alias(n) for n, c in totals.items()])
+        .groupBy(*groups, "_v")
+        .agg(F.count("_v").alias("_n"), *[F.sum(n).alias(n) for n in totals])
+    )
+    return cut_lineage(counts) if totals else counts
+
+
 def order_statistics(
-    df: DataFrame,
-    value: Column,
+    counts: DataFrame,
     ranks: Callable[[Column], Mapping[str, Column]],
     groups: Sequence[str] = (),
     *,
     size: str = "n",
     groups_bounded: bool = False,
 ) -> DataFrame:
-    """Exact order statistics of an integer column, one row per group.
+    """Exact order statistics of counted integer values, one row per group.
 
-    ``ranks`` maps the group's row count to named 1-based ranks. The column is
-    counted per distinct value (partial aggregate, one shuffle) and the ranks are
-    located by refining histograms: high bits first, then the next 20 bits inside
-    the buckets that were hit, then single values. Each step orders at most 2**20
-    buckets of one rank, whatever the size or the skew of the data, whereas
+    ``counts`` comes from :func:`count_values`; ``ranks`` maps the group's row count
+    to named 1-based ranks; ``size`` names that row count in the result. The ranks
+    are located by refining histograms: high bits first, then the next 20 bits
+    inside the buckets that were hit, then single values. Each step orders at most
+    2**20 buckets of one rank, whatever the size or the skew of the data, whereas
     ``percentile`` would gather every distinct value of a group in one task. The
-    three steps read the same exchange of counts. ``size`` names the row count.
+    three steps read the same exchange.
 
     ``groups_bounded`` states that the groups are a fixed label set (or that there
     are none), which bounds the table of located buckets and lets it be broadcast.
     """
     groups = list(groups)
     hint = F.broadcast if (groups_bounded or not groups) else (lambda frame: frame)
-    counts = (
-        df.select(*groups, value.cast("bigint").alias("_v"))
-        .filter(F.col("_v").isNotNull())
-        .groupBy(*groups, "_v")
-        .agg(F.count("*").alias("_n"))
-    )
+    counts = counts.filter(F.col("_v").isNotNull()).select(*groups, "_v", "_n")
     carried = [*groups, "_total", "_q"]
 
     def locate(histogram: DataFrame, keys: list[str], targets: Column) -> DataFrame:
@@ -136,15 +149,10 @@ def order_statistics(
     )
 
 
-def exact_quantiles(
-    df: DataFrame,
-    value: Column,
-    probs: Mapping[str, float],
-    groups: Sequence[str] = (),
-    *,
-    groups_bounded: bool = False,
+def quantiles(
+    counts: DataFrame, probs: Mapping[str, float], groups: Sequence[str] = (), *, groups_bounded: bool = False
 ) -> DataFrame:
-    """Continuous quantiles (linear interpolation) of an integer column, per group."""
+    """Continuous quantiles (linear interpolation) of counted integer values, per group."""
 
     def neighbours(n: Column) -> dict[str, Column]:
         wanted = {}
@@ -153,9 +161,7 @@ def exact_quantiles(
             wanted[f"{name}_lo"], wanted[f"{name}_hi"] = F.floor(at) + 1, F.ceil(at) + 1
         return wanted
 
-    stats = order_statistics(
-        df, value, neighbours, groups, size="_size", groups_bounded=groups_bounded
-    )
+    stats = order_statistics(counts, neighbours, groups, size="_size", groups_bounded=groups_bounded)
     out = []
     for name, p in probs.items():
         at = (F.col("_size") - 1) * F.lit(p)
@@ -164,6 +170,18 @@ def exact_quantiles(
     return stats.select(*groups, *out)
 
 
+def exact_quantiles(
+    df: DataFrame,
+    value: Column,
+    probs: Mapping[str, float],
+    groups: Sequence[str] = (),
+    *,
+    groups_bounded: bool = False,
+) -> DataFrame:
+    """Continuous quantiles of an integer column, per group."""
+    return quantiles(count_values(df, value, groups), probs, groups, groups_bounded=groups_bounded)
+
+
 def share_of_total(measure: Column, digits: int | None = 2) -> Column:
     """Percentage of the column total; for tables that are already aggregated."""
     total = F.sum(measure).over(Window.partitionBy())

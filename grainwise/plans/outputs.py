@@ -17,7 +17,7 @@ from grainwise.functions.stats import (
 )
 from grainwise.functions.temporal import MICROS_PER_DAY, elapsed_micros
 from grainwise.operators.frames import long_form, side_by_side, union_all
-from grainwise.operators.rank import exact_quantiles, share_of_total
+from grainwise.operators.rank import count_values, quantiles, share_of_total
 from grainwise.plans.orders import DELIVERED, PURCHASED
 
 # Row labels of the published KPI and distribution tables.
@@ -91,14 +91,20 @@ def trend_peak(trend: DataFrame, min_orders: int = 50) -> DataFrame:
 # --- delivery ---------------------------------------------------------------
 
 
+def _flag(condition: Column) -> Column:
+    """1 where the condition holds, else 0; for sums."""
+    return F.when(condition, 1).otherwise(0).cast("bigint")
+
+
 def delivery_stats(order_grain: DataFrame) -> DataFrame:
     """Median and P90 delivery time with the on-time rate, orders with a delivery date."""
-    known = delivery_known(order_grain)
-    times = exact_quantiles(known, delivery_micros(), {"median_days": 0.5, "p90_days": 0.9})
+    totals = {"_known": F.lit(1).cast("bigint"), "_punctual": _flag(~F.col("is_late"))}
+    counts = count_values(delivery_known(order_grain), delivery_micros(), totals=totals)
+    times = quantiles(counts, {"median_days": 0.5, "p90_days": 0.9})
     times = times.select(*[F.round(in_days(F.col(c)), 2).alias(c) for c in times.columns])
-    punctual = known.agg(
-        percent(count_true(~F.col("is_late")), F.count("*")).alias("on_time_rate_pct"),
-        F.count("*").alias("delivered_with_dates"),
+    punctual = counts.agg(
+        percent(F.sum("_punctual"), F.sum("_known")).alias("on_time_rate_pct"),
+        F.coalesce(F.sum("_known"), F.lit(0)).alias("delivered_with_dates"),
     )
     return side_by_side(times, punctual)
 
@@ -122,17 +128,23 @@ def score_vs_delivery(order_grain: DataFrame) -> DataFrame:
     """Delivery by rounded score: half-even rounding, median, late rate among known."""
     scored = delivery_known(order_grain).filter(F.col("review_score").isNotNull())
     scored = scored.withColumn("score", F.bround("review_score", 0).cast("int"))
-    means = scored.groupBy("score").agg(
-        F.round(F.avg("delivery_days"), 2).alias("mean_delivery_days"),
-        F.round(100.0 * F.avg(F.col("is_late").cast("int")), 2).alias("late_rate"),
-        F.count("*").alias("n"),
+    late = F.col("is_late").cast("bigint")
+    totals = {"_rows": F.lit(1).cast("bigint"), "_late": late, "_dated": _flag(late.isNotNull())}
+    counts = count_values(scored, delivery_micros(), ["score"], totals)
+    elapsed = F.sum(F.col("_v").cast("decimal(20,0)") * F.col("_n"))
+    means = counts.groupBy("score").agg(
+        F.round(in_days(ratio(elapsed, F.sum("_n"))), 2).alias("mean_delivery_days"),
+        percent(F.sum("_late"), F.sum("_dated")).alias("late_rate"),
+        F.sum("_rows").alias("n"),
     )
     # scores are whole numbers from 1 to 5, so the grouped quantiles stay a handful
-    medians = exact_quantiles(
-        scored, delivery_micros(), {"median_delivery_days": 0.5}, ["score"], groups_bounded=True
-    ).select("score", F.round(in_days(F.col("median_delivery_days")), 2).alias("median_delivery_days"))
+    medians = quantiles(counts, {"_median": 0.5}, ["score"], groups_bounded=True)
     return means.join(medians, "score", "left").select(
-        "score", "mean_delivery_days", "median_delivery_days", "late_rate", "n"
+        "score",
+        "mean_delivery_days",
+        F.round(in_days(F.col("_median")), 2).alias("median_delivery_days"),
+        "late_rate",
+        "n",
     )
 
 
@@ -342,21 +354,32 @@ def payment_mix(payments: DataFrame, total: Column) -> DataFrame:
 # --- headline -----------------------------------------------------------------------
 
 
-def _headline(order_grain: DataFrame) -> DataFrame:
+def _headline(order_grain: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Counted delivery times and, from the same pass, the order-level headline row."""
     revenue, delivered = F.col("order_product_revenue"), F.col("delivered")
     known = F.col(DELIVERED).isNotNull()
-    n_delivered = count_true(delivered)
-    net = F.sum(F.when(delivered, revenue))
-    return order_grain.agg(
-        money(F.sum(F.when(F.col("has_items"), revenue))).alias("gmv"),
-        money(net).alias("net"),
-        money(F.sum(F.when(F.col("has_items"), F.col("order_freight")))).alias("freight"),
-        F.count("*").alias("orders"),
-        n_delivered.alias("delivered"),
-        percent(n_delivered, F.count("*")).alias("pct_delivered"),
-        F.round(ratio(net, n_delivered), 2).alias("aov"),
-        percent(count_true(known & ~F.col("is_late")), count_true(known)).alias("on_time"),
+    totals = {
+        "_gmv": F.when(F.col("has_items"), revenue),
+        "_net": F.when(delivered, revenue),
+        "_freight": F.when(F.col("has_items"), F.col("order_freight")),
+        "_orders": F.lit(1).cast("bigint"),
+        "_delivered": _flag(delivered),
+        "_known": _flag(known),
+        "_punctual": _flag(known & ~F.col("is_late")),
+    }
+    counts = count_values(order_grain, delivery_micros(), totals=totals)
+    sums = counts.agg(*[F.sum(c).alias(c) for c in totals])
+    row = sums.select(
+        money(F.col("_gmv")).alias("gmv"),
+        money(F.col("_net")).alias("net"),
+        money(F.col("_freight")).alias("freight"),
+        F.coalesce("_orders", F.lit(0)).alias("orders"),
+        F.coalesce("_delivered", F.lit(0)).alias("delivered"),
+        percent(F.col("_delivered"), F.col("_orders")).alias("pct_delivered"),
+        F.round(ratio(F.col("_net"), F.col("_delivered")), 2).alias("aov"),
+        percent(F.col("_punctual"), F.col("_known")).alias("on_time"),
     )
+    return counts, row
 
 
 def kpi_summary(order_grain: DataFrame, per_person: DataFrame, reviews_text: DataFrame, repeat_min: int = 2) -> DataFrame:
@@ -364,10 +387,8 @@ def kpi_summary(order_grain: DataFrame, per_person: DataFrame, reviews_text: Dat
 
     ``per_person`` needs a ``frequency`` column; ``reviews_text`` a boolean ``has_text``.
     """
-    head = _headline(order_grain)
-    times = exact_quantiles(
-        delivery_known(order_grain), delivery_micros(), {"median": 0.5, "p90": 0.9}
-    )
+    counts, head = _headline(order_grain)
+    times = quantiles(counts, {"median": 0.5, "p90": 0.9})
     persons = per_person.agg(
         F.count("*").alias("customers"),
         percent(count_true(F.col("frequency") >= repeat_min), F.count("*")).alias("repeat"),
@@ -393,7 +414,8 @@ def dashboard_kpi(order_grain: DataFrame, sold: DataFrame, customers: DataFrame)
     ``sold`` is one row with ``gmv`` and ``freight`` over all item rows.
     """
     sold = sold.select(money(F.col("gmv")).alias("gmv"), money(F.col("freight")).alias("freight"))
-    head = _headline(order_grain).select(
+    counts, head = _headline(order_grain)
+    head = head.select(
         F.col("net").alias("net_revenue_delivered"),
         F.col("orders").alias("total_orders"),
         F.col("delivered").alias("delivered_orders"),
@@ -401,9 +423,7 @@ def dashboard_kpi(order_grain: DataFrame, sold: DataFrame, customers: DataFrame)
         F.col("aov").alias("aov_net"),
         F.col("on_time").alias("on_time_rate"),
     )
-    median = exact_quantiles(delivery_known(order_grain), delivery_micros(), {"m": 0.5}).select(
-        F.round(in_days(F.col("m")), 2).alias("median_delivery_days")
-    )
+    median = quantiles(counts, {"m": 0.5}).select(F.round(in_days(F.col("m")), 2).alias("median_delivery_days"))
     persons = customers.agg(F.count_distinct("customer_unique_id").alias("unique_customers"))
     return side_by_side(sold, head, median, persons)
 

@@ -11,7 +11,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from grainwise.operators.rank import exact_quantiles, global_rank, order_statistics, quantile_bin
+from grainwise.operators.rank import count_values, exact_quantiles, global_rank, order_statistics, quantile_bin, quantiles
 
 
 def frame(spark, pdf, parts=4):
@@ -48,7 +48,7 @@ def test_quantile_bin_equals_interpolated_edges(spark):
 def test_order_statistics_property(spark, values):
     known = sorted(v for v in values if v is not None)
     df = spark.createDataFrame([(v,) for v in values], "v bigint")
-    got = order_statistics(df, F.col("v"), lambda n: {"first": F.lit(1), "mid": (n + 1) / 2, "last": n}).first()
+    got = order_statistics(count_values(df, F.col("v")), lambda n: {"first": F.lit(1), "mid": (n + 1) / 2, "last": n}).first()
     if not known:
         assert got["first"] is None
         return
@@ -72,3 +72,10 @@ def test_grouped_quantiles_with_a_hot_value(spark):
 def test_quantile_of_four(spark):
     df = spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "v int")
     assert exact_quantiles(df, F.col("v"), {"q": 0.9}).first().q == pytest.approx(3.7)
+
+
+def test_totals_include_rows_without_a_value(spark):
+    df = spark.createDataFrame([(1, 5), (3, 7), (None, 100)], "v int, w int")
+    counts = count_values(df, F.col("v"), totals={"w": F.col("w")})
+    assert counts.agg(F.sum("w")).first()[0] == 112
+    assert quantiles(counts, {"m": 0.5}).first().m == 2.0
