@@ -27,11 +27,17 @@ def draw_sample(
 
 
 def classified(sample: DataFrame, labels: DataFrame, gold: DataFrame, key: str = "idx") -> DataFrame:
-    """Sample with bulk and gold labels; the raw text is dropped before publication."""
-    second = gold.select(
+    """Sample with bulk and gold labels; the raw text is dropped before publication.
+
+    The sample has a fixed size, so its keys are broadcast to reduce both label tables
+    before the joins.
+    """
+    wanted = F.broadcast(sample.select(key))
+    first = labels.join(wanted, key, "left_semi")
+    second = gold.join(wanted, key, "left_semi").select(
         key, F.col("topic").alias("gold_topic"), F.col("sentiment").alias("gold_sentiment")
     )
-    return sample.join(labels, key, "left").join(second, key, "left").drop("text")
+    return sample.drop("text").join(first, key, "left").join(second, key, "left")
 
 
 def label_checks(labels: DataFrame, key: str = "idx") -> DataFrame:

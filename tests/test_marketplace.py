@@ -14,6 +14,7 @@ from grainwise.plans import audit, marketplace
 from grainwise.plans import orders as od
 from grainwise.plans import outputs as out
 from grainwise.plans.labels import review_sample
+from grainwise.plans.questions import QUESTIONS
 from grainwise.sources.io import land_marketplace, load_marketplace, write_csv
 from tests.miniature import ITEMS, ORDERS, PAYMENTS, tables
 
@@ -223,6 +224,66 @@ def test_views(spark, t):
     assert spark.sql("SELECT count(*) FILTER (WHERE delivered) AS n FROM order_grain").first().n == 8
 
 
+ANSWERS = {
+    "row_counts": [
+        ("category_translation", 2), ("customers", 12), ("geolocation", 5), ("order_items", 13), ("order_payments", 12),
+        ("order_reviews", 11), ("orders", 12), ("products", 6), ("sellers", 2),
+    ],
+    "missing_timestamps": [(0, 0, 4)],
+    "text_coverage": [(11, 7, 10, 4, 36.36)],
+    "missing_category": [(1, 6)],
+    "unmapped_categories": [("nova_categoria",), ("pc_gamer",)],
+    "geo_duplication": [(5, 2, 2.5)],
+    "multi_item_orders": [(2, 2)],
+    "multi_payment_orders": [(1, 3)],
+    "identity_collapse": [(12, 11)],
+    "repeat_rate": [(11, 1, 9.09)],
+    "invalid_payments": [(1, 1)],
+    "referential_integrity": [(1, 1, 1, 1)],
+    "childless_orders": [(2, 3)],
+    "status_mix": [
+        ("delivered", 8, 66.67), ("canceled", 1, 8.33), ("created", 1, 8.33), ("invoiced", 1, 8.33), ("shipped", 1, 8.33),
+    ],
+    "monthly_orders": [("2018-01", 9, 8, 205.75), ("2018-02", 1, 0, 10.0)],
+    "category_pareto": [
+        ("gaming_pc", 100.0, 46.57, 46.57, 1), ("toys", 65.0, 30.27, 76.83, 2), ("furniture", 30.5, 14.2, 91.04, 3),
+        ("unknown", 19.25, 8.96, 100.0, 4),
+    ],
+    "categories_for_80pct": [(3, 4)],
+    "delivery_stats": [(15.0, 47.9, 62.5, 8)],
+    "score_vs_delivery": [(1.0, 65.5, 100.0, 2), (3.0, 5.0, 0.0, 1), (4.0, 7.0, 0.0, 1), (5.0, 13.5, 0.0, 3)],
+    "repeat_behaviour": [("1", 10, 90.91, 86.21), ("2", 1, 9.09, 13.79)],
+    "state_concentration": [("RJ", 142.5, 66.05, 6), ("SP", 73.25, 33.95, 4)],
+    "raw_vs_ready": [(271.75, 216.75, 25.37, 261.25, 230.75)],
+}
+
+
+@pytest.mark.parametrize("name", sorted(QUESTIONS))
+def test_questions(t, name):
+    got = rows(QUESTIONS[name](t))
+    if name in ANSWERS:
+        assert got == ANSWERS[name]
+    else:
+        assert got
+
+
+def test_questions_are_complete():
+    assert len(QUESTIONS) == 29
+
+
+def test_dashboard_figures(t):
+    kpi = QUESTIONS["dashboard_kpi"](t).first()
+    # revenue and freight of all item rows, the orphan included
+    assert (kpi.gmv, kpi.freight, kpi.net_revenue_delivered) == (216.75, 21.01, 198.5)
+    assert (kpi.total_orders, kpi.delivered_orders, kpi.unique_customers) == (12, 8, 11)
+    assert (kpi.aov_net, kpi.median_delivery_days) == (24.81, 15.0)
+    assert [tuple(r) for r in QUESTIONS["dashboard_score_vs_delivery"](t).collect()] == [
+        (score, days, n) for score, days, _, n in ANSWERS["score_vs_delivery"]
+    ]
+    top = QUESTIONS["payment_mix"](t).first()
+    assert (top.payment_type, top.payment_rows, top.pct_rows, top.total_value) == ("debit_card", 1, 8.33, 110.0)
+
+
 def test_review_sample(t, oc):
     drawn = {r.idx: r for r in review_sample(t["order_reviews"], oc, size=3, gold=2).collect()}
     assert sorted(drawn) == [0, 1, 2] and sum(r.in_gold for r in drawn.values()) == 2
