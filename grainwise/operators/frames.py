@@ -35,4 +35,8 @@ def side_by_side(*one_row: DataFrame) -> DataFrame:
     aggregate, which needs no product of relations.
     """
     names = [c for frame in one_row for c in frame.columns]
-    return union_all(one_row).agg(*[F.max(c).alias(c) for c in names])
+    padded = [
+        frame.selectExpr(*[f"`{c}`" if c in frame.columns else f"NULL AS `{c}`" for c in names])
+        for frame in one_row
+    ]
+    return reduce(lambda a, b: a.union(b), padded).selectExpr(*[f"max(`{c}`) AS `{c}`" for c in names])

@@ -29,21 +29,15 @@ def null_profile(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Missing values per column: one pass and one aggregate row per table."""
     profiles = []
     for name, df in tables.items():
-        counted = df.agg(
-            F.count("*").alias("_rows"), *[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns]
-        )
-        present = {c: F.struct(F.col("_rows").alias("rows"), F.col(f"`{c}`").alias("present")) for c in df.columns}
-        missing = F.col("cell.rows") - F.col("cell.present")
+        counted = df.selectExpr("count(*) AS rows", *[f"count(`{c}`) AS `_{c}`" for c in df.columns])
+        cells = ", ".join(f"'{c}', `_{c}`" for c in df.columns)
         profiles.append(
-            long_form(counted, present, "field", "cell").select(
-                F.lit(name).alias("tbl"),
-                "field",
-                F.col("cell.rows").alias("rows"),
-                missing.alias("missing"),
-                percent(missing, F.col("cell.rows")).alias("missing_pct"),
-            )
+            counted.selectExpr(f"'{name}' AS tbl", "rows", f"stack({len(df.columns)}, {cells}) AS (field, present)")
         )
-    return union_all(profiles)
+    missing = F.col("rows") - F.col("present")
+    return union_all(profiles).select(
+        "tbl", "field", "rows", missing.alias("missing"), percent(missing, F.col("rows")).alias("missing_pct")
+    )
 
 
 def duplication(df: DataFrame, key: str) -> DataFrame:
