@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from grainwise.functions.stats import count_true, percent, ratio, wilson_bounds
 from grainwise.functions.text import hash_prefix, sample_hash
 from grainwise.operators.frames import long_form
-from grainwise.operators.rank import count_values, order_statistics
 from grainwise.session import cut_lineage
 
 
@@ -152,36 +151,42 @@ def subgroup_against_base(df: DataFrame, subgroup: Column, measures: Mapping[str
     return df.agg(*aggs)
 
 
+def _hash_cut(hashed: DataFrame, reach: int) -> str | None:
+    """Smallest five-digit hash prefix that covers ``reach`` rows; None when all are needed.
+
+    The histogram has at most 16**5 rows and is combined before the shuffle.
+    """
+    histogram = hashed.groupBy(hash_prefix(F.col("_digest")).alias("_b")).agg(F.count("*").alias("_n"))
+    upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    covered = histogram.withColumn("_upto", F.sum("_n").over(upto)).filter(F.col("_upto") >= reach)
+    return covered.agg(F.min("_b")).first()[0]
+
+
 def reproducible_sample(
     df: DataFrame, row_id: str, size: int, seed: int, eligible: Column | None = None
 ) -> DataFrame:
     """Exactly ``size`` rows (or all) in the order of a seeded hash, with a dense ``idx``.
 
     ``row_id`` is unique. A plain top-k would send ``size`` whole rows per input
-    partition to one task. Here the hash of a row somewhat beyond the ``size``-th is
-    located from the ids alone and used as a filter, so the wide columns are scanned
-    once and only the few rows below it are ordered. ``eligible`` may need the wide
-    columns; when too few of the rows below the cut pass it, the cut moves up until
-    enough do or every row has been considered.
+    partition to one task. Here a cut on the hash is located from the ids alone, so
+    the wide columns are scanned once and only the few rows below the cut are
+    ordered. ``eligible`` may need the wide columns; when too few of the rows below
+    the cut pass it, the cut moves up until enough do or every row was considered.
     """
-    digest = sample_hash(seed, F.col(row_id))
-    hashed = df.withColumn("_digest", digest).withColumn("_prefix", hash_prefix(F.col("_digest")))
+    hashed = df.withColumn("_digest", sample_hash(seed, F.col(row_id)))
     reach = size if eligible is None else 4 * size + 64
     while True:
-        cut = order_statistics(
-            count_values(hashed, F.col("_prefix")),
-            lambda n, r=reach: {"cut": F.least(F.lit(r).cast("bigint"), n)},
-        )
-        near = hashed.filter(F.col("_prefix") <= cut.select("cut").scalar())
+        cut = _hash_cut(hashed, reach)
+        near = hashed if cut is None else hashed.filter(hash_prefix(F.col("_digest")) <= cut)
         if eligible is None:
             break
         near = cut_lineage(near.filter(eligible))
-        if near.count() >= size or reach >= df.count():
+        if cut is None or near.count() >= size:
             break
         reach *= 4
     order = Window.orderBy("_digest", row_id)
     drawn = near.orderBy("_digest", row_id).limit(size)
-    return drawn.withColumn("idx", F.row_number().over(order) - 1).drop("_digest", "_prefix")
+    return drawn.withColumn("idx", F.row_number().over(order) - 1).drop("_digest")
 
 
 def nested_sample(sample: DataFrame, size: int, seed: int, flag: str) -> DataFrame:

@@ -85,11 +85,11 @@ def order_statistics(
 
     ``counts`` comes from :func:`count_values`; ``ranks`` maps the group's row count
     to named 1-based ranks; ``size`` names that row count in the result. The ranks
-    are located by refining histograms: high bits first, then the next 20 bits
-    inside the buckets that were hit, then single values. Each step orders at most
-    2**20 buckets of one rank, whatever the size or the skew of the data, whereas
-    ``percentile`` would gather every distinct value of a group in one task. The
-    three steps read the same exchange.
+    are located by refining histograms: high bits first (2**24 buckets at most, a
+    few hundred for durations within a decade), then the next 20 bits inside the
+    buckets that were hit, then single values, again 2**20 at most per rank. This
+    holds for any size and skew, whereas ``percentile`` would gather every distinct
+    value of a group in one task. The three steps read the same exchange.
 
     ``groups_bounded`` states that the groups are a fixed label set (or that there
     are none), which bounds the table of located buckets and lets it be broadcast.

@@ -211,8 +211,8 @@ def test_audit_register(t):
 
 def test_issue_register(t):
     got = {r.id: r.issue for r in audit.issue_register(t).collect()}
-    assert got["DQ-01"] == "2 orders multi-item (max 2); 1 multi-payment (max 3)"
-    assert got["RI-00"] == "items 1, payments 1, reviews 1 without order; items 1 without product"
+    assert got["DQ-01"] == "2 orders hold several items (max 2), 1 several payments (max 3)"
+    assert got["RI-00"] == "Without order: items 1, payments 1, reviews 1; items without product: 1"
 
 
 def test_views(spark, t):
