@@ -20,7 +20,7 @@ from grainwise.bindings.tables import (
     Star,
 )
 from grainwise.functions.classify import first_match, star_sentiment
-from grainwise.functions.money import exact_total, in_units
+from grainwise.functions.money import exact_total, wide_total
 from grainwise.functions.temporal import parse_timestamp
 from grainwise.functions.text import collapse_whitespace
 from grainwise.operators import agreement as ag
@@ -257,9 +257,9 @@ def dashboard_kpi(t: Star) -> DataFrame:
     return out.dashboard_kpi(
         t.order_grain(),
         t.lines().agg(
-            F.sum(in_units(F.col("price_cents"))).alias("gmv"), F.sum(in_units(F.col("freight_units"), 4)).alias("freight")
+            wide_total(F.col("price_cents")).alias("gmv"), wide_total(F.col("freight_units"), 4).alias("freight")
         ),
-        t.customers(),
+        t.raw("customer").select(F.col("c_custkey").alias("customer_unique_id")),
     )
 
 
@@ -317,7 +317,7 @@ def concentration_topn(t: Star) -> DataFrame:
 
 @query
 def payment_mix(t: Star) -> DataFrame:
-    return out.payment_mix(t.payments(), F.sum(in_units(F.col("payment_cents"))))
+    return out.payment_mix(t.payments(), wide_total(F.col("payment_cents")))
 
 
 # --- people -----------------------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from grainwise.functions.classify import bucket_conditions, frequency_bucket, rfm_segment, star_sentiment
+from grainwise.functions.money import cents, exact_total, minor_units, wide_total
 from grainwise.functions.temporal import elapsed_days, elapsed_micros, parse_timestamp, plus_days, whole_days, year_month
 from grainwise.operators import quality
 
@@ -82,6 +83,17 @@ def test_time_functions_ignore_the_session_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def test_money_totals_are_exact(spark):
+    df = spark.createDataFrame([(1.15,), (-2.30,), (0.07,), (None,)], "x double")
+    got = df.select(cents(F.col("x")).alias("c")).agg(exact_total(F.col("c")), wide_total(F.col("c"))).first()
+    assert [float(v) for v in got] == [-1.08, -1.08]
+    # the plain sum of these would exceed BIGINT
+    large = spark.range(4).select(F.lit(2**62 + 3).alias("c"))
+    assert int(large.agg(wide_total(F.col("c"), 0)).first()[0]) == 4 * (2**62 + 3)
+    text = spark.sql("SELECT cast('12.34' AS decimal(12,2)) AS d")
+    assert text.select(minor_units(F.col("d"))).first()[0] == 1234
+
+
 def test_rules(spark):
     scored = spark.createDataFrame(
         [(2, 1, 1), (1, 4, 4), (1, 5, 3), (1, 2, 4), (1, 1, 1), (1, 3, 5)], "f int, r int, m int"
