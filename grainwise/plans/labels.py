@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainwise.functions.classify import star_sentiment
 from grainwise.functions.stats import count_true, ratio, wilson_bounds
 from grainwise.functions.text import collapse_whitespace
 from grainwise.operators import agreement as ag
+from grainwise.sources.io import read_csv, write_csv
+from grainwise.sources.schemas import LABELS
 
 # The label sets of the classified reviews.
 TOPICS = ["delivery_shipping", "product_quality", "price_value", "customer_service", "other"]
@@ -48,6 +51,36 @@ def label_checks(labels: DataFrame, key: str = "idx") -> DataFrame:
     ).unpivot([], ["label_rows", "label_keys"], "metric", "value")
 
 
+def ingest_labels(spark: SparkSession, path: str, expected_rows: int) -> DataFrame:
+    """Read a label CSV and refuse it unless it has the expected number of unique keys."""
+    labels = read_csv(spark, path, LABELS)
+    found = {r.metric: int(r.value) for r in label_checks(labels).collect()}  # two figures
+    if found != {"label_rows": expected_rows, "label_keys": expected_rows}:
+        raise ValueError(f"expected {expected_rows} unique labels, found {found}")
+    return labels
+
+
+def build_labels(sample: DataFrame, bulk: DataFrame, gold: DataFrame, target: str) -> dict[str, DataFrame]:
+    """Write the classified sample without its text, and the label reports."""
+    path = os.path.join(target, "review_classification")
+    write_csv(classified(sample, bulk, gold), path, single_file=True)
+    schema = sample.drop("text").schema
+    for name in ("topic", "sentiment", "gold_topic", "gold_sentiment"):
+        schema = schema.add(name, "string")
+    df = read_csv(sample.sparkSession, path, schema)
+    reports = {
+        "topic_breakdown": topic_breakdown(df).orderBy(F.desc("n"), "topic"),
+        "sentiment_by_topic": sentiment_by_topic(df),
+        "annotator_report": annotator_report(df, F.col("in_gold") == 1),
+        "external_validity": external_validity(df),
+        "topic_recall": ag.class_recall(df.filter("in_gold = 1"), "gold_topic", "topic", TOPICS),
+        "sentiment_recall": ag.class_recall(df.filter("in_gold = 1"), "gold_sentiment", "sentiment", SENTIMENTS),
+    }
+    for name, report in reports.items():
+        write_csv(report, os.path.join(target, name), single_file=True)
+    return reports
+
+
 def external_validity(df: DataFrame, sentiments: Sequence[str] = SENTIMENTS) -> DataFrame:
     """Predicted sentiment against the star-derived one, per predicted class and overall."""
     hit = F.coalesce(F.col("sentiment") == star_sentiment(F.col("review_score")), F.lit(False))

@@ -13,7 +13,7 @@ from grainwise.operators.quality import Expectation, register_tally
 from grainwise.plans import audit, marketplace
 from grainwise.plans import orders as od
 from grainwise.plans import outputs as out
-from grainwise.plans.labels import review_sample
+from grainwise.plans.labels import build_labels, ingest_labels, review_sample
 from grainwise.plans.questions import QUESTIONS
 from grainwise.sources.io import land_marketplace, load_marketplace, write_csv
 from tests.miniature import ITEMS, ORDERS, PAYMENTS, tables
@@ -292,3 +292,24 @@ def test_review_sample(t, oc):
     texts = {r.review_id: r.text for r in every}
     assert texts["r01"] == 'line one line "two", and more'
     assert {r.review_id: r.delivery_days for r in every}["r10"] is None
+
+
+def test_label_reports(spark, t, oc, tmp_path):
+    sample = review_sample(t["order_reviews"], oc, size=10, gold=2)
+    drawn = {r.idx: r for r in sample.collect()}
+    lines = ["idx,topic,sentiment"] + [f"{i},other,negative" for i in drawn]
+    (tmp_path / "bulk.csv").write_text("\n".join(lines) + "\n")
+    (tmp_path / "gold.csv").write_text("\n".join(lines[:1] + [f"{i},other,negative" for i in drawn if drawn[i].in_gold]) + "\n")
+    bulk = ingest_labels(spark, str(tmp_path / "bulk.csv"), 4)
+    gold = ingest_labels(spark, str(tmp_path / "gold.csv"), 2)
+    with pytest.raises(ValueError, match="expected 5 unique labels"):
+        ingest_labels(spark, str(tmp_path / "bulk.csv"), 5)
+    reports = build_labels(sample, bulk, gold, str(tmp_path / "labels"))
+    assert sorted(os.listdir(tmp_path / "labels")) == sorted([*reports, "review_classification"])
+    report = reports["annotator_report"].first()
+    assert (report.n, report.topic_kappa, report.joint_agreement) == (2, 1.0, 1.0)
+    # scores of the four reviews with text are 2, 1, 4 and 3
+    assert report.star_agreement == 0.5
+    # their orders took 5, 21.5 and 20 days; the order of the fourth is unknown
+    assert rows(reports["topic_breakdown"]) == [("other", 4, 15.5, 2.5, 100.0)]
+    assert {r.label: r.recall for r in reports["topic_recall"].collect()}["other"] == 1.0
