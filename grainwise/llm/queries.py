@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from grainwise.llm import chat
+from grainwise.llm import chat, packing
 
 QUERIES = {
+    "op5_packing": packing.query,
     "op8_chat": chat.query,
 }
 ORACLE = {
