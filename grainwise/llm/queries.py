@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from grainwise.llm import chat, packing
+from grainwise.llm import chat, packing, quality
 
 QUERIES = {
+    "op10_quality": quality.query,
     "op5_packing": packing.query,
     "op8_chat": chat.query,
 }
