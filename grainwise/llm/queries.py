@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from grainwise.llm import chat, packing, quality
+from grainwise.llm import chat, packing, pii, quality
 
 QUERIES = {
+    "op4_pii": pii.query,
     "op10_quality": quality.query,
     "op5_packing": packing.query,
     "op8_chat": chat.query,
