@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from grainwise.llm import chat, packing, pii, quality
+from grainwise.llm import chat, langid, packing, pii, quality
 
 QUERIES = {
+    "op3_langid": langid.query,
     "op4_pii": pii.query,
     "op10_quality": quality.query,
     "op5_packing": packing.query,
