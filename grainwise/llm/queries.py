@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from grainwise.llm import chat, langid, neardup, packing, pii, quality
+from grainwise.llm import chat, langid, neardup, packing, pii, quality, suffixdedup
 
 QUERIES = {
+    "op2_suffixdedup": suffixdedup.query,
     "op6_neardup": neardup.query,
     "op3_langid": langid.query,
     "op4_pii": pii.query,
