@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from grainwise.llm import chat, langid, neardup, packing, pii, quality, suffixdedup
+from grainwise.llm import chat, htmltext, langid, neardup, packing, pii, quality, suffixdedup
 
 QUERIES = {
+    "op7_htmltext": htmltext.query,
     "op2_suffixdedup": suffixdedup.query,
     "op6_neardup": neardup.query,
     "op3_langid": langid.query,
