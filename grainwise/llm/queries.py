@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from grainwise.llm import chat, htmltext, langid, neardup, packing, pieces, pii, quality, suffixdedup
+from grainwise.llm import ann, chat, htmltext, langid, neardup, packing, pieces, pii, quality, suffixdedup
 
 QUERIES = {
+    "op9_ann": ann.query,
     "op1_pieces": pieces.query,
     "op7_htmltext": htmltext.query,
     "op2_suffixdedup": suffixdedup.query,
