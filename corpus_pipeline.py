@@ -1,15 +1,58 @@
-"""The corpus pipeline: stages over ``documents``, each on what its predecessor kept."""
+"""The corpus pipeline: five stages over ``documents``, each on what its predecessor kept.
+
+1. language ID: documents without a letter, or in no language the model is sure of, go;
+2. MinHash near-dedup: one document of each class of near-duplicates stays;
+3. suffix-array dedup: strings of 400 bytes that start elsewhere too are cut out;
+4. PII: validated numbers, dates, addresses and secrets become pseudonyms;
+5. packing: what is left is tokenised and packed into windows.
+
+Stages 1 to 4 return the columns of ``documents``; ``n_chars`` follows the text, and a
+missing ``lang`` is filled in by stage 1. Null and empty texts are rejected by stage 1.
+A text that stage 3 empties stays as an empty document. Repeated rows are one
+document from stage 2 on, rows without a doc_id stay. Columns beyond those of
+``documents`` pass through stages 1 to 4 unread. An empty table stays empty.
+"""
 
 from __future__ import annotations
 
 import os
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from grainwise.llm import langid, neardup, packing, pii, suffixdedup
 from grainwise.session import shared_folder
 
-STAGES: list = []
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.accepted(docs, langid.learn(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.one_of_each(docs)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffixdedup.without_repeats(docs)
+
+
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.private_removed(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("suffix_dedup", suffix_dedup),
+    ("private_data", private_data),
+    ("packing", pack),
+]
+#: Trained labels, sampled signatures and pseudonyms lie beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from grainwise.llm.common import Prefix, fold_of, mix64, slices, utf8, words
 
@@ -258,7 +259,6 @@ def train(texts: list[str], languages: list[str], epochs: int = 3, span: tuple[i
 
 def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST_LANGUAGES) -> tuple[list[str], list[str]]:
     """Texts and languages of about ``per_language`` rows of each of the ``most`` commonest languages."""
-    spark = docs.sparkSession
     labelled = docs.filter("text IS NOT NULL AND lang IS NOT NULL").filter(fold_of(F.col("doc_id")) != 1)
     counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most)
     shares = {r["lang"]: min(1.0, per_language / r["count"]) for r in counts.collect()}
@@ -269,7 +269,6 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int
         bound = F.when(F.col("lang") == name, F.lit(int(share * (1 << 30)))).otherwise(bound)
     picked = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < bound)
     rows = sorted((r["lang"], r["text"]) for r in picked.select("lang", "text").collect())
-    del spark
     return [r[1] for r in rows], [r[0] for r in rows]
 
 
@@ -299,7 +298,6 @@ def posteriors(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray,
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", label_words: bool = False) -> DataFrame:
     """(key, lang_pred, score[, word_langs]); ``word_langs`` has a label for each word that holds a letter."""
     source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    kind = source.schema["key"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by BUCKETS, LEXICON and MOST_LANGUAGES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,8 +328,19 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
                 fields.append("word_langs")
             yield pa.RecordBatch.from_arrays(out, names=fields)
 
-    more = ", word_langs array<string>" if label_words else ""
-    return source.mapInArrow(run, f"key {kind}, lang_pred string, score double{more}").withColumnRenamed("key", key)
+    schema = T.StructType([source.schema["key"]]).add("lang_pred", "string").add("score", "double")
+    if label_words:
+        schema = schema.add("word_langs", "array<string>")
+    return source.mapInArrow(run, schema).withColumnRenamed("key", key)
+
+
+def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """Whole rows whose language is known with a score of at least ``least``; a missing ``lang`` is filled in."""
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    kept = predict(rows, model, key="row").filter((F.col("lang_pred") != NONE) & (F.col("score") >= least))
+    return kept.select(
+        *[(F.coalesce("row.lang", "lang_pred") if c == "lang" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
+    )
 
 
 def query(spark, folder: str) -> DataFrame:

@@ -337,6 +337,13 @@ def pseudonymise(df: DataFrame, text: str = "text", key: str = EXAMPLE_KEY, foun
     return df.select(*columns, *([changed.cast("bigint").alias(found)] if found else []))
 
 
+def private_removed(docs: DataFrame, key: str = EXAMPLE_KEY) -> DataFrame:
+    """Whole rows with pseudonyms in the text; ``n_chars`` follows."""
+    kinds = dict(docs.dtypes)
+    out = pseudonymise(docs, key=key)
+    return out.select(*[(F.length("text").cast(kinds[c]) if c == "n_chars" else F.col(f"`{c}`")).alias(c) for c in docs.columns])
+
+
 def query(spark, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
     return pseudonymise(docs, found="n_replaced")
