@@ -35,7 +35,17 @@ def stored(df: DataFrame, kind: str = "stage") -> DataFrame:
     schema = df.schema
     del df
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete what ``stored`` wrote; nothing that is read later may depend on it."""
+    for df in frames:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fold_of(key: Column, folds: int = 3) -> Column:

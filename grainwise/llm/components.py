@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainwise.llm.common import stored
+from grainwise.llm.common import release, stored
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -27,7 +27,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             down.join(root, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .union(root.select("a", F.col("m").alias("b")))
         )
+        last = now
         now = stored(small.distinct(), "edges")
+        release(last)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if before == tuple(seen):
             break

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainwise.llm.common import Prefix, mix64, slices, stored, utf8, words
+from grainwise.llm.common import Prefix, mix64, release, slices, stored, utf8, words
 from grainwise.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -279,7 +279,9 @@ def candidate_pairs(sampled: DataFrame, keys: DataFrame) -> DataFrame:
         found.append(held.filter("like").select("node", "hub"))
         unlike = held.filter("NOT like").select("node", "hub", "code")
         rest = member.join(unlike, ["node", "hub"]).select("node", F.xxhash64("key", "code").alias("key"))
+        last = keys
         keys = stored(rest, "keys")
+        release(last)
         if keys.isEmpty():
             break
     pairs = found[0]
@@ -356,5 +358,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """Whole rows, one of each class: that of the class's least key. Rows without a key stay."""
+    extra = stored(near_duplicates(docs).filter("doc_id <> class_id").select("doc_id").distinct(), "dropped")
+    kept = docs.join(extra, "doc_id", "left_anti").select(docs.columns)
+    again = stored(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return kept
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(
+        kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    )
+
+
 def query(spark, folder: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"))

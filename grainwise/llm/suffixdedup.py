@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainwise.llm.common import Prefix, slices, stored, utf8
+from grainwise.llm.common import Prefix, release, slices, stored, utf8
 
 LENGTH, GRAM, SPAN = 400, 32, 96
 #: Refinements: how many anchors later the identifier is read that refines a bucket.
@@ -129,10 +129,14 @@ def refine(suffixes: DataFrame, offset: int) -> DataFrame:
 
 def repeated_suffixes(docs: DataFrame) -> DataFrame:
     """(text, places): anchors that may be the first one of a repeated string."""
-    left = stored(shared_buckets(stored(anchors(docs), "suffixes")), "buckets")
-    for offset in OFFSETS:
-        left = stored(shared_buckets(refine(left, offset)), "buckets")
-    return left.groupBy("text").agg(F.sort_array(F.collect_set("pos")).alias("places"))
+    left = stored(anchors(docs), "suffixes")
+    for offset in (None, *OFFSETS):
+        before = left
+        left = stored(shared_buckets(before if offset is None else refine(before, offset)), "buckets")
+        release(before)
+    places = stored(left.groupBy("text").agg(F.sort_array(F.collect_set("pos")).alias("places")), "places")
+    release(left)
+    return places
 
 
 # --- strings -------------------------------------------------------------------------
@@ -176,6 +180,19 @@ def _unpack(data: bytes) -> np.ndarray:
         return np.cumsum(np.concatenate([head, gaps.view(_U64).ravel()]), dtype=_U64)
 
 
+def _forward(text: bytes, at: int) -> int:
+    """The next place at which a character starts."""
+    while at < len(text) and text[at] & 0xC0 == 0x80:
+        at += 1
+    return at
+
+
+def _back(text: bytes, at: int) -> int:
+    while 0 < at < len(text) and text[at] & 0xC0 == 0x80:
+        at -= 1
+    return at
+
+
 def _group(part: pa.Table) -> tuple[list[str], list[bytes], list[list[int]]]:
     """A chunk's texts in the order of their hash."""
     rows = sorted(zip(part.column("print").to_pylist(), part.column("body").to_pylist(), part.column("places").to_pylist()), key=lambda r: r[0])
@@ -219,7 +236,7 @@ def _count(part: pa.Table) -> pa.Table:
     return pa.table({"range": part.column("range"), "chunk": part.column("chunk"), "bits": pa.array(bits, pa.binary())})
 
 
-def _apply(ranges: int):
+def _apply(ranges: int, characters: bool):
     def run(part: pa.Table, answer: pa.Table) -> pa.Table:
         if not part.num_rows:
             return pa.table({"print": pa.array([], pa.string()), "starts": pa.array([], pa.list_(pa.int32())), "ends": pa.array([], pa.list_(pa.int32())), "kept": pa.array([], pa.binary())})
@@ -242,7 +259,10 @@ def _apply(ranges: int):
             end = first[np.append(new[1:], len(first)) - 1] + LENGTH if len(first) else first
             out_s.append(begin.astype(np.int32))
             out_e.append(end.astype(np.int32))
-            edges = [0, *np.stack([begin, end], 1).ravel().tolist(), len(text)]
+            pairs = np.stack([begin, end], 1).tolist()
+            if characters:
+                pairs = [[_forward(text, a), _back(text, b)] for a, b in pairs]
+            edges = [0, *[x for pair in pairs for x in pair], len(text)]
             kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
         return pa.table(
             {"print": pa.array(names, pa.string()), "starts": pa.array(out_s, pa.list_(pa.int32())),
@@ -255,16 +275,17 @@ def _apply(ranges: int):
 # --- operator ------------------------------------------------------------------------
 
 
-def repeated_strings(docs: DataFrame, text: str = "text") -> DataFrame:
+def repeated_strings(docs: DataFrame, text: str = "text", characters: bool = False) -> DataFrame:
     """(print, starts, ends, kept) of every distinct text that loses bytes.
 
     ``print`` is the text's MD5, ``starts`` and ``ends`` bound the maximal removed runs
-    and ``kept`` are the remaining bytes.
+    and ``kept`` are the remaining bytes. With ``characters`` a character is kept if a run
+    would take only a part of its bytes, so ``kept`` is valid text.
     """
     source = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     chunks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     long = source.filter(F.octet_length("text") >= LENGTH)
-    places = stored(repeated_suffixes(long), "places")
+    places = repeated_suffixes(long)
     distinct = (
         long.groupBy(text_id(F.col("text")).alias("id"), F.md5("text").alias("print"))
         .agg(F.first("text").alias("body"), F.count("*").alias("n"))
@@ -277,14 +298,27 @@ def repeated_strings(docs: DataFrame, text: str = "text") -> DataFrame:
     sent = some.select("chunk", "print", "body", "places").groupBy("chunk").applyInArrow(_send(chunks), "range int, chunk int, prints binary, often binary")
     bits = stored(sent.groupBy("range").applyInArrow(_count, "range int, chunk int, bits binary"), "bits")
     answered = some.select("chunk", "print", "body", "places").groupBy("chunk").cogroup(bits.groupBy("chunk")).applyInArrow(
-        _apply(chunks), "print string, starts array<int>, ends array<int>, kept binary"
+        _apply(chunks, characters), "print string, starts array<int>, ends array<int>, kept binary"
     )
     copies = long.groupBy(F.md5("text").alias("print"), F.octet_length("text").alias("size")).agg(F.count("*").alias("n")).filter("n > 1")
     gone = copies.select(
         "print", F.array(F.lit(0)).alias("starts"), F.array(F.col("size")).alias("ends"), F.unhex(F.lit("")).alias("kept")
     )
     parts = answered.filter(F.size("starts") > 0).join(copies.select("print"), "print", "left_anti")
-    return stored(gone.union(parts), "repeats")
+    repeats = stored(gone.union(parts), "repeats")
+    release(places, some, bits)
+    return repeats
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """Whole rows with repeated strings cut from their text; ``n_chars`` follows."""
+    lost = repeated_strings(docs, characters=True).select(F.col("print").alias("_print"), "kept")
+    joined = docs.withColumn("_print", F.md5(F.coalesce("text", F.lit("")))).join(lost, "_print", "left")
+    text = F.coalesce(F.decode("kept", "UTF-8"), F.col("text"))
+    kinds = dict(docs.dtypes)
+    return joined.select(
+        *[(text if c == "text" else F.length(text).cast(kinds[c]) if c == "n_chars" else F.col(f"`{c}`")).alias(c) for c in docs.columns]
+    )
 
 
 def query(spark, folder: str) -> DataFrame:
