@@ -29,6 +29,8 @@ are read, so further columns cannot clash.
 from __future__ import annotations
 
 import gc
+import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +41,9 @@ from pyspark.sql import functions as F
 from grainwise.llm.common import Prefix, mix64, slices, uniform, utf8
 
 OFFSET, THETA, SEED = 8.0, 1.0, 20_240_601
-MOST_WORDS = 500_000
+MOST_WORDS = 300_000
 MARK = "▁"
+GLUE = "\ue0ff"  # opens a part of a text that no space precedes
 _U64 = np.uint64
 
 
@@ -65,6 +68,46 @@ class Growing:
         return self.data[: self.size]
 
 
+class Lookup:
+    """Places of 64-bit fingerprints in a table, by open addressing."""
+
+    def __init__(self, prints: np.ndarray):
+        self.bits = max(8, int(len(prints)).bit_length() + 3)
+        self.keys, self.at = np.zeros((1 << self.bits) + 64, _U64), np.full((1 << self.bits) + 64, -1, np.int32)
+        for i, (key, slot) in enumerate(zip(prints.tolist(), (prints >> _U64(64 - self.bits)).tolist())):
+            while self.at[slot] >= 0:
+                slot += 1
+            self.keys[slot], self.at[slot] = key, i
+
+    def of(self, prints: np.ndarray) -> np.ndarray:
+        """The place of each fingerprint, -1 where there is none."""
+        slot = (prints >> _U64(64 - self.bits)).astype(np.int64)
+        found = self.at[slot]
+        off = np.flatnonzero((found >= 0) & (self.keys[slot] != prints))
+        while len(off):
+            slot[off] += 1
+            found[off] = self.at[slot[off]]
+            off = off[(found[off] >= 0) & (self.keys[slot[off]] != prints[off])]
+        return found
+
+
+def piece_bytes(path: str) -> list[bytes]:
+    """The bytes each id stands for; none for control pieces."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    out = []
+    for i in range(model.get_piece_size()):
+        piece = model.id_to_piece(i)
+        if model.is_byte(i):
+            out.append(bytes([int(piece[3:5], 16)]))
+        elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
+            out.append(b"")
+        else:
+            out.append(piece.replace(MARK, " ").encode())
+    return out
+
+
 class Lattices:
     """A piece model and the sampled lattices of the words met so far.
 
@@ -77,18 +120,13 @@ class Lattices:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
-        self.pieces: list[bytes] = []
         self.byte_ids = [0] * 256
         scores: dict[str, tuple[int, float]] = {}
         for i in range(size):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 self.byte_ids[int(piece[3:5], 16)] = i
-                self.pieces.append(bytes([int(piece[3:5], 16)]))
-            elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
-                self.pieces.append(b"")
-            else:
-                self.pieces.append(piece.replace(MARK, " ").encode())
+            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 # a lone space has no rank of its own but must stay usable: it gets the last one
                 rank = -model.get_score(i) if model.get_score(i) > -1e8 else float(size) if len(piece) == 1 else None
                 if rank is not None:
@@ -96,6 +134,10 @@ class Lattices:
         total = sum(p for _, p in scores.values())
         self.vocabulary = {s: (i, p / total) for s, (i, p) in scores.items()}
         self.single = {s for s in self.vocabulary if len(s) == 1}
+        # marks that no piece has right after a letter begin a part of their own
+        joined = {b for s in self.vocabulary for a, b in zip(s, s[1:]) if a.isalpha()}
+        marks = [c for c in string.punctuation if c not in joined]
+        self.cut = re.compile(f"(?<=[^\\W\\d_])(?=[{re.escape(''.join(marks))}])").sub if marks else lambda _, t: t
         longer = {s[:k] for s in self.vocabulary for k in range(1, len(s))}
         known = sorted(longer | self.vocabulary.keys())
         column = pa.array(known, pa.large_string())
@@ -103,7 +145,7 @@ class Lattices:
         prints = Prefix(data).of(offsets[:-1], offsets[1:])
         order = np.argsort(prints)
         none = (-1, 1.0)
-        self.prints = prints[order]
+        self.lookup = Lookup(prints[order])
         self.ids = np.array([self.vocabulary.get(s, none)[0] for s in known], np.int32)[order]
         self.logs = np.log([self.vocabulary.get(s, none)[1] for s in known])[order]
         self.longer = np.array([s in longer for s in known])[order]
@@ -144,8 +186,8 @@ class Lattices:
         live, size = np.arange(n), 1
         while len(live):
             prints = prefix.of(bound[live], bound[live + size])
-            found = np.minimum(np.searchsorted(self.prints, prints), len(self.prints) - 1)
-            known = self.prints[found] == prints
+            found = self.lookup.of(prints)
+            known = found >= 0
             hit = known & (self.ids[found] >= 0)
             tails.append(live[hit])
             heads.append(live[hit] + size - 1)
@@ -188,7 +230,8 @@ class Lattices:
         return base + np.cumsum(lengths) - 1
 
     def learn(self, words: set[str]) -> None:
-        """Add words. One that starts a line has no space before it; characters without a piece are bytes."""
+        """Add parts of texts. One that starts a line, or opens with ``GLUE``, has no space before
+        it; characters without a piece are bytes."""
         plain: list[str] = []
         spans: list[str] = []
         starts: list[int] = []
@@ -196,16 +239,18 @@ class Lattices:
         single = self.single
         for word in words:
             line = word[:1] == "\n"
-            body = word[1:] if line else word
+            glued = word[:1] == GLUE and word[1:2] != GLUE
+            body = word[1:] if line or word[:1] == GLUE else word
+            lead = "" if line or glued else MARK
             if single.issuperset(body) and MARK not in body:
                 if line and not body:
                     self.words[word] = feed
                     continue
                 plain.append(word)
-                spans.append(body if line else MARK + body)
+                spans.append(lead + body)
                 starts.append(feed if line else -1)
                 continue
-            node, run = (feed, "") if line else (-1, MARK)
+            node, run = feed if line else -1, lead
             for character in [*body, ""]:
                 if character and character in single and character != MARK:
                     run += character
@@ -222,7 +267,15 @@ class Lattices:
         """End nodes of all words of all texts, and the number of words of each text."""
         if len(self.words) > MOST_WORDS:
             self.reset()
-        split = [t.replace("\n", " \n").split(" ") if t else [] for t in texts]
+        cut, glue = self.cut, " " + GLUE
+        split: list[list[str]] = []
+        for text in texts:
+            if not text:
+                split.append([])
+            elif GLUE in text:  # the text's own: doubled at the start of a part
+                split.append([GLUE + x if x[:1] == GLUE else x for x in text.replace("\n", " \n").split(" ")])
+            else:
+                split.append(cut(glue, text).replace("\n", " \n").split(" "))
         new: set[str] = set()
         for parts in split:
             new.update(parts)
@@ -291,7 +344,7 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", th
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # no cycles are made here, and the collector would walk the tables again and again
         model = lattices(path, theta)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             column = batch.column("text")
             nodes, counts = model.ends([t or "" for t in column.to_pylist()])
             keys = mix64(batch.column("seed").to_numpy(zero_copy_only=False).astype(np.int64).view(_U64))
@@ -315,7 +368,7 @@ def decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids", carr
     kinds = [source.schema["key"].dataType.simpleString(), *[source.schema[f"c{i}"].dataType.simpleString() for i in range(len(carry))]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = lattices(path, THETA).pieces
+        pieces = piece_bytes(path)
         size = np.array([len(p) for p in pieces], np.int64)
         start = np.concatenate([[0], np.cumsum(size)[:-1]])
         table = np.frombuffer(b"".join(pieces), np.uint8)
