@@ -111,10 +111,18 @@ def anchors(docs: DataFrame) -> DataFrame:
 
 
 def shared_buckets(suffixes: DataFrame) -> DataFrame:
-    """Suffixes whose bucket holds another one; equal places of equal texts are one suffix."""
+    """Stored suffixes whose bucket holds another one; equal places of equal texts are one suffix.
+
+    The shared buckets are written first: a join of two plain exchanges can be split
+    where one bucket holds a large part of all suffixes.
+    """
     place = F.xxhash64("text", "pos")
-    kept = suffixes.groupBy("bucket").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a < b").select("bucket")
-    return suffixes.join(kept, "bucket", "left_semi")
+    shared = stored(
+        suffixes.groupBy("bucket").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a < b").select("bucket"), "shared"
+    )
+    kept = stored(suffixes.join(shared, "bucket", "left_semi"), "buckets")
+    release(shared)
+    return kept
 
 
 def refine(suffixes: DataFrame, offset: int) -> DataFrame:
@@ -132,7 +140,7 @@ def repeated_suffixes(docs: DataFrame) -> DataFrame:
     left = stored(anchors(docs), "suffixes")
     for offset in (None, *OFFSETS):
         before = left
-        left = stored(shared_buckets(before if offset is None else refine(before, offset)), "buckets")
+        left = shared_buckets(before if offset is None else refine(before, offset))
         release(before)
     places = stored(left.groupBy("text").agg(F.sort_array(F.collect_set("pos")).alias("places")), "places")
     release(left)
