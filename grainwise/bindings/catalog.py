@@ -30,12 +30,12 @@ from grainwise.plans import labels as lab
 from grainwise.plans import orders as od
 from grainwise.plans import outputs as out
 from grainwise.session import shared_folder
-from grainwise.sources.io import read_csv, write_csv
+from grainwise.sources.io import read_csv, register_views, write_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-SAMPLE_SIZE, GOLD_SIZE = 200, 50
+SAMPLE_SIZE, GOLD_SIZE = 1000, 200
 
 
 def query(fn: Callable[[Star], DataFrame]) -> Callable[[Star], DataFrame]:
@@ -60,7 +60,7 @@ def src_csv_roundtrip(t: Star) -> DataFrame:
 
 @query
 def src_csv_multiline(t: Star) -> DataFrame:
-    return _csv_roundtrip(t.raw("documents").select("doc_id", "text", "n_chars"))
+    return _csv_roundtrip(t.raw("documents"))
 
 
 @query
@@ -85,16 +85,15 @@ def item_grain(t: Star) -> DataFrame:
 
 @query
 def payment_grain(t: Star) -> DataFrame:
-    measures = od.payment_measures(exact_total(F.col("payment_cents")), F.col("payment_installments"))
-    main = F.max_by("payment_type", F.struct("payment_cents", "payment_sequential"))
-    grained = grain.to_parent_grain(t.payments(), "customer_id", {**measures, "main_payment_type": main})
+    grained = t.payment_grain()
     return grained.withColumn("order_payment_total", F.col("order_payment_total").cast("double"))
 
 
 @query
 def dominant_payment(t: Star) -> DataFrame:
-    by = ["payment_cents", "payment_sequential"]
-    return grain.dominant_attribute(t.payments(), "customer_id", "payment_type", by, "main_payment_type")
+    return grain.dominant_attribute(
+        t.payments(), "customer_id", "payment_type", F.col("payment_cents"), F.col("payment_sequential"), "main_payment_type"
+    )
 
 
 @query
@@ -104,11 +103,10 @@ def review_grain(t: Star) -> DataFrame:
 
 @query
 def orders_clean(t: Star) -> DataFrame:
-    joined = t.order_grain().join(t.customers().drop("customer_unique_id"), "customer_id", "left")
+    joined = t.order_grain(with_payments=True).join(t.customers().drop("customer_unique_id"), "customer_id", "left")
     dropped = joined.drop("review_total", "review_squares")
-    return dropped.withColumns(
-        {c: F.col(c).cast("double") for c in ("order_product_revenue", "order_freight", "order_value")}
-    )
+    amounts = ("order_product_revenue", "order_freight", "order_value", "order_payment_total")
+    return dropped.withColumns({c: F.col(c).cast("double") for c in amounts})
 
 
 @query
@@ -141,7 +139,7 @@ def items_with_category(t: Star) -> DataFrame:
 
 def _fan_out(t: Star) -> DataFrame:
     people = t.raw("customer").select(F.col("c_custkey").alias("customer_id"))
-    return grain.fan_out_by_key(people, t.order_totals(), t.purchases(), "customer_id", "price_cents", "payment_cents")
+    return grain.fan_out_by_key(people, t.order_totals(), t.payments(), "customer_id", "price_cents", "payment_cents")
 
 
 def _fan_out_totals(t: Star) -> DataFrame:
@@ -195,32 +193,32 @@ def monthly_trend_peak(t: Star) -> DataFrame:
 
 @query
 def delivery_stats(t: Star) -> DataFrame:
-    return out.delivery_stats(t.order_grain())
+    return out.delivery_stats(t.delivered_grain())
 
 
 @query
 def delivery_distribution(t: Star) -> DataFrame:
-    return out.delivery_distribution(t.order_grain(), DELIVERY_EDGES)
+    return out.delivery_distribution(t.delivered_grain(), DELIVERY_EDGES)
 
 
 @query
 def score_vs_delivery(t: Star) -> DataFrame:
-    return out.score_vs_delivery(t.order_grain()).orderBy("score")
+    return out.score_vs_delivery(t.delivered_grain()).orderBy("score")
 
 
 @query
 def score_vs_delivery_sql(t: Star) -> DataFrame:
-    return out.score_vs_delivery_sql(t.order_grain()).orderBy("score")
+    return out.score_vs_delivery_sql(t.delivered_grain()).orderBy("score")
 
 
 @query
 def corr_delivery_score(t: Star) -> DataFrame:
-    return out.corr_delivery_score(t.order_grain())
+    return out.corr_delivery_score(t.delivered_grain())
 
 
 @query
 def signal_delivery_vs_score(t: Star) -> DataFrame:
-    return out.corr_at_child_grain(t.order_grain(), "delivery_days", "n_reviews", "review_total", "review_squares")
+    return out.corr_at_child_grain(t.delivered_grain(), "delivery_days", "n_reviews", "review_total", "review_squares")
 
 
 @query
@@ -349,9 +347,7 @@ def repeat_rate(t: Star) -> DataFrame:
 
 @query
 def identity_collapse(t: Star) -> DataFrame:
-    return t.raw("orders").agg(
-        F.count_distinct("o_orderkey").alias("customer_ids"), F.count_distinct("o_custkey").alias("unique_customers")
-    )
+    return quality.two_key_counts(t.raw("orders"), "o_orderkey", "customer_ids", "o_custkey", "unique_customers")
 
 
 # --- quality ---------------------------------------------------------------------------------------------------
@@ -407,7 +403,19 @@ def status_mix(t: Star) -> DataFrame:
 
 @query
 def data_dictionary(t: Star) -> DataFrame:
-    return quality.data_dictionary({n: t.raw(n) for n in registers.FIELDS}, registers.descriptions())
+    tables, meaning = registers.dictionary_tables(t)
+    return quality.data_dictionary(tables, meaning, ("order_grain",))
+
+
+@query
+def view_state_orders(t: Star) -> DataFrame:
+    """A report asked in SQL over named views of the tables and the order grain."""
+    register_views({f"star_{n}": t.raw(n) for n in ("orders", "lineitem")} | {"star_order_grain": t.order_grain(), "star_customers": t.customers()})
+    return t.spark.sql(
+        "SELECT c.customer_state, count(*) AS orders, count_if(g.delivered) AS delivered, "
+        "cast(sum(g.order_product_revenue) AS double) AS revenue FROM star_order_grain g "
+        "JOIN star_customers c ON c.customer_id = g.customer_id GROUP BY c.customer_state"
+    )
 
 
 @query

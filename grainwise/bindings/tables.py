@@ -1,8 +1,9 @@
 """Star-schema test tables seen as marketplace tables.
 
 All order-level children live in ``lineitem`` here, so they are aggregated together:
-one scan and one shuffle give items, reviews and the delivery date. Catalyst prunes
-the aggregates and columns that a product does not use.
+one scan gives items, reviews and the delivery date. Only a product that keeps the
+distinct sellers needs a second shuffle. Catalyst prunes the aggregates and columns
+that a product does not use.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from grainwise.functions.money import cents, exact_total
 from grainwise.functions.temporal import plus_days
 from grainwise.operators.frames import inline_table
 from grainwise.operators.grain import attach, to_parent_grain
-from grainwise.plans.orders import derive_order_fields, item_measures, review_measures
+from grainwise.plans.orders import derive_order_fields, graded_payments, item_measures, review_measures
 
 DELIVERED_STATUS = "F"
 REPEAT_MIN = 12  # every customer orders more than once in this data
@@ -109,8 +110,10 @@ class Star:
             },
         )
 
-    def order_grain(self) -> DataFrame:
+    def order_grain(self, with_payments: bool = False) -> DataFrame:
         joined = attach(self.orders(), self.order_children(), "order_id")
+        if with_payments:  # the parent of a payment is the customer here
+            joined = attach(joined, self.payment_grain(), "customer_id")
         arrived = F.when(F.col("order_status") == DELIVERED_STATUS, F.col("shipped"))
         return derive_order_fields(
             joined.withColumn("order_delivered_customer_date", arrived)
@@ -119,6 +122,16 @@ class Star:
             DELIVERED_STATUS,
         )
 
+    def delivered_grain(self) -> DataFrame:
+        """The order grain of orders with a delivery date: the filter reaches the scan of orders."""
+        orders = self.orders().filter(F.col("order_status") == DELIVERED_STATUS)
+        joined = orders.join(self.order_children().filter(F.col("shipped").isNotNull()), "order_id")
+        return derive_order_fields(
+            joined.withColumnRenamed("shipped", "order_delivered_customer_date")
+            .withColumn("customer_unique_id", F.col("customer_id")),
+            DELIVERED_STATUS,
+        )
+
     def customers(self) -> DataFrame:
         nation = self.raw("nation").select("n_nationkey", F.col("n_name").alias("customer_state"))
         return (
@@ -141,8 +154,11 @@ class Star:
             cents(F.col("value")).alias("payment_cents"),
         )
 
-    def purchases(self) -> DataFrame:
-        return self.payments().filter(F.col("payment_type") == "purchase")
+    def payment_grain(self) -> DataFrame:
+        """Payments of each customer with the type of the largest one."""
+        return graded_payments(
+            self.payments(), "customer_id", F.col("payment_cents"), F.col("payment_sequential"), F.col("payment_installments")
+        )
 
     def order_totals(self) -> DataFrame:
         """Orders as the item-like child of a customer."""

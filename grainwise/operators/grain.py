@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,11 +27,27 @@ def attach(parent: DataFrame, child_at_grain: DataFrame, key: str) -> DataFrame:
     return parent.join(child_at_grain, key, "left")
 
 
-def dominant_attribute(
-    child: DataFrame, key: str, attribute: str, by: Sequence[str], name: str
+LARGEST = "_largest"
+
+
+def by_attribute(
+    child: DataFrame, key: str, attribute: str, units: Column, sequence: Column, measures: Mapping[str, Column] | None = None
 ) -> DataFrame:
-    """Attribute of the row with the largest ``by`` tuple, one pass and no sort."""
-    return child.groupBy(key).agg(F.max_by(attribute, F.struct(*by)).alias(name))
+    """One row per key and attribute with its largest (units, sequence) as one decimal.
+
+    The decimal has a fixed place in the aggregation buffer, so the raw rows meet a
+    hash aggregate; a struct or string buffer would have them sorted first.
+    ``sequence`` is not negative.
+    """
+    packed = units.cast("decimal(19,0)") * F.lit(Decimal(10**18)) + sequence.cast("decimal(18,0)")
+    return child.groupBy(key, attribute).agg(
+        F.max(packed.cast("decimal(38,0)")).alias(LARGEST), *[m.alias(n) for n, m in (measures or {}).items()]
+    )
+
+
+def dominant_attribute(child: DataFrame, key: str, attribute: str, units: Column, sequence: Column, name: str) -> DataFrame:
+    """Attribute of the row with the largest (units, sequence); only (key, attribute) rows are sorted."""
+    return by_attribute(child, key, attribute, units, sequence).groupBy(key).agg(F.max_by(attribute, LARGEST).alias(name))
 
 
 def dedupe_dimension(
@@ -43,6 +60,8 @@ def dedupe_dimension(
     sums for the means. That gives one scan and two shuffles of pre-aggregated
     rows for any number of columns, where a join per column would rescan the table.
     """
+    if not modes:
+        return rows.groupBy(key).agg(*[F.avg(m).alias(n) for n, m in means.items()])
     sums = {f"_{n}_sum": m for n, m in means.items()}
     first = next(iter(modes))
     cells = F.array(
@@ -206,8 +225,17 @@ RECONCILIATION_METRICS = {
 }
 
 
+# The rule behind each figure, not a sentence of anybody's report.
+RECONCILIATION_WHY = {
+    "rows": "each parent repeats once per pair of child rows",
+    "revenue": "each price repeats once per payment of its parent",
+    "cash": "each payment repeats once per item of its parent",
+    "aov": "repeated prices over single parents",
+}
+
+
 def reconciliation(totals: DataFrame) -> DataFrame:
-    """Naive against decision-ready, one row per metric, with the inflation in percent."""
+    """Naive against decision-ready, one row per metric, with the inflation in percent and its cause."""
     pairs = {
         "rows": (F.col("naive_rows").cast("double"), F.col("ready_rows").cast("double")),
         "revenue": (money(F.col("naive_revenue")), money(F.col("ready_revenue"))),
@@ -218,12 +246,14 @@ def reconciliation(totals: DataFrame) -> DataFrame:
         ),
     }
     cells = {
-        RECONCILIATION_METRICS[m]: F.struct(a.alias("naive_raw"), b.alias("decision_ready"))
+        RECONCILIATION_METRICS[m]: F.struct(
+            a.alias("naive_raw"), b.alias("decision_ready"), F.lit(RECONCILIATION_WHY[m]).alias("why")
+        )
         for m, (a, b) in pairs.items()
     }
     return (
         long_form(totals, cells, "metric", "pair")
-        .select("metric", "pair.naive_raw", "pair.decision_ready")
+        .select("metric", "pair.naive_raw", "pair.decision_ready", "pair.why")
         .withColumn(
             "inflation_pct",
             percent(F.col("naive_raw") - F.col("decision_ready"), F.col("decision_ready")),

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainwise.functions.stats import count_true, percent, ratio
-from grainwise.operators.frames import inline_table, long_form, union_all
+from grainwise.operators.frames import inline_table, long_form, side_by_side, union_all
 from grainwise.operators.grain import cogroup_counts
 
 
@@ -90,6 +90,18 @@ def unmapped_values(df: DataFrame, column: str, lookup: DataFrame, lookup_column
     return values.join(lookup, values[column] == lookup[lookup_column], "left_anti")
 
 
+def two_key_counts(df: DataFrame, fine: str, fine_name: str, coarse: str, coarse_name: str) -> DataFrame:
+    """Distinct values of two columns in one row, one shuffle each of combined keys.
+
+    Two distinct counts in one aggregate would send every row twice.
+    """
+    pairs = df.groupBy(fine, coarse).agg(F.lit(1).alias("_")).select(fine, coarse)
+    return side_by_side(
+        pairs.groupBy(fine).agg(F.lit(1)).agg(F.count(fine).alias(fine_name)),
+        pairs.groupBy(coarse).agg(F.lit(1)).agg(F.count(coarse).alias(coarse_name)),
+    )
+
+
 def conditional_counts(df: DataFrame, conditions: Mapping[str, Column]) -> DataFrame:
     """Several filtered counts in one pass, as one row."""
     return df.agg(*[count_true(c).alias(name) for name, c in conditions.items()])
@@ -98,7 +110,7 @@ def conditional_counts(df: DataFrame, conditions: Mapping[str, Column]) -> DataF
 def value_mix(df: DataFrame, column: str, count: str = "rows") -> DataFrame:
     """Frequency of each value with its share in percent."""
     counted = df.groupBy(column).agg(F.count("*").alias(count))
-    total = F.sum(count).over(Window.partitionBy())
+    total = df.agg(F.count("*")).scalar()
     return counted.withColumn("pct", percent(F.col(count), total))
 
 
@@ -120,7 +132,7 @@ class Expectation(NamedTuple):
 
 
 def expectation_register(measured: DataFrame, expected: Sequence[Expectation]) -> DataFrame:
-    """Expected against measured, exact or within a tolerance.
+    """Expected against measured: exact, or nearer than a tolerance.
 
     ``measured`` has columns ``metric`` and ``value``. An expectation without a
     measurement fails.
@@ -134,7 +146,8 @@ def expectation_register(measured: DataFrame, expected: Sequence[Expectation]) -
             "tolerance": [float(e.tolerance) for e in expected],
         },
     )
-    within = F.abs(F.col("actual") - F.col("expected")) <= F.col("tolerance")
+    off = F.abs(F.col("actual") - F.col("expected"))
+    within = F.when(F.col("tolerance") > 0, off < F.col("tolerance")).otherwise(off == 0)
     return (
         register.join(
             measured.select("metric", F.col("value").cast("double").alias("actual")), "metric", "left"
@@ -150,44 +163,66 @@ def register_tally(register: DataFrame) -> DataFrame:
     return per_check.agg(count_true(F.col("ok")).alias("passed"), F.count("*").alias("checks"))
 
 
-class Issue(NamedTuple):
-    """A known data problem and how its extent is phrased from measured columns."""
+#: What is done about each kind of finding.
+TREATMENTS = {
+    "fan-out": "sum children per parent before a join",
+    "duplicate": "reduce to one row per key",
+    "identity": "count persons instead of ids",
+    "missing": "leave null, never impute",
+    "unmapped": "give the value a label",
+    "invalid": "flag the row",
+    "childless": "keep the parent without child measures",
+    "disagreement": "publish agreement and kappa",
+    "orphan": "count, attach to nothing",
+}
+#: Least share of affected rows of each severity.
+SEVERITIES = (("High", 0.2), ("Medium", 0.02))
 
-    id: str
-    area: str
-    text: str
-    columns: tuple[str, ...]
-    severity: str
-    treatment: str
-    impact: str
-    status: str
 
+class Rule(NamedTuple):
+    """A known kind of problem: where it is looked for and which measured columns size it.
 
-def issue_register(measured: DataFrame, issues: Sequence[Issue]) -> DataFrame:
-    """One row per issue with its measured extent; ``measured`` is one wide row."""
+    ``figures`` are reported; ``affected`` out of ``total`` sets severity and impact.
+    """
 
-    def describe(issue: Issue) -> Column:
-        values = [F.coalesce(F.col(c).cast("string"), F.lit("0")) for c in issue.columns]
+    id: str
+    kind: str
+    table: str
+    figures: tuple[str, ...]
+    affected: str
+    total: str
+
+
+def issue_register(measured: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """One row per rule, worded from its kind and its measured figures; ``measured`` is one wide row."""
+
+    def describe(rule: Rule) -> Column:
+        value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("0"))
+        figures = F.concat_ws(", ", *[F.concat(F.lit(c.replace("_", " ") + " "), value(c)) for c in rule.figures])
+        share = F.coalesce(ratio(F.col(rule.affected), F.col(rule.total)), F.lit(0.0))
+        severity = F.when(share <= 0, "Info")
+        for name, least in SEVERITIES:
+            severity = severity.when(share >= least, name)
         return F.struct(
-            F.lit(issue.area).alias("area"),
-            F.format_string(issue.text, *values).alias("issue"),
-            F.lit(issue.severity).alias("severity"),
-            F.lit(issue.treatment).alias("treatment"),
-            F.lit(issue.impact).alias("impact"),
-            F.lit(issue.status).alias("status"),
+            F.lit(f"{rule.table} {rule.kind}").alias("area"),
+            figures.alias("issue"),
+            severity.otherwise("Low").alias("severity"),
+            F.lit(TREATMENTS[rule.kind]).alias("treatment"),
+            F.concat(F.format_number(100 * share, 2), F.lit(f" % of {rule.total.replace('_', ' ')}")).alias("impact"),
+            F.when(share > 0, "Open").otherwise("Clear").alias("status"),
         )
 
-    rows = long_form(measured, {i.id: describe(i) for i in issues}, "id", "row")
+    rows = long_form(measured, {r.id: describe(r) for r in rules}, "id", "row")
     return rows.select("id", "row.*")
 
 
 def data_dictionary(
-    tables: Mapping[str, DataFrame], descriptions: Mapping[str, str], derived: Sequence[str] = ()
+    tables: Mapping[str, DataFrame], descriptions: Mapping[tuple[str, str], str], derived: Sequence[str] = ()
 ) -> DataFrame:
     """Table, field, type, description and origin, with the measured null share."""
     spark = next(iter(tables.values())).sparkSession
     rows = [
-        (name, f.name, f.dataType.simpleString(), descriptions.get(f.name, "—"), "yes" if name in derived else "no")
+        (name, f.name, f.dataType.simpleString(), descriptions.get((name, f.name), "—"), "yes" if name in derived else "no")
         for name, df in tables.items()
         for f in df.schema.fields
     ]

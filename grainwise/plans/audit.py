@@ -7,13 +7,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainwise.functions.money import minor_units
+from grainwise.functions.money import in_units, minor_units
 from grainwise.functions.stats import count_true, percent
 from grainwise.functions.temporal import elapsed_days, year_month
 from grainwise.operators import quality
 from grainwise.operators.frames import long_form, side_by_side
 from grainwise.operators.grain import attach, cogroup_counts
-from grainwise.operators.quality import Expectation, Issue
+from grainwise.operators.quality import Expectation, Rule
 from grainwise.operators.rank import exact_quantiles
 from grainwise.plans import outputs as out
 from grainwise.plans.orders import DELIVERED, PURCHASED
@@ -67,50 +67,20 @@ EXPECTED = [
     Expectation("delivered orders", "delivered_orders", 96478),
 ]
 
-ISSUES = [
-    Issue(
-        "DQ-01", "Join grain", "%s orders hold several items (max %s), %s several payments (max %s)",
-        ("multi_items", "max_items", "multi_payments", "max_payments"), "High",
-        "Bring children to order grain before any join", "A direct join overstates revenue and cash", "Resolved",
-    ),
-    Issue(
-        "DQ-02", "Geolocation", "%s rows share %s zip prefixes", ("geo_rows", "geo_prefixes"), "High",
-        "Keep one row per prefix: mean position, most frequent city and state", "A direct join multiplies rows", "Resolved",
-    ),
-    Issue(
-        "DQ-03", "Identity", "%s customer_id stand for %s people", ("customer_ids", "unique_customers"),
-        "High", "Use customer_unique_id as the person", "Otherwise nobody ever repeats", "Resolved",
-    ),
-    Issue(
-        "DQ-04", "Reviews", "%s reviews lack a message, %s a title", ("missing_message", "missing_title"), "Medium",
-        "Analyse only reviews with text, impute nothing", "Text findings cover a subset", "Resolved",
-    ),
-    Issue(
-        "DQ-05", "Orders", "Dates missing: delivered %s, carrier %s, approved %s",
-        ("missing_delivered", "missing_carrier", "missing_approved"), "Medium",
-        "Leave undated orders out of delivery figures", "Delivery figures describe dated orders", "Resolved",
-    ),
-    Issue(
-        "DQ-06", "Products", "%s products have no category", ("missing_category",), "Medium",
-        "Count them as unknown", "The Pareto has an unknown bucket", "Resolved",
-    ),
-    Issue(
-        "DQ-07", "Categories", "%s categories have no translation", ("unmapped_categories",), "Low",
-        "Label them by hand", "No category falls out of the totals", "Resolved",
-    ),
-    Issue(
-        "DQ-08", "Payments", "%s payments are not positive, %s have no defined type",
-        ("nonpositive_value", "not_defined_type"), "Low", "Flag; exclude on request", "Too few to move totals", "Resolved",
-    ),
-    Issue(
-        "DQ-09", "Childless orders", "%s orders have no item, %s no payment",
-        ("orders_without_items", "orders_without_payments"), "Low",
-        "Leave them out of revenue", "Revenue describes orders with items", "Resolved",
-    ),
-    Issue(
-        "RI-00", "Referential integrity", "Without order: items %s, payments %s, reviews %s; items without product: %s",
-        ("items_orphan_orders", "payments_orphan_orders", "reviews_orphan_orders", "items_orphan_products"), "Info",
-        "Count unmatched keys", "None expected", "Verified",
+RULES = [
+    Rule("DQ-01", "fan-out", "orders", ("multi_items", "max_items", "multi_payments", "max_payments"), "multi_items", "n_orders"),
+    Rule("DQ-02", "duplicate", "geolocation", ("geo_rows", "geo_prefixes"), "geo_repeats", "geo_rows"),
+    Rule("DQ-03", "identity", "customers", ("customer_ids", "unique_customers"), "extra_ids", "customer_ids"),
+    Rule("DQ-04", "missing", "order_reviews", ("missing_message", "missing_title"), "missing_message", "rows_order_reviews"),
+    Rule("DQ-05", "missing", "orders", ("missing_delivered", "missing_carrier", "missing_approved"), "missing_delivered", "rows_orders"),
+    Rule("DQ-06", "missing", "products", ("missing_category",), "missing_category", "rows_products"),
+    Rule("DQ-07", "unmapped", "products", ("unmapped_categories",), "unmapped_categories", "rows_category_translation"),
+    Rule("DQ-08", "invalid", "order_payments", ("nonpositive_value", "not_defined_type"), "nonpositive_value", "rows_order_payments"),
+    Rule("DQ-09", "childless", "orders", ("orders_without_items", "orders_without_payments"), "orders_without_items", "rows_orders"),
+    Rule("DQ-10", "disagreement", "labels", ("labelled", "label_mismatches"), "label_mismatches", "labelled"),
+    Rule(
+        "RI-00", "orphan", "children",
+        ("items_orphan_orders", "payments_orphan_orders", "reviews_orphan_orders", "items_orphan_products"), "orphans", "child_rows",
     ),
 ]
 
@@ -160,6 +130,36 @@ def _repeat(t: Tables) -> DataFrame:
     return per_person.agg(percent(count_true(F.col("n") > 1), F.count("*")).alias("repeat_rate_pct"))
 
 
+ORDER_FLAGS = ("delivered_orders", "missing_delivered", "missing_carrier", "missing_approved")
+
+
+def _flags(orders: DataFrame) -> list:
+    holds = (
+        F.coalesce(F.col("order_status") == "delivered", F.lit(False)),
+        F.col(DELIVERED).isNull(), F.col("order_delivered_carrier_date").isNull(), F.col("order_approved_at").isNull(),
+    )
+    return [h.cast("bigint").alias(name) for h, name in zip(holds, ORDER_FLAGS)]
+
+
+def _order_figures() -> list:
+    """Families, coverage and totals of orders and their children, from one row per order key."""
+    known = F.col("order_id").isNotNull()
+    has = lambda c: known & (F.col(f"n_{c}") > 0)
+    zero = F.lit(0).cast("bigint")
+    figures = [F.count_if(has("orders")).alias("n_orders")]
+    for child, rows in (("items", "n_items"), ("payments", "n_payments"), ("reviews", "n_reviews")):
+        figures += [
+            F.coalesce(F.sum(F.when(~has("orders"), F.col(rows))), zero).alias(f"{child}_orphan_orders"),
+            F.coalesce(F.sum(F.when(~has(child), F.col("n_orders"))), zero).alias(f"orders_without_{child}"),
+        ]
+        if child != "reviews":
+            figures += [
+                F.count_if(F.col(rows) > 1).alias(f"multi_{child}"), F.max(F.when(F.col(rows) > 1, F.col(rows))).alias(f"max_{child}")
+            ]
+    figures += [F.coalesce(F.sum(c), zero).alias(c) for c in ORDER_FLAGS]
+    return figures + [in_units(F.sum(c)).alias(c) for c in ("gmv", "freight")]
+
+
 def audit_metrics(t: Tables) -> DataFrame:
     """Every audited figure in one wide row."""
     orders, items, payments, reviews = (t[n] for n in ("orders", "order_items", "order_payments", "order_reviews"))
@@ -167,58 +167,36 @@ def audit_metrics(t: Tables) -> DataFrame:
         t[name].agg(F.count("*").alias(f"rows_{name}")).withColumn(f"cols_{name}", F.lit(len(t[name].columns)))
         for name in SHAPES
     ]
-    families = [
-        quality.children_profile({"c": (df, "order_id")}).select(
-            F.col("multi_parents").alias(f"multi_{name}"), F.col("max_children").alias(f"max_{name}")
-        )
-        for name, df in (("items", items), ("payments", payments))
-    ]
     value = minor_units(F.col("price")) + minor_units(F.col("freight_value"))
-    paid_per_order = cogroup_counts(
+    per_order = cogroup_counts(
         "order_id",
-        {"i": (items, {"value": value}), "p": (payments, {"paid": minor_units(F.col("payment_value"))})},
+        {
+            "orders": (orders.select("order_id", *_flags(orders)), {c: F.col(c) for c in ORDER_FLAGS}),
+            "items": (items, {"value": value, "gmv": minor_units(F.col("price")), "freight": minor_units(F.col("freight_value"))}),
+            "payments": (payments, {"paid": minor_units(F.col("payment_value"))}),
+            "reviews": (reviews, {}),
+        },
     )
     median = exact_quantiles(orders, out.delivery_micros(), {"m": 0.5})
-    coverage = [
-        quality.key_coverage(orders, "order_id", items, "order_id", "items_orphan_orders", "orders_without_items"),
-        quality.key_coverage(
-            orders, "order_id", payments, "order_id", "payments_orphan_orders", "orders_without_payments"
-        ),
-        quality.key_coverage(orders, "order_id", reviews, "order_id", "reviews_orphan_orders", "orders_without_reviews"),
-        quality.key_coverage(
-            t["products"], "product_id", items, "product_id", "items_orphan_products", "products_without_items"
-        ),
-    ]
+    products = quality.key_coverage(
+        t["products"], "product_id", items, "product_id", "items_orphan_products", "products_without_items"
+    )
     unmapped = quality.unmapped_values(
         t["products"], "product_category_name", t["category_translation"], "product_category_name"
     )
     return side_by_side(
         *shapes,
-        *families,
-        *coverage,
+        per_order.agg(*_order_figures()),
+        products,
         *_reviews(t),
-        out.value_against_paid(paid_per_order, "value", "paid").select("r_value_vs_payment"),
+        out.value_against_paid(per_order, "value", "paid").select("r_value_vs_payment"),
         median.select(F.round(out.in_days(F.col("m")), 2).alias("median_delivery_days")),
-        items.agg(
-            F.sum("price").alias("gmv"),
-            F.sum("freight_value").alias("freight"),
-        ),
-        orders.agg(
-            F.count_distinct("order_id").alias("n_orders"),
-            count_true(F.col("order_status") == "delivered").alias("delivered_orders"),
-            count_true(F.col(DELIVERED).isNull()).alias("missing_delivered"),
-            count_true(F.col("order_delivered_carrier_date").isNull()).alias("missing_carrier"),
-            count_true(F.col("order_approved_at").isNull()).alias("missing_approved"),
-        ),
         _monthly_delivered(t),
         _repeat(t),
         quality.duplication(t["geolocation"], "geolocation_zip_code_prefix").select(
             F.col("rows").alias("geo_rows"), F.col("distinct_keys").alias("geo_prefixes")
         ),
-        t["customers"].agg(
-            F.count_distinct("customer_id").alias("customer_ids"),
-            F.count_distinct("customer_unique_id").alias("unique_customers"),
-        ),
+        quality.two_key_counts(t["customers"], "customer_id", "customer_ids", "customer_unique_id", "unique_customers"),
         out.text_coverage(reviews, "review_comment_message", "review_comment_title").drop("reviews"),
         t["products"].agg(count_true(F.col("product_category_name").isNull()).alias("missing_category")),
         unmapped.agg(F.count("*").alias("unmapped_categories")),
@@ -241,5 +219,24 @@ def audit_register(t: Tables, expected: Sequence[Expectation] = EXPECTED) -> Dat
     return quality.expectation_register(as_metrics(audit_metrics(t)), expected)
 
 
-def issue_register(t: Tables, issues: Sequence[Issue] = ISSUES) -> DataFrame:
-    return quality.issue_register(audit_metrics(t), issues)
+def issue_register(t: Tables, labels: DataFrame | None = None, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """One row per rule. ``labels`` has a bulk and a gold topic; without it no label is compared."""
+    compared = labels.filter("topic IS NOT NULL AND gold_topic IS NOT NULL") if labels is not None else None
+    measured = audit_metrics(t)
+    if compared is not None:
+        measured = side_by_side(
+            measured, compared.agg(F.count("*").alias("labelled"), count_true(F.col("topic") != F.col("gold_topic")).alias("label_mismatches"))
+        )
+    else:
+        measured = measured.withColumns({"labelled": F.lit(0), "label_mismatches": F.lit(0)})
+    orphans = ("items_orphan_orders", "payments_orphan_orders", "reviews_orphan_orders", "items_orphan_products")
+    total = lambda *names: sum((F.col(n) for n in names), F.lit(0))
+    measured = measured.withColumns(
+        {
+            "geo_repeats": F.col("geo_rows") - F.col("geo_prefixes"),
+            "extra_ids": F.col("customer_ids") - F.col("unique_customers"),
+            "orphans": total(*orphans),
+            "child_rows": total("rows_order_items", "rows_order_payments", "rows_order_reviews"),
+        }
+    )
+    return quality.issue_register(measured, rules)

@@ -12,7 +12,7 @@ from grainwise.functions.classify import star_sentiment
 from grainwise.functions.stats import count_true, ratio, wilson_bounds
 from grainwise.functions.text import collapse_whitespace
 from grainwise.operators import agreement as ag
-from grainwise.sources.io import read_csv, write_csv
+from grainwise.sources.io import read_csv, write_csv, write_labelling_text
 from grainwise.sources.schemas import LABELS
 
 # The label sets of the classified reviews.
@@ -32,10 +32,10 @@ def draw_sample(
 def classified(sample: DataFrame, labels: DataFrame, gold: DataFrame, key: str = "idx") -> DataFrame:
     """Sample with bulk and gold labels; the raw text is dropped before publication.
 
-    The sample has a fixed size, so its keys are broadcast to reduce both label tables
-    before the joins.
+    The sample's keys reduce both label tables before the joins; whether they are
+    broadcast is left to their measured size.
     """
-    wanted = F.broadcast(sample.select(key))
+    wanted = sample.select(key)
     first = labels.join(wanted, key, "left_semi")
     second = gold.join(wanted, key, "left_semi").select(
         key, F.col("topic").alias("gold_topic"), F.col("sentiment").alias("gold_sentiment")
@@ -62,6 +62,7 @@ def ingest_labels(spark: SparkSession, path: str, expected_rows: int) -> DataFra
 
 def build_labels(sample: DataFrame, bulk: DataFrame, gold: DataFrame, target: str) -> dict[str, DataFrame]:
     """Write the classified sample without its text, and the label reports."""
+    write_labelling_text(sample, os.path.join(target, "to_label"))
     path = os.path.join(target, "review_classification")
     write_csv(classified(sample, bulk, gold), path, single_file=True)
     schema = sample.drop("text").schema

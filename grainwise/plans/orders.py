@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from grainwise.functions.classify import category_label, rfm_segment
 from grainwise.functions.money import exact_total, minor_units
 from grainwise.functions.temporal import elapsed_days, whole_days, year_month
-from grainwise.operators.grain import attach, dedupe_dimension, dominant_attribute, to_parent_grain
+from grainwise.operators.grain import LARGEST, attach, by_attribute, dedupe_dimension, dominant_attribute, to_parent_grain
 from grainwise.operators.rank import global_rank, quantile_bin
 
 # Labels of the two categories that the lookup lacks.
@@ -36,14 +36,6 @@ def item_measures(revenue: Column, freight: Column, item_id: Column, seller: Col
     }
 
 
-def payment_measures(total: Column, installments: Column) -> dict[str, Column]:
-    return {
-        "order_payment_total": total,
-        "n_payments": F.count("*"),
-        "n_installments": F.max(installments),
-    }
-
-
 def review_measures(score: Column, has_text: Column) -> dict[str, Column]:
     return {
         "review_score": F.avg(score),
@@ -62,19 +54,33 @@ def item_grain(items: DataFrame, key: str = "order_id") -> DataFrame:
     return to_parent_grain(items, key, measures)
 
 
+def graded_payments(payments: DataFrame, key: str, units: Column, sequence: Column, installments: Column) -> DataFrame:
+    """Payments per parent with the type of the largest one.
+
+    Rows are first summed per parent and type, which is a hash aggregate; the type is
+    then chosen among the few types of a parent.
+    """
+    per_type = by_attribute(
+        payments, key, "payment_type", units, sequence,
+        {"_units": F.sum(units), "_rows": F.count("*"), "_inst": F.max(installments)},
+    )
+    return per_type.groupBy(key).agg(
+        exact_total(F.col("_units")).alias("order_payment_total"),
+        F.sum("_rows").alias("n_payments"),
+        F.max("_inst").alias("n_installments"),
+        F.max_by("payment_type", LARGEST).alias("main_payment_type"),
+    )
+
+
 def payment_grain(payments: DataFrame, key: str = "order_id") -> DataFrame:
-    """Payments per parent with the type of the largest one, in a single aggregate."""
-    measures = payment_measures(
-        exact_total(minor_units(F.col("payment_value"))), F.col("payment_installments")
+    return graded_payments(
+        payments, key, minor_units(F.col("payment_value")), F.col("payment_sequential"), F.col("payment_installments")
     )
-    main = F.max_by("payment_type", F.struct("payment_value", "payment_sequential"))
-    return to_parent_grain(payments, key, {**measures, "main_payment_type": main})
 
 
 def main_payment_type(payments: DataFrame, key: str = "order_id") -> DataFrame:
-    return dominant_attribute(
-        payments, key, "payment_type", ["payment_value", "payment_sequential"], "main_payment_type"
-    )
+    units = minor_units(F.col("payment_value"))
+    return dominant_attribute(payments, key, "payment_type", units, F.col("payment_sequential"), "main_payment_type")
 
 
 def review_grain(reviews: DataFrame, key: str = "order_id") -> DataFrame:
@@ -135,9 +141,15 @@ def geo_clean(geolocation: DataFrame) -> DataFrame:
 def products_clean(
     products: DataFrame, translation: DataFrame, manual: Mapping[str, str] = MANUAL_CATEGORIES
 ) -> DataFrame:
-    """Product to English category: manual label, lookup, or ``unknown``."""
+    """Product to English category: manual label, lookup, or ``unknown``.
+
+    A key that the lookup repeats takes its least label, so products stay one row each.
+    """
     raw = F.col("product_category_name")
-    return products.join(translation, "product_category_name", "left").select(
+    lookup = translation.groupBy("product_category_name").agg(
+        F.min("product_category_name_english").alias("product_category_name_english")
+    )
+    return products.join(lookup, "product_category_name", "left").select(
         "product_id",
         "product_category_name",
         category_label(raw, F.col("product_category_name_english"), manual).alias("category_en"),

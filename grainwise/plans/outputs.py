@@ -181,11 +181,13 @@ def corr_at_child_grain(parents: DataFrame, x: str, children: str, total: str, s
         F.sum(n * x * x).alias("sxx"),
         F.sum(syy).alias("syy"),
         F.sum(x * sy).alias("sxy"),
+        (F.min(x) < F.max(x)).alias("varied"),
     )
     r = correlation_from_sums(
         F.col("n").cast("double"), *[F.col(c) for c in ("sx", "sy", "sxx", "syy", "sxy")]
     )
-    return sums.select(F.round(r, 4).alias("r"), "n")
+    # rounding may leave a constant value a variance, so constancy is read off its range
+    return sums.select(F.round(F.when(F.col("varied"), r), 4).alias("r"), "n")
 
 
 def score_by_status(per_parent: DataFrame, status: str, delivered_status: str, total: str, count: str) -> DataFrame:
@@ -306,7 +308,7 @@ def concentration(states: DataFrame, trend: DataFrame, revenue: DataFrame, top:
     return side_by_side(
         leaders.agg(
             F.round(F.sum("pct_gmv"), 2).alias("top_states_pct"),
-            F.max_by("customer_state", "gmv").alias("top_state"),
+            first_largest("customer_state", "gmv").alias("top_state"),
         ),
         trend.agg(first_largest("purchase_ym", "orders").alias("peak_month"), F.max("orders").alias("peak_orders")),
         pareto_threshold(revenue),

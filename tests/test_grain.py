@@ -62,7 +62,17 @@ def test_cogroup_keeps_keys_of_every_source(spark):
 
 def test_dominant_attribute_tie_goes_to_the_later_row(spark):
     df = spark.createDataFrame([("o", "x", 5, 1), ("o", "y", 5, 2), ("o", "z", 1, 3)], "k string, t string, v int, s int")
-    assert dominant_attribute(df, "k", "t", ["v", "s"], "t").first().t == "y"
+    assert dominant_attribute(df, "k", "t", F.col("v"), F.col("s"), "t").first().t == "y"
+
+
+def test_dominant_attribute_orders_negative_amounts(spark):
+    df = spark.createDataFrame([("o", "x", -5, 9), ("o", "y", -4, 1)], "k string, t string, v int, s int")
+    assert dominant_attribute(df, "k", "t", F.col("v"), F.col("s"), "t").first().t == "y"
+
+
+def test_dedupe_without_modal_columns(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0)], "k string, x double")
+    assert tuple(dedupe_dimension(df, "k", {"x": F.col("x")}, {}).first()) == ("a", 2.0)
 
 
 def test_dedupe_ignores_missing_values(spark):

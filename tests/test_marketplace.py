@@ -9,6 +9,7 @@ from decimal import ROUND_HALF_UP, Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from grainwise.operators import quality
 from grainwise.operators.quality import Expectation, register_tally
 from grainwise.plans import audit, marketplace
 from grainwise.plans import orders as od
@@ -211,8 +212,43 @@ def test_audit_register(t):
 
 def test_issue_register(t):
     got = {r.id: r.issue for r in audit.issue_register(t).collect()}
-    assert got["DQ-01"] == "2 orders hold several items (max 2), 1 several payments (max 3)"
-    assert got["RI-00"] == "Without order: items 1, payments 1, reviews 1; items without product: 1"
+    assert len(got) == 11
+    assert got["DQ-01"] == "multi items 2, max items 2, multi payments 1, max payments 3"
+    assert got["RI-00"] == (
+        "items orphan orders 1, payments orphan orders 1, reviews orphan orders 1, items orphan products 1"
+    )
+    assert got["DQ-10"] == "labelled 0, label mismatches 0"
+
+
+def test_issue_register_compares_labels(spark, t):
+    labels = spark.createDataFrame([("a", "a"), ("a", "b"), ("a", None)], "topic string, gold_topic string")
+    row = next(r for r in audit.issue_register(t, labels).collect() if r.id == "DQ-10")
+    assert (row.issue, row.severity, row.impact) == ("labelled 2, label mismatches 1", "High", "50.00 % of labelled")
+
+
+def test_repeated_lookup_key_keeps_products_apart(spark):
+    products = spark.createDataFrame([("p", "x"), ("q", "x")], "product_id string, product_category_name string")
+    lookup = spark.createDataFrame([("x", "b"), ("x", "a")], "product_category_name string, product_category_name_english string")
+    assert sorted(map(tuple, od.products_clean(products, lookup).collect())) == [("p", "x", "a"), ("q", "x", "a")]
+
+
+def test_equal_states_go_to_the_first(spark):
+    states = spark.createDataFrame([("B", 5.0, 50.0), ("A", 5.0, 50.0)], "customer_state string, gmv double, pct_gmv double")
+    trend = spark.createDataFrame([("2018-01", 3)], "purchase_ym string, orders bigint")
+    revenue = spark.createDataFrame([("c", 1.0)], "category_en string, revenue double")
+    assert out.concentration(states, trend, revenue).first().top_state == "A"
+
+
+def test_correlation_of_a_constant_is_null(spark):
+    df = spark.range(1000).select(F.lit(12.3).alias("x"), F.lit(1).alias("n"), (F.col("id") % 5).alias("y"))
+    got = out.corr_at_child_grain(df.withColumn("yy", F.col("y") * F.col("y")), "x", "n", "y", "yy").first()
+    assert (got.r, got.n) == (None, 1000)
+
+
+def test_a_tolerance_is_not_reached(spark):
+    measured = spark.createDataFrame([("m", 10.5)], "metric string, value double")
+    exact = [quality.Expectation("c", "m", 10.0, 0.5), quality.Expectation("c", "m", 10.0, 0.6)]
+    assert [r.ok for r in quality.expectation_register(measured, exact).orderBy("tolerance").collect()] == [False, True]
 
 
 def test_views(spark, t):
@@ -305,7 +341,7 @@ def test_label_reports(spark, t, oc, tmp_path):
     with pytest.raises(ValueError, match="expected 5 unique labels"):
         ingest_labels(spark, str(tmp_path / "bulk.csv"), 5)
     reports = build_labels(sample, bulk, gold, str(tmp_path / "labels"))
-    assert sorted(os.listdir(tmp_path / "labels")) == sorted([*reports, "review_classification"])
+    assert sorted(os.listdir(tmp_path / "labels")) == sorted([*reports, "review_classification", "to_label"])
     report = reports["annotator_report"].first()
     assert (report.n, report.topic_kappa, report.joint_agreement) == (2, 1.0, 1.0)
     # scores of the four reviews with text are 2, 1, 4 and 3

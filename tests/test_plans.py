@@ -7,12 +7,13 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from __spark_entry__ import SMOKE_DIR, queries
+from __spark_entry__ import SMOKE_DIR
+from grainwise.bindings.catalog import QUERIES as CATALOG
 from grainwise.bindings.tables import Star
 from grainwise.operators.rank import exact_quantiles, global_rank
 from grainwise.plans import orders as od
 
-QUERIES = queries()
+QUERIES = CATALOG
 UNWANTED = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas")
 
 
@@ -42,8 +43,15 @@ def test_scan_is_pruned(spark):
 
 
 def test_filter_is_pushed_down(spark):
-    text = plan(Star(spark, SMOKE_DIR).purchases())
-    assert "EqualTo(event_type,purchase)" in text
+    for name in ("score_vs_delivery_sql", "corr_delivery_score", "signal_delivery_vs_score", "delivery_distribution"):
+        text = plan(QUERIES[name](spark, SMOKE_DIR))
+        assert "EqualTo(o_orderstatus,F)" in text and "Outer" not in text
+
+
+def test_payments_meet_a_hash_aggregate(large):
+    for name in ("payment_grain", "dominant_payment"):
+        nearest = [line for line in plan(QUERIES[name](large, SMOKE_DIR)).splitlines() if "Aggregate" in line][-1]
+        assert "HashAggregate" in nearest and "ObjectHash" not in nearest
 
 
 def test_children_are_combined_before_the_shuffle(large):

@@ -47,7 +47,7 @@ def test_value_mix_and_repeat_rate(spark):
 
 def test_data_dictionary_marks_derived_tables(spark):
     df = spark.createDataFrame([(1, None)], "a int, b string")
-    got = quality.data_dictionary({"raw": df, "made": df}, {"a": "first"}, ["made"])
+    got = quality.data_dictionary({"raw": df, "made": df}, {("raw", "a"): "first", ("made", "a"): "first"}, ["made"])
     assert rows(got)[0] == ("made", "a", "int", "first", "yes", 1, 0.0)
     assert rows(got)[3] == ("raw", "b", "string", "—", "no", 1, 100.0)
 
