@@ -113,7 +113,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of rows of about ``most`` text bytes; a longer row is a run."""
     for batch in batches:
         whole = batch.column(text).cast(pa.large_string()).fill_null("").cast(pa.large_binary())

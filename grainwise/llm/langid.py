@@ -303,7 +303,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = np.array([*m.languages, NONE], dtype=object)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             column = batch.column("text")
             n = len(column)
             best, score = np.full(n, len(m.languages)), np.zeros(n)

@@ -286,7 +286,7 @@ def pack(
                 names=["key", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
             )
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             key_type = batch.column("key").type
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for k, x in zip(batch.column("key").to_pylist(), tokens.encode(texts)):

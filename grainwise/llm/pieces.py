@@ -41,21 +41,21 @@ from pyspark.sql import functions as F
 from grainwise.llm.common import Prefix, mix64, slices, uniform, utf8
 
 OFFSET, THETA, SEED = 8.0, 1.0, 20_240_601
-MOST_WORDS = 300_000
+MOST_EDGES, AT_ONCE = 3_000_000, 16_384
 MARK = "▁"
 GLUE = "\ue0ff"  # opens a part of a text that no space precedes
 _U64 = np.uint64
 
 
 class Growing:
-    """An array that doubles its room as it grows."""
+    """An array that makes room as it grows."""
 
     def __init__(self, kind: type):
         self.data, self.size = np.zeros(1 << 12, kind), 0
 
     def add(self, more: np.ndarray) -> None:
         if self.size + len(more) > len(self.data):
-            room = np.zeros(2 * (self.size + len(more)), self.data.dtype)
+            room = np.zeros(int(1.4 * (self.size + len(more))), self.data.dtype)
             room[: self.size] = self.data[: self.size]
             self.data = room
         self.data[self.size : self.size + len(more)] = more
@@ -260,12 +260,13 @@ class Lattices:
                     run = ""
                 node = self._bytes(character.encode(), node)
             self.words[word] = node
-        if spans:
-            self.words.update(zip(plain, self._spans(spans, np.array(starts)).tolist()))
+        for at in range(0, len(spans), AT_ONCE):
+            part = slice(at, at + AT_ONCE)
+            self.words.update(zip(plain[part], self._spans(spans[part], np.array(starts[part])).tolist()))
 
     def ends(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """End nodes of all words of all texts, and the number of words of each text."""
-        if len(self.words) > MOST_WORDS:
+        if len(self.piece) > MOST_EDGES:
             self.reset()
         cut, glue = self.cut, " " + GLUE
         split: list[list[str]] = []
@@ -344,7 +345,7 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", th
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # no cycles are made here, and the collector would walk the tables again and again
         model = lattices(path, theta)
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             column = batch.column("text")
             nodes, counts = model.ends([t or "" for t in column.to_pylist()])
             keys = mix64(batch.column("seed").to_numpy(zero_copy_only=False).astype(np.int64).view(_U64))
@@ -382,7 +383,7 @@ def decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids", carr
             flat = column.flatten().to_numpy(zero_copy_only=False)
             while at < len(lengths):
                 base = ends[at] - lengths[at]
-                stop = max(at + 1, int(np.searchsorted(ends, base + (1 << 20), side="right")))
+                stop = max(at + 1, int(np.searchsorted(ends, base + (1 << 18), side="right")))
                 own = flat[base : ends[stop - 1]]
                 width = size[own]
                 run_ = np.concatenate([[0], np.cumsum(width)])
