@@ -16,8 +16,8 @@ one vertex; their rows come back in the end, the least ids first, which is all t
 can enter a result.
 
 Largest inner product becomes nearest neighbour by one more coordinate that gives all
-vectors the same norm; scores are inner products of the original vectors in double
-precision.
+vectors the same norm. The walk scores in single precision; what it found best is
+scored anew, by inner products of the original vectors in double precision.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null
 or non-finite components take no part; equal scores go to the smaller id; rows of
@@ -35,10 +35,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainwise.llm.common import mix64, stored
+from grainwise.llm.common import mix64, release, stored
 
-DEGREE, TREES, PART, ROUNDS, SAMPLE = 32, 6, 192, 4, 14
-WIDTH, EXPAND, STEPS = 160, 24, 4
+DEGREE, TREES, PART, ROUNDS, SAMPLE = 40, 8, 192, 7, 14
+WIDTH, EXPAND, STEPS = 288, 56, 3
+#: Of the best found in single precision so many more than asked are scored anew in double.
+SPARE = 40
 OFFERS = 12
 _U64 = np.uint64
 
@@ -230,7 +232,9 @@ def neighbour_graph(level_: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         news = stored(met.groupBy(_bucket("place", spark).alias("bucket")).applyInArrow(_introduce, LISTS), "news")
         sent = meet.filter("sent = 1").groupBy(F.col("place").alias("node")).agg(F.collect_set("node").alias("sent"))
         aged = graph.join(sent, "node", "left").mapInArrow(_age, LISTS)
+        last = graph
         graph = stored(_merged(aged.union(news)), "graph")
+        release(last, meet, news)
     return graph
 
 
@@ -260,16 +264,16 @@ STATE = "query bigint, ids binary, scores binary, seen binary"
 
 
 def _score(width: int):
-    """Score a query's new candidates in double precision and keep the best ``width``."""
+    """Score a query's new candidates and keep the best ``width``."""
 
     def run(part: pa.Table, state: pa.Table) -> pa.Table:
         own = {q: (i, s, f) for q, i, s, f in zip(*(state.column(c).to_pylist() for c in ("query", "ids", "scores", "seen")))}
-        vecs = dict(zip(state.column("query").to_pylist(), state.column("vec").to_pylist()))
+        # the coordinate that levels norms plays no part in a query's inner products
+        vecs = {q: np.frombuffer(x, np.float32)[:-1] for q, x in zip(state.column("query").to_pylist(), state.column("x").to_pylist())}
         query = part.column("query").to_numpy()
         order = np.argsort(query, kind="stable")
         query, cand = query[order], part.column("cand").to_numpy()[order]
-        flat = part.column("vec").combine_chunks().flatten().to_numpy()
-        x = flat.reshape(len(query), -1)[order] if len(query) else np.zeros((0, 1))
+        x = np.frombuffer(b"".join(part.column("x").to_pylist()), np.float32).reshape(len(query), -1) if len(query) else None
         lo, hi = (dict(zip(*np.unique(query, return_index=True))), dict(zip(*np.unique(query, return_counts=True)))) if len(query) else ({}, {})
         names, ids_out, scores_out, seen_out = [], [], [], []
         for q, (ids, scores, seen) in own.items():
@@ -280,7 +284,7 @@ def _score(width: int):
                 fresh = ~np.isin(cand[a:b], ids)
                 more = cand[a:b][fresh]
                 ids = np.concatenate([ids, more])
-                scores = np.concatenate([scores, x[a:b][fresh] @ np.asarray(vecs[q], np.float64)])
+                scores = np.concatenate([scores, (x[order[a:b][fresh], :-1] @ vecs[q]).astype(np.float64)])
                 seen = np.concatenate([seen, np.zeros(len(more), np.int8)])
                 best = np.lexsort((ids, -scores))[:width]
                 ids, scores, seen = ids[best], scores[best], seen[best]
@@ -330,10 +334,10 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("query").to_numpy(), counts)), pa.array(ids)], names=["query", "cand"])
 
 
-def search(vectors: DataFrame, graph: DataFrame, queries: DataFrame, width: int = WIDTH, expand: int = EXPAND, steps: int = STEPS) -> DataFrame:
+def search(leveled: DataFrame, graph: DataFrame, queries: DataFrame, width: int = WIDTH, expand: int = EXPAND, steps: int = STEPS) -> DataFrame:
     """State rows (query, ids, scores, seen) of queries (node) that are vertices, best candidates first."""
-    spark = vectors.sparkSession
-    asked = stored(queries.select(F.col("node").alias("query")).join(vectors.select(F.col("node").alias("query"), "vec"), "query"), "queries")
+    spark = leveled.sparkSession
+    asked = stored(queries.select(F.col("node").alias("query")).join(leveled.select(F.col("node").alias("query"), "x"), "query"), "queries")
     nothing = F.unhex(F.lit(""))
     state = asked.select("query", nothing.alias("ids"), nothing.alias("scores"), nothing.alias("seen"))
     frontier = asked.select("query", F.col("query").alias("node"))
@@ -341,7 +345,7 @@ def search(vectors: DataFrame, graph: DataFrame, queries: DataFrame, width: int
         found = frontier.join(graph.select("node", "ids"), "node").mapInArrow(_neighbours, "query bigint, cand bigint")
         # vertices that know the visited ones are neighbours too
         candidates = found.union(frontier.select("query", F.col("node").alias("cand"))).distinct()
-        scored = candidates.join(vectors.select(F.col("node").alias("cand"), "vec"), "cand").select("query", "cand", "vec")
+        scored = candidates.join(leveled.select(F.col("node").alias("cand"), "x"), "cand").select("query", "cand", "x")
         state = stored(
             scored.groupBy(_bucket("query", spark).alias("bucket"))
             .cogroup(state.join(asked, "query").groupBy(_bucket("query", spark).alias("bucket")))
@@ -359,14 +363,13 @@ def search(vectors: DataFrame, graph: DataFrame, queries: DataFrame, width: int
 def _unpack(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            q, n, s = [], [], []
-            for query, ids, scores in zip(*(batch.column(c).to_pylist() for c in ("query", "ids", "scores"))):
-                ids, scores = np.frombuffer(ids, np.int64)[:most], np.frombuffer(scores, np.float64)[:most]
+            q, n = [], []
+            for query, ids in zip(*(batch.column(c).to_pylist() for c in ("query", "ids"))):
+                ids = np.frombuffer(ids, np.int64)[:most]
                 q.append(np.full(len(ids), query, np.int64))
                 n.append(ids)
-                s.append(scores)
             if q:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (q, n, s)], names=["query", "node", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (q, n)], names=["query", "node"])
 
     return run
 
@@ -407,8 +410,11 @@ def nearest(df: DataFrame, is_query: Column, most: int = 20, key: str = "vec_id"
     graph = stored(symmetric(neighbour_graph(leveled)), "lists")
     named = rows.join(distinct.select("vec", "node"), "vec").select("id", "node").distinct()
     asked = stored(named.join(wanted, "id"), "asked")
-    state = search(distinct.select("node", "vec"), graph, asked.select("node").distinct())
-    hits = state.mapInArrow(_unpack(most + 1), "query bigint, node bigint, score double")
+    state = search(leveled, graph, asked.select("node").distinct())
+    found = state.mapInArrow(_unpack(most + 1 + SPARE), "query bigint, node bigint").join(distinct.select("node", "vec"), "node")
+    pairs = found.join(distinct.select(F.col("node").alias("query"), F.col("vec").alias("query_vec")), "query")
+    product = F.aggregate(F.zip_with("vec", "query_vec", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    hits = pairs.select("query", "node", product.alias("score"))
     # of equal vectors the least ids, by parts first so that no task sorts a whole group
     salted = named.join(distinct.filter("n > 1").select("node"), "node").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
     some = salted.withColumn("r", F.row_number().over(Window.partitionBy("node", "salt").orderBy("id"))).filter(F.col("r") <= most + 1)
