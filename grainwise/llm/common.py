@@ -113,10 +113,16 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut batches into runs of rows of about ``most`` text bytes; a longer row is a run."""
+def slices(
+    batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20, within: str | None = None
+) -> Iterator[pa.RecordBatch]:
+    """Cut batches into runs of rows of about ``most`` text bytes; a longer row is a run.
+
+    ``within`` names a struct column that holds the text as a field.
+    """
     for batch in batches:
-        whole = batch.column(text).cast(pa.large_string()).fill_null("").cast(pa.large_binary())
+        column = batch.column(within).field(text) if within else batch.column(text)
+        whole = column.cast(pa.large_string()).fill_null("").cast(pa.large_binary())
         lengths = pc.binary_length(whole).to_numpy(zero_copy_only=False)
         start = 0
         while start < batch.num_rows:

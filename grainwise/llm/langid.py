@@ -297,14 +297,15 @@ def posteriors(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray,
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", label_words: bool = False) -> DataFrame:
     """(key, lang_pred, score[, word_langs]); ``word_langs`` has a label for each word that holds a letter."""
-    source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    inner = text.removeprefix(f"{key}.") if text.startswith(f"{key}.") else None  # the text is a field of the key
+    source = docs.select(F.col(key).alias("key"), *([] if inner else [F.col(text).cast("string").alias("text")]))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by BUCKETS, LEXICON and MOST_LANGUAGES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = np.array([*m.languages, NONE], dtype=object)
-        for batch in slices(batches, "text", 4 << 20):
-            column = batch.column("text")
+        for batch in slices(batches, inner or "text", 1 << 20, "key" if inner else None):
+            column = batch.column("key").field(inner) if inner else batch.column("text")
             n = len(column)
             best, score = np.full(n, len(m.languages)), np.zeros(n)
             labels = [[] for _ in range(n)]
@@ -330,14 +331,13 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
 
     schema = T.StructType([source.schema["key"]]).add("lang_pred", "string").add("score", "double")
     if label_words:
-        schema = schema.add("word_langs", "array<string>")
+        schema = schema.add("word_langs", T.ArrayType(T.StringType()))
     return source.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """Whole rows whose language is known with a score of at least ``least``; a missing ``lang`` is filled in."""
-    rows = docs.select(F.struct("*").alias("row"), "text")
-    kept = predict(rows, model, key="row").filter((F.col("lang_pred") != NONE) & (F.col("score") >= least))
+    kept = predict(docs.select(F.struct("*").alias("row")), model, key="row", text="row.text").filter((F.col("lang_pred") != NONE) & (F.col("score") >= least))
     return kept.select(
         *[(F.coalesce("row.lang", "lang_pred") if c == "lang" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
     )

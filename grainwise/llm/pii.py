@@ -101,7 +101,7 @@ def _shift(c: Column, k: Column, undo: bool, hexed: Column) -> Column:
 
 def permute_text(text: Column, key: str, kind: str, undo: bool = False) -> Column:
     """Letters and digits permuted in their places; a lower-case hex string stays one."""
-    hexed = text.rlike("^(?=.*[0-9])[0-9a-f]{8,}$")
+    hexed = text.rlike("^(?=.*[0-9])(?=.*[a-f])[0-9a-f]{8,}$")
     h = F.floor(F.length(text) / 2).cast("int")
 
     def moved(part: Column, other: Column, rnd: Column) -> Column:
