@@ -11,7 +11,8 @@ from grainwise.functions.classify import category_label, rfm_segment
 from grainwise.functions.money import exact_total, minor_units
 from grainwise.functions.temporal import elapsed_days, whole_days, year_month
 from grainwise.operators.grain import LARGEST, attach, by_attribute, dedupe_dimension, dominant_attribute, to_parent_grain
-from grainwise.operators.rank import global_rank, quantile_bin
+from grainwise.operators.rank import binned
+from grainwise.session import cut_lineage
 
 # Labels of the two categories that the lookup lacks.
 MANUAL_CATEGORIES = {
@@ -176,9 +177,11 @@ def customer_rfm(order_grain: DataFrame, reference: Column, repeat_min: int = 2)
     """Recency, frequency, monetary, quintile scores and segment per person.
 
     ``reference`` is the instant recency counts from (the last purchase of all).
-    Scores come from exact global ranks with the person id as tie-break.
+    Scores are exact quintiles of the rank by value and person id; only persons tied at
+    a cut between quintiles are ranked.
     """
-    base = (
+    # persons are read several times, so the joins behind them are evaluated once
+    base = cut_lineage(
         people(order_grain)
         .select(
             "customer_unique_id",
@@ -187,16 +190,10 @@ def customer_rfm(order_grain: DataFrame, reference: Column, repeat_min: int = 2)
             "monetary",
         )
     )
-    by_recency = global_rank(base, ["recency_days", "customer_unique_id"], "_recency_rank", "_n")
-    ranked = global_rank(
-        by_recency.withColumn("R_score", 6 - quantile_bin(F.col("_recency_rank"), F.col("_n"))).drop(
-            "_recency_rank", "_n"
-        ),
-        ["monetary", "customer_unique_id"],
-        "_monetary_rank",
-        "_n",
-    )
-    scored = ranked.withColumn("M_score", quantile_bin(F.col("_monetary_rank"), F.col("_n")))
+    scale = base.schema["monetary"].dataType.scale
+    by_recency = binned(base, F.col("recency_days"), "customer_unique_id", "_recency")
+    ranked = by_recency.withColumn("R_score", 6 - F.col("_recency")).drop("_recency")
+    scored = binned(ranked, minor_units(F.col("monetary"), scale), "customer_unique_id", "M_score")
     frequency = F.col("frequency")
     return scored.select(
         "customer_unique_id",

@@ -11,7 +11,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from grainwise.operators.rank import count_values, exact_quantiles, global_rank, order_statistics, quantile_bin, quantiles
+from grainwise.operators.rank import binned, count_values, exact_quantiles, global_rank, order_statistics, quantile_bin, quantiles
 
 
 def frame(spark, pdf, parts=4):
@@ -79,3 +79,11 @@ def test_totals_include_rows_without_a_value(spark):
     counts = count_values(df, F.col("v"), totals={"w": F.col("w")})
     assert counts.agg(F.sum("w")).first()[0] == 112
     assert quantiles(counts, {"m": 0.5}).first().m == 2.0
+
+
+@pytest.mark.parametrize("values", [[5], [1, 1], list(range(12)), [0] * 13, [1, 2, 2, 2, 2, 2, 3], [7, 7, 1, 1, 1, 9, 9, 9, 9, 9, 9]])
+def test_binned_equals_bins_of_ranks(spark, values):
+    df = spark.createDataFrame([(v, f"id{i:02d}") for i, v in enumerate(values)], "v bigint, id string").repartition(4)
+    ranked = global_rank(df, ["v", "id"], "r", "n").select("id", quantile_bin(F.col("r"), F.col("n")).alias("bin"))
+    got = binned(df, F.col("v"), "id", "bin").select("id", "bin")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, ranked.collect()))
