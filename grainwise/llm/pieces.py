@@ -108,6 +108,33 @@ def piece_bytes(path: str) -> list[bytes]:
     return out
 
 
+def byte_pieces(path: str) -> list[int]:
+    """The id of each byte's piece."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+
+
+def vocabulary(path: str, theta: float) -> dict[str, tuple[int, float]]:
+    """Usable pieces with their ids and probabilities."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    size = model.get_piece_size()
+    scores: dict[str, tuple[int, float]] = {}
+    for i in range(size):
+        piece = model.id_to_piece(i)
+        if model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
+            continue
+        # a lone space has no rank of its own but must stay usable: it gets the last one
+        rank = -model.get_score(i) if model.get_score(i) > -1e8 else float(size) if len(piece) == 1 else None
+        if rank is not None:
+            scores[piece] = (i, (rank + OFFSET) ** -theta)
+    total = sum(p for _, p in scores.values())
+    return {s: (i, p / total) for s, (i, p) in scores.items()}
+
+
 class Lattices:
     """A piece model and the sampled lattices of the words met so far.
 
@@ -116,39 +143,23 @@ class Lattices:
     """
 
     def __init__(self, path: str, theta: float):
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        size = model.get_piece_size()
-        self.byte_ids = [0] * 256
-        scores: dict[str, tuple[int, float]] = {}
-        for i in range(size):
-            piece = model.id_to_piece(i)
-            if model.is_byte(i):
-                self.byte_ids[int(piece[3:5], 16)] = i
-            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                # a lone space has no rank of its own but must stay usable: it gets the last one
-                rank = -model.get_score(i) if model.get_score(i) > -1e8 else float(size) if len(piece) == 1 else None
-                if rank is not None:
-                    scores[piece] = (i, (rank + OFFSET) ** -theta)
-        total = sum(p for _, p in scores.values())
-        self.vocabulary = {s: (i, p / total) for s, (i, p) in scores.items()}
-        self.single = {s for s in self.vocabulary if len(s) == 1}
+        known = vocabulary(path, theta)
+        self.byte_ids = byte_pieces(path)
+        self.single = {s for s in known if len(s) == 1}
         # marks that no piece has right after a letter begin a part of their own
-        joined = {b for s in self.vocabulary for a, b in zip(s, s[1:]) if a.isalpha()}
+        joined = {b for s in known for a, b in zip(s, s[1:]) if a.isalpha()}
         marks = [c for c in string.punctuation if c not in joined]
         self.cut = re.compile(f"(?<=[^\\W\\d_])(?=[{re.escape(''.join(marks))}])").sub if marks else lambda _, t: t
-        longer = {s[:k] for s in self.vocabulary for k in range(1, len(s))}
-        known = sorted(longer | self.vocabulary.keys())
-        column = pa.array(known, pa.large_string())
-        data, offsets = utf8(column)
+        longer = {s[:k] for s in known for k in range(1, len(s))}
+        names = sorted(longer | known.keys())
+        data, offsets = utf8(pa.array(names, pa.large_string()))
         prints = Prefix(data).of(offsets[:-1], offsets[1:])
         order = np.argsort(prints)
         none = (-1, 1.0)
         self.lookup = Lookup(prints[order])
-        self.ids = np.array([self.vocabulary.get(s, none)[0] for s in known], np.int32)[order]
-        self.logs = np.log([self.vocabulary.get(s, none)[1] for s in known])[order]
-        self.longer = np.array([s in longer for s in known])[order]
+        self.ids = np.array([known.get(s, none)[0] for s in names], np.int32)[order]
+        self.logs = np.log([known.get(s, none)[1] for s in names])[order]
+        self.longer = np.array([s in longer for s in names])[order]
         self.reset()
 
     def reset(self) -> None:
@@ -378,9 +389,8 @@ def decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids", carr
             null = np.asarray(column.is_null().to_numpy(zero_copy_only=False), dtype=bool)
             lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             ends = np.cumsum(lengths)
-            at = 0
-            texts: list[pa.Array] = []
             flat = column.flatten().to_numpy(zero_copy_only=False)
+            at = 0
             while at < len(lengths):
                 base = ends[at] - lengths[at]
                 stop = max(at + 1, int(np.searchsorted(ends, base + (1 << 18), side="right")))
@@ -389,16 +399,16 @@ def decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids", carr
                 run_ = np.concatenate([[0], np.cumsum(width)])
                 data = table[np.arange(run_[-1]) + np.repeat(start[own] - run_[:-1], width)].tobytes()
                 edges = run_[np.concatenate([[0], ends[at:stop] - base])].tolist()
-                texts += [
+                texts = [
                     None if n else data[a:b][1:] if data[a : a + 1] == b" " else data[a:b]
                     for a, b, n in zip(edges[:-1], edges[1:], null[at:stop])
                 ]
+                rest = [batch.column(c).slice(at, stop - at) for c in ("key", *[f"c{i}" for i in range(len(carry))])]
+                yield pa.RecordBatch.from_arrays(
+                    [rest[0], pa.array(texts, pa.binary()).cast(pa.string()), *rest[1:]],
+                    names=["key", "text", *[f"c{i}" for i in range(len(carry))]],
+                )
                 at = stop
-            text = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), text, *[batch.column(f"c{i}") for i in range(len(carry))]],
-                names=["key", "text", *[f"c{i}" for i in range(len(carry))]],
-            )
 
     schema = f"key {kinds[0]}, text string" + "".join(f", c{i} {k}" for i, k in enumerate(kinds[1:]))
     out = source.mapInArrow(run, schema)
