@@ -335,7 +335,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     return source.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
-def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+def accepted(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
     """Whole rows whose language is known with a score of at least ``least``; a missing ``lang`` is filled in."""
     kept = predict(docs.select(F.struct("*").alias("row")), model, key="row", text="row.text").filter((F.col("lang_pred") != NONE) & (F.col("score") >= least))
     return kept.select(
