@@ -52,13 +52,14 @@ def test_pieces_exist_and_spell_the_text(model):
 def test_distribution_is_that_of_the_lattice(model):
     """Against every segmentation of a word, listed by brute force."""
     word, found = pieces.MARK + "heating", []
+    known = pieces.vocabulary(PATH, 1.0)
 
     def walk(at, ids, p):
         if at == len(word):
             found.append((tuple(ids), p))
         for end in range(at + 1, len(word) + 1):
-            if word[at:end] in model.vocabulary:
-                i, q = model.vocabulary[word[at:end]]
+            if word[at:end] in known:
+                i, q = known[word[at:end]]
                 walk(end, [*ids, i], p * q)
 
     walk(0, [], 1.0)
