@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -113,13 +114,23 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+#: Caches that outlive a task in a reused Python worker, by their operator.
+CACHES: dict[str, dict] = {}
+
+
 def slices(
-    batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20, within: str | None = None
+    batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20, within: str | None = None, owner: str | None = None
 ) -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of rows of about ``most`` text bytes; a longer row is a run.
 
-    ``within`` names a struct column that holds the text as a field.
+    ``within`` names a struct column that holds the text as a field. Workers serve one
+    operator after another, so what other operators than ``owner`` keep is given up first.
     """
+    for name, cache in CACHES.items():
+        if name != owner:
+            cache.clear()
+    if owner is None:
+        gc.enable()
     for batch in batches:
         column = batch.column(within).field(text) if within else batch.column(text)
         whole = column.cast(pa.large_string()).fill_null("").cast(pa.large_binary())

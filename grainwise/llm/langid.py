@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from grainwise.llm.common import Prefix, fold_of, mix64, slices, utf8, words
 
-PER_LANGUAGE, MOST_LANGUAGES = 500, 64
+PER_LANGUAGE, MOST_LANGUAGES = 300, 64
 BUCKETS, LEXICON, RUN = 1 << 17, 4_000, 64
 NONE = "und"
 _U64 = np.uint64

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainwise.llm.common import slices
+from grainwise.llm.common import CACHES, slices
 
 CAPACITY, END_ID, BLOCK = 2048, 1, 1 << 20
 
@@ -142,7 +142,7 @@ class WordTokens:
         return out
 
 
-_ENCODERS: dict[str, WordTokens] = {}
+_ENCODERS: dict[str, WordTokens] = CACHES.setdefault("packing", {})
 
 
 def encoder(path: str) -> WordTokens:
@@ -257,7 +257,7 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # no cycles are made here, and the collector would walk the cache again and again
-        tokens, part = encoder(path), TaskContext.get().partitionId() << 33
+        part = TaskContext.get().partitionId() << 33
         keys: list = []
         ids: list[bytes] = []
         held = 0
@@ -286,10 +286,10 @@ def pack(
                 names=["key", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
             )
 
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 4 << 20, owner="packing"):
             key_type = batch.column("key").type
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            for k, x in zip(batch.column("key").to_pylist(), tokens.encode(texts)):
+            for k, x in zip(batch.column("key").to_pylist(), encoder(path).encode(texts)):
                 keys.append(k)
                 ids.append(x + end)
                 held += len(ids[-1]) // 4

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainwise.llm.common import Prefix, mix64, slices, uniform, utf8
+from grainwise.llm.common import CACHES, Prefix, mix64, slices, uniform, utf8
 
 OFFSET, THETA, SEED = 8.0, 1.0, 20_240_601
 MOST_EDGES, AT_ONCE = 3_000_000, 16_384
@@ -333,7 +333,7 @@ class Lattices:
         return ids, np.diff(edges)
 
 
-_LATTICES: dict[tuple[str, float], Lattices] = {}
+_LATTICES: dict[tuple[str, float], Lattices] = CACHES.setdefault("pieces", {})
 
 
 def lattices(path: str, theta: float) -> Lattices:
@@ -355,8 +355,8 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", th
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # no cycles are made here, and the collector would walk the tables again and again
-        model = lattices(path, theta)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", owner="pieces"):
+            model = lattices(path, theta)
             column = batch.column("text")
             nodes, counts = model.ends([t or "" for t in column.to_pylist()])
             keys = mix64(batch.column("seed").to_numpy(zero_copy_only=False).astype(np.int64).view(_U64))
