@@ -114,9 +114,8 @@ def _column_turns(record: Column, m: Mapping) -> Column:
             ),
         )
     turns = [F.struct(F.lit(r).alias("role"), F.coalesce(record[p], F.lit("")).alias("text")) for r, p in m.single]
-    # an optional field that is empty makes no turn
-    kept = F.filter(F.array(*turns), lambda t: (t["text"] != "") | ~t["role"].isin("system"))
-    return F.transform(kept, lambda t: t)
+    # an empty system field makes no turn
+    return F.filter(F.array(*turns), lambda t: (t["text"] != "") | (t["role"] != "system"))
 
 
 def _json_turns(payload: Column, m: Mapping) -> Column:

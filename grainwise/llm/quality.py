@@ -45,31 +45,25 @@ def _without(text: Column, characters: str) -> Column:
     return F.length(F.translate(text, characters, ""))
 
 
-def _repeat_words(words: Column) -> Column:
-    """Words inside 3-word windows that occur at least twice in the text.
-
-    Windows are compared by 64-bit fingerprints. Texts whose windows all differ are
-    told apart by one hash set; the others sort their windows and add up what the
-    repeated ones cover.
-    """
-    windows = F.when(
+def _windows(words: Column) -> Column:
+    """64-bit fingerprints of all 3-word windows; null for shorter texts."""
+    return F.when(
         F.size(words) >= 3,
         F.transform(
             F.sequence(F.lit(0), F.size(words) - 3),
             lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)),
         ),
     )
-    ordered = F.sort_array(F.transform(F.col("_windows"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    return windows, ordered
 
 
 def text_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds the counts of ``BASE`` and what ``FEATURES`` need; all are functions of the text alone."""
     body = F.coalesce(F.col(text), F.lit(""))
     df = df.withColumn("_words", F.regexp_extract_all(body, F.lit(WORD), F.lit(0)))
-    windows, ordered = _repeat_words(F.col("_words"))
     lines = F.filter(F.split(body, "\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    df = df.withColumn("_windows", windows).withColumn("_lines", lines)
+    df = df.withColumn("_windows", _windows(F.col("_words"))).withColumn("_lines", lines)
+    # windows that occur twice are neighbours once sorted; their places are then put in order
+    ordered = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     twice = F.transform(
         F.array(ordered),
         lambda s: F.sort_array(
@@ -84,6 +78,7 @@ def text_counts(df: DataFrame, text: str = "text") -> DataFrame:
         F.lit(0).cast("bigint"),
         lambda total, x: total + x,
     )
+    # most texts repeat no window, which one hash set tells
     repeated = F.when(
         F.col("_windows").isNull() | (F.size("_windows") == F.size(F.array_distinct("_windows"))), F.lit(0).cast("bigint")
     ).otherwise(covered)
