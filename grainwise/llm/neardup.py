@@ -10,11 +10,15 @@ A document is its five-word shingles, each weighted ``tf * idf``:
 
 Consistent weighted samples agree between two documents with the probability of their
 weighted Jaccard similarity. ``BANDS`` bands of ``ROWS`` samples are formed, and
-documents that agree in two bands are candidates. In every group of candidates the
-members are compared with one hub; members unlike the hub are split by one more
-sample and grouped again, so no group is ever paired out and no member is left
-uncompared. Candidates are verified by their exact weighted Jaccard similarity,
-linked if it reaches ``SIMILARITY``, and linked documents form a class.
+documents that agree in a band are a group. Candidates are the pairs of a group that
+agree in ``LEAST_AGREEMENT`` of all samples; they are verified by their exact weighted
+Jaccard similarity, linked if it reaches ``SIMILARITY``, and linked documents form a
+class. Every group is compared with one hub first. A group that this does not make one
+class goes on: each member names its candidates outside its class, likeliest first, a
+few in the first turn and ``GROWTH`` times as many in each further one, until every candidate
+pair is verified or inside one class. Members of one class are not compared again, so
+groups of near copies are not paired out; candidates that stay below ``SIMILARITY``
+are all verified, and their number may grow with the square of such a group.
 
 Texts that are equal share a class before any of this, and only one of them is
 sampled, so a group of copies costs one document.
@@ -31,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainwise.llm.common import Prefix, mix64, release, slices, stored, utf8, words
@@ -43,6 +47,8 @@ COMMON, DAMPING = 1 / 256, 0.25
 #: Pairs that agree in less than this share of samples are not verified; at a
 #: similarity of 0.8, 42 samples fall below it with a probability of about 1e-6.
 LEAST_AGREEMENT = 0.5
+#: Candidates of a member in the first turn, growth by turn; members whose candidates one task finds.
+FIRST, GROWTH, PART = 16, 16, 4096
 FLUSH = 1 << 22
 _U64 = np.uint64
 _ODD = [_U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -201,7 +207,7 @@ def samples(prints: np.ndarray, weights: np.ndarray, first: np.ndarray, count: i
 
 
 def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
-    """(node, sample codes folded to 32 bits, band keys) of every row with words."""
+    """(node, sample codes folded to a byte each, band keys) of every row with words."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,14 +225,23 @@ def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
                     for k in range(b * ROWS, (b + 1) * ROWS):
                         key = mix64(key * _ODD[2] + codes[:, k])
                     bands[:, b] = key
-            folded = (codes >> _U64(32)).astype(np.uint32).view(np.int32)
+            folded = (codes >> _U64(56)).astype(np.uint8)
             nodes = batch.column("node").take(pa.array(row[first]))
             yield pa.RecordBatch.from_arrays(
-                [nodes, _lists(folded, pa.int32()), _lists(bands.view(np.int64), pa.int64())],
+                [nodes, _bytes(folded), _lists(bands.view(np.int64), pa.int64())],
                 names=["node", "codes", "bands"],
             )
 
-    return docs.select("node", "text").mapInArrow(run, "node bigint, codes array<int>, bands array<bigint>")
+    return docs.select("node", "text").mapInArrow(run, "node bigint, codes binary, bands array<bigint>")
+
+
+def _bytes(grid: np.ndarray) -> pa.Array:
+    offsets = np.arange(0, grid.size + 1, grid.shape[1], dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(grid), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(grid))])
+
+
+def _grid(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
 
 
 def _lists(grid: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -237,57 +252,120 @@ def _lists(grid: np.ndarray, kind: pa.DataType) -> pa.Array:
 # --- candidates ----------------------------------------------------------------------
 
 
-def _agreement(a: Column, b: Column) -> Column:
-    same = F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0))
-    return F.aggregate(same, F.lit(0), lambda s, x: s + x) / F.size(a)
-
-
-def candidate_keys(sampled: DataFrame) -> DataFrame:
-    """(key, node): a key for every two bands that a node shares with others."""
-    banded = sampled.select("node", F.posexplode("bands").alias("band", "print"))
-    shared = banded.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print")
-    mine = banded.join(shared, "print").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("band", "print"))).alias("kept"))
-    two = F.flatten(
-        F.transform(
-            "kept",
-            lambda x: F.transform(
-                F.filter("kept", lambda y: y["band"] > x["band"]),
-                lambda y: F.xxhash64(x["band"], y["band"], x["print"], y["print"]),
-            ),
-        )
+def groups(sampled: DataFrame) -> DataFrame:
+    """(print, node, hub): the members of every band that two nodes share."""
+    banded = sampled.select("node", F.explode("bands").alias("print"))
+    hubs = banded.groupBy("print").agg(
+        F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("hub")
+    ).filter("n > 1").select("print", F.col("hub.node").alias("hub"))
+    return banded.join(hubs, "print").select("print", "node", "hub")
+
+
+def hub_pairs(members: DataFrame, codes: DataFrame) -> DataFrame:
+    """Distinct (node, hub) that agree in enough samples."""
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                same = (_grid(batch.column("codes")) == _grid(batch.column("hub_codes"))).mean(axis=1)
+                at = pa.array(np.flatnonzero(same >= LEAST_AGREEMENT))
+                yield pa.RecordBatch.from_arrays([batch.column("node").take(at), batch.column("hub").take(at)], names=["node", "hub"])
+
+    distinct = members.filter("node <> hub").select("node", "hub").distinct()
+    held = distinct.join(codes, "node").join(codes.select(F.col("node").alias("hub"), F.col("codes").alias("hub_codes")), "hub")
+    return held.select("node", "hub", "codes", "hub_codes").mapInArrow(alike, "node bigint, hub bigint")
+
+
+def turn_of(part: pa.Table, start: int, end: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(nodes, candidates, whether more follow) of a group's own rows: places ``start`` to ``end`` of each.
+
+    Candidates are ordered by how well they agree with the member and with the group at
+    large, which brings the text that others were edited from to the front. The order
+    does not depend on classes, so turns together cover every candidate.
+    """
+    part = part.combine_chunks().sort_by("node")
+    node, comp = (part.column(c).to_numpy() for c in ("node", "comp"))
+    own = np.flatnonzero(part.column("own").to_numpy(zero_copy_only=False))
+    grid = np.ascontiguousarray(_grid(part.column("codes")).T)
+
+    def agreement(rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), len(node)), np.uint8)
+        for sample in grid:
+            out += sample[rows, None] == sample[None, :]
+        return out
+
+    a, b, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], False
+    if len(own):
+        central = agreement(own[:: max(1, len(own) // 256)]).mean(axis=0)
+    step = max(1, (1 << 22) // len(node))
+    for at in range(0, len(own), step):
+        rows = own[at : at + step]
+        same = agreement(rows)
+        like = same >= LEAST_AGREEMENT * BANDS * ROWS
+        like[np.arange(len(rows)), rows] = False
+        for i in np.flatnonzero((like & (comp[rows, None] != comp[None, :])).any(axis=1)):
+            found = np.flatnonzero(like[i])
+            found = found[np.argsort(-(same[i, found] + central[found]), kind="stable")]
+            other = comp[found] != comp[rows[i]]
+            now = found[start:end][other[start:end]]
+            a.append(np.full(len(now), node[rows[i]]))
+            b.append(node[now])
+            more = more or bool(other[end:].any())
+    return np.concatenate(a), np.concatenate(b), more
+
+
+def further_pairs(placed: DataFrame, codes: DataFrame, start: int, end: int) -> DataFrame:
+    """(print, a, b) of a turn in the groups of more than one class; a null pair says that more follow."""
+    unfinished = placed.groupBy("print").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter(
+        "x < y AND n > 2"
+    ).select("print", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+
+    def run(part: pa.Table) -> pa.Table:
+        a, b, more = turn_of(part, start, end)
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        a, b = (pa.array([*x.tolist(), *([None] if more else [])], pa.int64()) for x in pairs)
+        name = part.column("print")[0].as_py()
+        return pa.table({"print": pa.array([name] * len(a), pa.int64()), "a": a, "b": b})
+
+    rows = placed.join(unfinished, "print").join(codes, "node").select(
+        "print", "node", "comp", "codes", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("mine"),
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
     )
-    return mine.filter(F.size("kept") > 1).select("node", F.explode(two).alias("key"))
+    return rows.select("print", "part", "node", "comp", "codes", (F.col("mine") == F.col("part")).alias("own")).groupBy(
+        "print", "part"
+    ).applyInArrow(run, "print bigint, a bigint, b bigint")
 
 
-def candidate_pairs(sampled: DataFrame, keys: DataFrame) -> DataFrame:
-    """Distinct (a, b), ``a`` a group's hub, that agree in enough samples."""
-    keys = stored(keys, "keys")
+def all_links(sampled: DataFrame, texts: DataFrame, weights: Weights) -> tuple[DataFrame, DataFrame]:
+    """Verified (a, b, similarity), and the (node, root) they make: every similar candidate pair is inside one class."""
     codes = sampled.select("node", "codes")
-    found: list[DataFrame] = []
-    for turn in range(BANDS * ROWS):
-        hubs = keys.groupBy("key").agg(
-            F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("hub")
-        ).filter("n > 1").select("key", F.col("hub.node").alias("hub"))
-        member = keys.join(hubs, "key").filter("node <> hub")
-        distinct = member.select("node", "hub").distinct()
-        held = (
-            distinct.join(codes, "node")
-            .join(codes.select(F.col("node").alias("hub"), F.col("codes").alias("hub_codes")), "hub")
-            .select("node", "hub", (_agreement(F.col("codes"), F.col("hub_codes")) >= LEAST_AGREEMENT).alias("like"), F.get("codes", F.lit(turn)).alias("code"))
-        )
-        held = stored(held, "compared")
-        found.append(held.filter("like").select("node", "hub"))
-        unlike = held.filter("NOT like").select("node", "hub", "code")
-        rest = member.join(unlike, ["node", "hub"]).select("node", F.xxhash64("key", "code").alias("key"))
-        last = keys
-        keys = stored(rest, "keys")
-        release(last)
-        if keys.isEmpty():
-            break
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.union(more)
-    return pairs.distinct()
+    members = stored(groups(sampled), "members")
+    pairs = stored(hub_pairs(members, codes), "pairs")
+    links = stored(verified(pairs, texts, weights), "links")
+    tried = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    roots = stored(components(links.select("a", "b")), "roots")
+    some, start, size = None, 0, FIRST
+    while True:
+        placed = members.join(roots, "node", "left").select("print", "node", F.coalesce("root", "node").alias("comp"))
+        found = stored(further_pairs(placed, codes, start, start + size), "found")
+        new = stored(found.filter("a IS NOT NULL").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        if not new.isEmpty():
+            if some is None:
+                wanted = members.join(found.select("print").distinct(), "print").select("node").distinct()
+                some = stored(texts.join(wanted, "node").select("node", "text"), "texts")
+            more = stored(verified(new.select(F.col("a").alias("node"), F.col("b").alias("hub")), some, weights), "links")
+            tried = tried.union(new)
+            if not more.isEmpty():
+                links = links.union(more)
+                release(roots)
+                roots = stored(components(links.select("a", "b")), "roots")
+        left = found.filter("a IS NULL").select("print").distinct()
+        if left.isEmpty():
+            return links, roots
+        last = members
+        members = stored(members.join(left, "print", "left_semi"), "members")
+        release(last, found)
+        start, size = start + size, GROWTH * size
 
 
 # --- verification --------------------------------------------------------------------
@@ -343,9 +421,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     weights = Weights(*common_shingles(source))
     sampled = signatures(source.filter("id IS NOT NULL").withColumnRenamed("id", "node"), weights)
     sampled = stored(sampled.join(copies.select("node"), "node", "left_semi").dropDuplicates(["node"]), "samples")
-    pairs = stored(candidate_pairs(sampled, candidate_keys(sampled)), "pairs")
-    links = stored(verified(pairs, source.filter("id IS NOT NULL").select(F.col("id").alias("node"), "text").join(copies.select("node"), "node", "left_semi"), weights), "links")
-    roots = components(links.select("a", "b"))
+    texts = source.filter("id IS NOT NULL").select(F.col("id").alias("node"), "text").join(copies.select("node"), "node", "left_semi")
+    links, roots = all_links(sampled, texts, weights)
     degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     classes = stored(
         copies.join(roots, "node", "left").join(degree, "node", "left")

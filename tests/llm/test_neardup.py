@@ -73,6 +73,39 @@ def test_large_near_group_is_one_class(spark):
     assert len({got[1000 + i] for i in range(40)}) == 40
 
 
+def test_independent_edits_of_one_text_are_one_class(spark):
+    rows, n = [], 0
+    for group in range(4):
+        base = words(500 + group, 200)
+        rnd = random.Random(group)
+        rows.append((n, " ".join(base)))
+        for i in range(150):
+            w = list(base)
+            for at in rnd.sample(range(200), 3 + i % 2):
+                w[at] = f"edit{group}x{i}"
+            rows.append((n + 1 + i, " ".join(w)))
+        n += 1000
+    sets = [grams(t) for _, t in rows]
+    found = classes(nd.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    pairs = [(x, y) for x in range(len(rows)) for y in range(x) if x // 151 == y // 151]
+    near = [(x, y) for x, y in pairs if len(sets[x] & sets[y]) >= 0.801 * len(sets[x] | sets[y])]
+    assert len(near) < 0.5 * len(pairs)
+    assert [(x, y) for x, y in near if found[rows[x][0]] != found[rows[y][0]]] == []
+
+
+def test_turns_cover_every_candidate():
+    rng = np.random.default_rng(2)
+    grid = np.where(rng.random((60, 42)) < 0.8, 0, rng.integers(1, 255, (60, 42))).astype(np.uint8)
+    group = pa.table({"node": pa.array(range(60)), "comp": pa.array([i // 2 for i in range(60)]), "codes": [g.tobytes() for g in grid], "own": [i % 3 > 0 for i in range(60)]})
+    want = {(i, j) for i in range(60) for j in range(60) if i % 3 and i // 2 != j // 2 and (grid[i] == grid[j]).sum() >= 21}
+    got, start, size, more = set(), 0, 4, True
+    while more:
+        a, b, more = nd.turn_of(group, start, start + size)
+        got |= set(zip(a.tolist(), b.tolist()))
+        start, size = start + size, 2 * size
+    assert got == want
+
+
 def test_one_of_each(spark):
     rows = [(1, "a b c d e f", 1), (2, "a b c d e f", 2), (2, "a b c d e f", 2), (3, "other words entirely here now", 3), (3, "other words entirely here now", 3), (None, "a b c d e f", 4)]
     kept = nd.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint"))
