@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from grainwise.llm import ann, chat, htmltext, langid, neardup, packing, pieces, pii, quality, suffixdedup
+from grainwise.llm import ann, bpe, chat, htmltext, langid, neardup, packing, pieces, pii, quality, suffixdedup
 
 QUERIES = {
     "op9_ann": ann.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_quality": quality.query,
     "op5_packing": packing.query,
     "op8_chat": chat.query,
+    "op11_bpe": bpe.query,
 }
 ORACLE = {
     "op8_chat": chat.ORACLE,
