@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from grainwise.llm import ann, bpe, chat, htmltext, langid, neardup, packing, pieces, pii, quality, suffixdedup
+from grainwise.llm import ann, bpe, chat, htmltext, langid, neardup, packing, pieces, pii, quality, spelling, suffixdedup, tokenalign
 
 QUERIES = {
     "op9_ann": ann.query,
@@ -16,6 +16,8 @@ QUERIES = {
     "op5_packing": packing.query,
     "op8_chat": chat.query,
     "op11_bpe": bpe.query,
+    "op12_tokenalign": tokenalign.query,
+    "op13_spelling": spelling.query,
 }
 ORACLE = {
     "op8_chat": chat.ORACLE,
