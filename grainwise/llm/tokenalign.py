@@ -38,7 +38,11 @@ import hashlib
 import heapq
 import math
 import os
+import re
+from array import array
+from collections import Counter
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -51,10 +55,13 @@ from pyspark.sql import functions as F
 from grainwise.llm.bpe import byte_alphabet
 from grainwise.llm.common import CACHES, slices, stored
 
-BLOCK, PARTS, FAN_IN = 8 << 20, 64, 32
+BLOCK, PARTS, FAN_IN = 3 << 20, 64, 32
 _UNITS_MOST, _HELD_MOST, _UNIT_CHARS, _STEP = 400_000, 64 << 20, 64, 256 << 10
+#: A space opens a part, a single line feed is one.
+_PARTS = re.compile(r"\n| ?[^ \n]+| ")
+_MARKS, _PLAIN_LINKS = ".,;:!?", 64
 #: White space beyond single spaces and line feeds: such texts are aligned whole.
-_WHOLE = ("  ", "\n ", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", " ", *map(chr, range(0x2000, 0x200B)),
+_WHOLE = ("  ", "\n ", " \n", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", " ", *map(chr, range(0x2000, 0x200B)),
           " ", " ", " ", " ", "　", "▁")
 
 
@@ -104,86 +111,114 @@ class Aligner:
         self.b_bytes = [
             bytes([int(p.piece[3:5], 16)]) if p.type == p.BYTE else p.piece.replace("▁", " ").encode() for p in model.pieces
         ]
+        self.a_size, self.b_size = [len(t) for t in self.a_bytes], [len(t) for t in self.b_bytes]
+        #: Characters that follow each other inside a piece; between any others no piece can lie.
+        self.joined = {x + y for p in model.pieces if p.type == p.NORMAL for x, y in zip(p.piece, p.piece[1:])}
         self.clear()
 
     def clear(self) -> None:
         self.units: dict[str, int] = {}
-        self.sizes: list[tuple[int, int, int, int]] = []  # a tokens, b tokens, groups, links; -1 where bytes differ
+        self.sizes = array("q")  # four for each unit: a tokens, b tokens, groups, links; -1 where bytes differ
         self.text: list[bytes] = []
         self.codes: list[bytes] = []
-        self.times: list[bytes] = []  # links of each code, empty if each has one
+        self.times: dict[int, bytes] = {}  # links of each code of a unit, where not each has one
         self.held = 0
 
     def tidy(self) -> None:
-        if len(self.sizes) > _UNITS_MOST or self.held > _HELD_MOST:
+        if len(self.text) > _UNITS_MOST or self.held > _HELD_MOST:
             self.clear()
 
     def _add(self, unit: str, a: list[int], b: list[int]) -> int:
+        a_bytes, b_bytes, a_size, b_size = self.a_bytes, self.b_bytes, self.a_size, self.b_size
         raw = unit.encode()
-        if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
-            self.sizes.append((-1, 0, 0, 0))
-            self.text.append(b"")
-            self.codes.append(b"")
-            self.times.append(b"")
-            return len(self.sizes) - 1
-        parts, codes, times = [], [], []
-        i = j = 0
-        links = 0
+        if b"".join([a_bytes[i] for i in a]) != raw or b"".join([b_bytes[i] for i in b]) != raw:
+            return self._keep((-1, 0, 0, 0), b"", b"")
+        parts: list[str] = []
+        codes: list[int] = []
+        times: list[int] = []
+        i = j = links = 0
         while i < len(a):
             first, second = i, j
-            left, right = len(self.a_bytes[a[i]]), len(self.b_bytes[b[j]])
+            left, right = a_size[a[i]], b_size[b[j]]
             while left != right:
                 if left < right:
                     i += 1
-                    left += len(self.a_bytes[a[i]])
+                    left += a_size[a[i]]
                 else:
                     j += 1
-                    right += len(self.b_bytes[b[j]])
+                    right += b_size[b[j]]
             i, j = i + 1, j + 1
-            parts.append(",".join(map(str, a[first:i])) + "|" + ",".join(map(str, b[second:j])))
-            links += (i - first) * (j - second)
             if i - first == 1 == j - second:
-                codes.append(np.uint64(a[first] << 32 | b[second]))
-                times.append(1)
+                x, y = a[first], b[second]
+                parts.append(f"{x}|{y}")
+                codes.append(x << 32 | y)
+                links += 1
+                continue
+            xs, ys = a[first:i], b[second:j]
+            parts.append(",".join(map(str, xs)) + "|" + ",".join(map(str, ys)))
+            links += len(xs) * len(ys)
+            if len(xs) * len(ys) > _PLAIN_LINKS:
+                left_often, right_often = Counter(xs), Counter(ys)
+                times.extend([1] * (len(codes) - len(times)))
+                codes.extend([x << 32 | y for x in left_often for y in right_often])
+                times.extend([n * m for n in left_often.values() for m in right_often.values()])
+            else:
+                codes.extend([x << 32 | y for x in xs for y in ys])
+        if times:
+            times.extend([1] * (len(codes) - len(times)))
+            self.times[len(self.text)] = array("Q", times).tobytes()
+        return self._keep((len(a), len(b), len(parts), links), ";".join(parts).encode(), array("Q", codes).tobytes())
+
+    def _keep(self, sizes: tuple[int, int, int, int], text: bytes, codes: bytes) -> int:
+        self.sizes.extend(sizes)
+        self.text.append(text)
+        self.codes.append(codes)
+        self.held += len(text) + len(codes)
+        return len(self.text) - 1
+
+    def _encoded(self, units: list[str]) -> list[int]:
+        if not units:
+            return []
+        a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
+        return [self._add(unit, x, y) for unit, x, y in zip(units, a, self.b.encode(units, num_threads=1))]
+
+    def _learn(self, missing: set[str]) -> dict[str, int]:
+        """Numbers of new parts; closing marks after a letter are units of their own where no piece joins both."""
+        joined, known = self.joined, self.units
+        long: dict[str, int] = {}
+        cut: list[tuple[str, str, str]] = []
+        needed: set[str] = set()
+        for part in missing:
+            base = part.rstrip(_MARKS)
+            tail = part[len(base):]
+            if tail and base[-1:].isalpha() and len(part) <= _UNIT_CHARS and base[-1] + tail[0] not in joined:
+                cut.append((part, base, tail))
+                needed.update((base, tail))
             else:
-                x, nx = np.unique(np.array(a[first:i], np.uint64), return_counts=True)
-                y, ny = np.unique(np.array(b[second:j], np.uint64), return_counts=True)
-                codes.extend((x[:, None] << np.uint64(32) | y).ravel())
-                times.extend(np.outer(nx, ny).ravel())
-        self.sizes.append((len(a), len(b), len(parts), links))
-        self.text.append(";".join(parts).encode())
-        self.codes.append(np.array(codes, "<u8").tobytes())
-        self.times.append(np.array(times, "<u8").tobytes() if links != len(codes) else b"")
-        self.held += len(self.text[-1]) + len(self.codes[-1]) + len(self.times[-1])
-        return len(self.sizes) - 1
-
-    def _cut(self, text: str) -> list[str]:
-        """Parts between which no token of either side can lie; each space opens one."""
-        whole = " " + text
-        if "\n\n" in whole or any(s in whole for s in _WHOLE):
-            return [whole]
-        out: list[str] = []
-        for part in text.split(" "):
-            lines = (" " + part).split("\n")
-            if len(lines) > 1 and lines[0] != " " and lines[-1]:
-                out.append(lines[0])
-                for line in lines[1:]:
-                    out += ("\n", line)
+                needed.add(part)
+        new = list(needed.difference(known))
+        for unit, number in zip(new, self._encoded(new)):
+            (known if len(unit) <= _UNIT_CHARS else long)[unit] = number
+        for part, base, tail in cut:
+            x, y = known[base], known[tail]
+            if self.sizes[4 * x] < 0 or self.sizes[4 * y] < 0 or x in self.times or y in self.times:
+                known[part] = self._encoded([part])[0]
             else:
-                out.append(" " + part)
-        return out
+                sizes = tuple(map(add, self.sizes[4 * x : 4 * x + 4], self.sizes[4 * y : 4 * y + 4]))
+                known[part] = self._keep(sizes, self.text[x] + b";" + self.text[y], self.codes[x] + self.codes[y])
+        return long
 
     def read(self, texts: list[str]) -> list[list[int]]:
-        """For each text the numbers of its parts."""
-        cut = [self._cut(t) if t else [] for t in texts]
-        missing = list({p for parts in cut for p in parts}.difference(self.units))
-        a = [e.ids for e in self.a.encode_batch_fast(missing, add_special_tokens=False)]
-        b = self.b.encode(missing, num_threads=1) if missing else []
-        long: dict[str, int] = {}
-        for part, x, y in zip(missing, a, b):
-            (self.units if len(part) <= _UNIT_CHARS else long)[part] = self._add(part, x, y)
-        get = self.units.get
-        return [[n if (n := get(p)) is not None else long[p] for p in parts] for parts in cut]
+        """For each text the numbers of its parts; no token of either side lies across two of them."""
+        cut: list[list[str]] = []
+        for text in texts:
+            whole = " " + text
+            cut.append([] if not text else [whole] if any(s in whole for s in _WHOLE) else _PARTS.findall(whole))
+        long = self._learn({p for parts in cut for p in parts}.difference(self.units))
+        get = self.units.__getitem__
+        if not long:
+            return [list(map(get, parts)) for parts in cut]
+        return [[n if (n := long.get(p)) is not None else get(p) for p in parts] for parts in cut]
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = CACHES.setdefault("tokenalign", {})
@@ -200,54 +235,65 @@ class Run:
     """Documents of one run and their records, in the order (A id, B id, document)."""
 
     def __init__(self, model: Aligner, texts: list[str]):
-        parts: list[np.ndarray] = []
-        groups: list[bytes] = []
-        sizes = np.zeros((len(texts), 4), np.int64)
+        flat: list[int] = []
+        lengths: list[int] = []
+        self.groups: list[bytes] = []
         at = held = 0
         for end in range(1, len(texts) + 1):
             held += len(texts[end - 1])
             if held < _STEP and end < len(texts):
                 continue
-            for k, numbers in enumerate(model.read(texts[at:end]), at):
-                own = np.array([model.sizes[n] for n in numbers], np.int64).reshape(-1, 4)
-                if len(own) and own[:, 0].min() >= 0:
-                    sizes[k] = own.sum(axis=0)
-                    groups.append(b";".join([model.text[n] for n in numbers]))
-                    parts.append(np.array(numbers, np.int64))
-                else:
-                    groups.append(b"")
-                    parts.append(np.zeros(0, np.int64))
+            for numbers in model.read(texts[at:end]):
+                flat += numbers
+                lengths.append(len(numbers))
+                self.groups.append(b";".join([model.text[n] for n in numbers]))
             at, held = end, 0
-        self.sizes, self.groups = sizes, groups
-        self.pairs, self.documents, self.docs, self.links = self._records(model, parts)
+        n = len(texts)
+        doc = np.repeat(np.arange(n), lengths)
+        used, place = np.unique(np.array(flat, np.int64), return_inverse=True)
+        table = np.frombuffer(model.sizes, np.int64).reshape(-1, 4)[used]
+        broken = np.zeros(n, bool)
+        broken[doc[table[place, 0] < 0]] = True
+        for k in np.flatnonzero(broken):
+            self.groups[k] = b""
+        sums = np.zeros((len(doc) + 1, 4), np.int64)
+        np.cumsum(table[place], axis=0, out=sums[1:])
+        ends = np.cumsum(lengths)
+        self.sizes = np.where(broken[:, None], 0, sums[ends] - sums[ends - lengths])
+        whole = ~broken[doc]
+        self.pairs, self.documents, self.docs, self.links = self._records(model, used, doc[whole], place[whole], n)
 
     @staticmethod
-    def _records(model: Aligner, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def _records(
+        model: Aligner, used: np.ndarray, doc: np.ndarray, place: np.ndarray, n: int
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct pairs, documents of each, and for each record its document and links."""
         none = np.zeros(0, np.uint64)
-        width = len(model.sizes)
-        doc = np.repeat(np.arange(len(parts), dtype=np.int64), [len(p) for p in parts])
         if not len(doc):
             return none, none, none, none
-        found, often = np.unique(doc * width + np.concatenate(parts), return_counts=True)
-        doc, unit = np.divmod(found, width)
-        used, unit = np.unique(unit, return_inverse=True)
-        codes = [np.frombuffer(model.codes[n], "<u8") for n in used]
-        times = [np.frombuffer(model.times[n], "<u8") if model.times[n] else np.ones(len(c), np.uint64) for n, c in zip(used, codes)]
-        size = np.array([len(c) for c in codes], np.int64)
+        found, often = np.unique(doc * len(used) + place, return_counts=True)
+        doc, unit = np.divmod(found, len(used))
+        numbers = used.tolist()
+        codes = [model.codes[u] for u in numbers]
+        size = np.array([len(c) // 8 for c in codes], np.int64)
         start = np.cumsum(size) - size
-        pairs, place = np.unique(np.concatenate(codes), return_inverse=True)
-        times = np.concatenate(times).astype(np.int64)
+        pairs, at = np.unique(np.frombuffer(b"".join(codes), "<u8"), return_inverse=True)
+        times = np.ones(size.sum(), np.int64)
+        for k, u in enumerate(numbers) if model.times else ():
+            if u in model.times:
+                times[start[k] : start[k] + size[k]] = np.frombuffer(model.times[u], "<u8")
         width = size[unit]
         entry = np.arange(width.sum()) + np.repeat(start[unit] - (np.cumsum(width) - width), width)
-        record = place[entry] * len(parts) + np.repeat(doc, width)
+        record = at[entry] * n + np.repeat(doc, width)
         links = times[entry] * np.repeat(often, width)
         order = np.argsort(record, kind="stable")
         record = record[order]
         first = np.flatnonzero(np.diff(record, prepend=-1))
         links = np.add.reduceat(links[order], first)
-        pair, doc = np.divmod(record[first], len(parts))
-        return pairs, np.bincount(pair, minlength=len(pairs)).astype(np.uint64), doc.astype(np.uint64), links.astype(np.uint64)
+        pair, doc = np.divmod(record[first], n)
+        counted = np.bincount(pair, minlength=len(pairs))
+        keep = counted > 0  # a unit may be left only in texts without tokens
+        return pairs[keep], counted[keep].astype(np.uint64), doc.astype(np.uint64), links.astype(np.uint64)
 
     def spilled(self, parts: int) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
         """(part, pairs, documents, docs, links) of each partition that has any."""
