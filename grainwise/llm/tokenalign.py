@@ -42,7 +42,6 @@ import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +58,7 @@ BLOCK, PARTS, FAN_IN = 3 << 20, 64, 32
 _UNITS_MOST, _HELD_MOST, _UNIT_CHARS, _STEP = 400_000, 64 << 20, 64, 256 << 10
 #: A space opens a part, a single line feed is one.
 _PARTS = re.compile(r"\n| ?[^ \n]+| ")
-_MARKS, _PLAIN_LINKS = ".,;:!?", 64
+_PLAIN_LINKS, _TOGETHER = 64, 4096
 #: White space beyond single spaces and line feeds: such texts are aligned whole.
 _WHOLE = ("  ", "\n ", " \n", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", " ", *map(chr, range(0x2000, 0x200B)),
           " ", " ", " ", " ", "　", "▁")
@@ -112,8 +111,7 @@ class Aligner:
             bytes([int(p.piece[3:5], 16)]) if p.type == p.BYTE else p.piece.replace("▁", " ").encode() for p in model.pieces
         ]
         self.a_size, self.b_size = [len(t) for t in self.a_bytes], [len(t) for t in self.b_bytes]
-        #: Characters that follow each other inside a piece; between any others no piece can lie.
-        self.joined = {x + y for p in model.pieces if p.type == p.NORMAL for x, y in zip(p.piece, p.piece[1:])}
+        self.a_sizes, self.b_sizes = np.array(self.a_size), np.array(self.b_size)
         self.clear()
 
     def clear(self) -> None:
@@ -176,37 +174,73 @@ class Aligner:
         self.held += len(text) + len(codes)
         return len(self.text) - 1
 
-    def _encoded(self, units: list[str]) -> list[int]:
-        if not units:
-            return []
-        a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
-        return [self._add(unit, x, y) for unit, x, y in zip(units, a, self.b.encode(units, num_threads=1))]
+    def _alone(self, unit: str) -> int:
+        return self._add(unit, self.a.encode(unit, add_special_tokens=False).ids, self.b.encode(unit))
+
+    def _together(self, units: list[str]) -> list[int]:
+        """Numbers of new short units, encoded and aligned as one text.
+
+        Each opens with a space, or gets a line feed before it, so no token reaches into the
+        next one. If the tokens do not give the text back, halves are tried, then each unit.
+        """
+        if len(units) == 1:
+            return [self._alone(units[0])]
+        apart = np.array([u[0] != " " for u in units], np.int64)
+        whole = "".join([u if u[0] == " " else "\n" + u for u in units])
+        raw = whole.encode()
+        a = np.array(self.a.encode(whole, add_special_tokens=False).ids, np.int64)
+        b = np.array(self.b.encode(whole), np.int64)
+        a_end, b_end = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        ends = np.cumsum(np.array([len(u.encode()) for u in units]) + apart)
+        starts = np.concatenate([[0], ends[:-1]]) + apart
+        group_end = np.intersect1d(a_end, b_end, assume_unique=True)
+        edges = np.concatenate([starts[starts > 0], ends])
+        place = np.minimum(np.searchsorted(group_end, edges), len(group_end) - 1)
+        if (
+            not np.array_equal(group_end[place], edges)
+            or b"".join(map(self.a_bytes.__getitem__, a.tolist())) != raw
+            or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != raw
+        ):
+            half = len(units) // 2
+            return self._together(units[:half]) + self._together(units[half:])
+        a_upto, b_upto = np.searchsorted(a_end, group_end, "right"), np.searchsorted(b_end, group_end, "right")
+        a_from, b_from = np.concatenate([[0], a_upto[:-1]]), np.concatenate([[0], b_upto[:-1]])
+        unit = np.searchsorted(ends, group_end)
+        own = group_end > starts[unit]  # not the line feed before a unit
+        a_from, a_upto, b_from, b_upto, unit = a_from[own], a_upto[own], b_from[own], b_upto[own], unit[own]
+        n_a, n_b = a_upto - a_from, b_upto - b_from
+        text = [f"{x}|{y}" for x, y in zip(a[a_from].tolist(), b[b_from].tolist())]
+        a_ids, b_ids = a.tolist(), b.tolist()
+        for g in np.flatnonzero((n_a > 1) | (n_b > 1)).tolist():
+            text[g] = ",".join(map(str, a_ids[a_from[g] : a_upto[g]])) + "|" + ",".join(map(str, b_ids[b_from[g] : b_upto[g]]))
+        links = n_a * n_b
+        upto = np.cumsum(links)
+        group = np.repeat(np.arange(len(links)), links)
+        at = np.arange(len(group)) - (upto - links)[group]
+        codes = (a[a_from[group] + at // n_b[group]] << 32 | b[b_from[group] + at % n_b[group]]).astype("<u8").tobytes()
+        table = np.zeros((len(units), 4), np.int64)
+        for k, values in enumerate((n_a, n_b, np.ones(len(links), np.int64), links)):
+            np.add.at(table[:, k], unit, values)
+        groups, code_ends = np.cumsum(table[:, 2]).tolist(), (8 * np.cumsum(table[:, 3])).tolist()
+        first = len(self.text)
+        g = c = 0
+        for group_stop, code_stop in zip(groups, code_ends):
+            self.text.append(";".join(text[g:group_stop]).encode())
+            self.codes.append(codes[c:code_stop])
+            g, c = group_stop, code_stop
+        self.sizes.frombytes(table.tobytes())
+        self.held += len(codes) + sum(map(len, self.text[first:]))
+        return list(range(first, first + len(units)))
 
     def _learn(self, missing: set[str]) -> dict[str, int]:
-        """Numbers of new parts; closing marks after a letter are units of their own where no piece joins both."""
-        joined, known = self.joined, self.units
-        long: dict[str, int] = {}
-        cut: list[tuple[str, str, str]] = []
-        needed: set[str] = set()
-        for part in missing:
-            base = part.rstrip(_MARKS)
-            tail = part[len(base):]
-            if tail and base[-1:].isalpha() and len(part) <= _UNIT_CHARS and base[-1] + tail[0] not in joined:
-                cut.append((part, base, tail))
-                needed.update((base, tail))
-            else:
-                needed.add(part)
-        new = list(needed.difference(known))
-        for unit, number in zip(new, self._encoded(new)):
-            (known if len(unit) <= _UNIT_CHARS else long)[unit] = number
-        for part, base, tail in cut:
-            x, y = known[base], known[tail]
-            if self.sizes[4 * x] < 0 or self.sizes[4 * y] < 0 or x in self.times or y in self.times:
-                known[part] = self._encoded([part])[0]
-            else:
-                sizes = tuple(map(add, self.sizes[4 * x : 4 * x + 4], self.sizes[4 * y : 4 * y + 4]))
-                known[part] = self._keep(sizes, self.text[x] + b";" + self.text[y], self.codes[x] + self.codes[y])
-        return long
+        """Numbers of new parts; those too long to be kept are returned."""
+        short = [p for p in missing if len(p) <= _UNIT_CHARS and p != " " and p != "\n"]
+        for start in range(0, len(short), _TOGETHER):
+            units = short[start : start + _TOGETHER]
+            self.units.update(zip(units, self._together(units)))
+        rest = missing.difference(self.units)
+        self.units.update((p, self._alone(p)) for p in rest if len(p) <= _UNIT_CHARS)
+        return {p: self._alone(p) for p in rest if len(p) > _UNIT_CHARS}
 
     def read(self, texts: list[str]) -> list[list[int]]:
         """For each text the numbers of its parts; no token of either side lies across two of them."""
