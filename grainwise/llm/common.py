@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import uuid
@@ -118,6 +119,15 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 CACHES: dict[str, dict] = {}
 
 
+def _give_back() -> None:
+    """Return freed memory to the machine, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(
     batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20, within: str | None = None, owner: str | None = None
 ) -> Iterator[pa.RecordBatch]:
@@ -126,11 +136,13 @@ def slices(
     ``within`` names a struct column that holds the text as a field. Workers serve one
     operator after another, so what other operators than ``owner`` keep is given up first.
     """
-    for name, cache in CACHES.items():
-        if name != owner:
-            cache.clear()
+    left = [cache for name, cache in CACHES.items() if name != owner and cache]
+    for cache in left:
+        cache.clear()
     if owner is None:
         gc.enable()
+    if left:
+        _give_back()
     for batch in batches:
         column = batch.column(within).field(text) if within else batch.column(text)
         whole = column.cast(pa.large_string()).fill_null("").cast(pa.large_binary())

@@ -34,6 +34,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if before == tuple(seen):
             break
         before = tuple(seen)
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node").union(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )

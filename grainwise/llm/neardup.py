@@ -14,18 +14,20 @@ documents that agree in a band are a group. Candidates are the pairs of a group
 agree in ``LEAST_AGREEMENT`` of all samples; they are verified by their exact weighted
 Jaccard similarity, linked if it reaches ``SIMILARITY``, and linked documents form a
 class. Every group is compared with one hub first. A group that this does not make one
-class goes on: each member names its candidates outside its class, likeliest first, a
-few in the first turn and ``GROWTH`` times as many in each further one, until every candidate
-pair is verified or inside one class. Members of one class are not compared again, so
-groups of near copies are not paired out; candidates that stay below ``SIMILARITY``
-are all verified, and their number may grow with the square of such a group.
+class is compared inside tasks: a pair is verified in the first band that holds both, unless
+its classes have met, and only links that join two classes leave a task (a spanning
+forest, fewer than its rows). No list of pairs is made. Members of one class are not
+compared again, so groups of near copies cost little; members that stay below ``SIMILARITY``
+are all compared inside their group's tasks, whose arithmetic, not output, may grow with
+the square of such a group.
 
 Texts that are equal share a class before any of this, and only one of them is
 sampled, so a group of copies costs one document.
 
 Defined cases: a text of one to four words is one shingle; a text without words, or
-null, only equals its own copies (null equals null); rows of equal key count as one
-document; a row without a key has class null; an empty table gives no rows. Only the
+null, only equals its own copies (null equals null); of rows of one key with different
+texts the text of the least MD5 is compared, the others share its class; a row without a
+key has class null; an empty table gives no rows. Only the
 key and the text are read, so further columns cannot clash.
 """
 
@@ -38,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainwise.llm.common import Prefix, mix64, release, slices, stored, utf8, words
+from grainwise.llm.common import Prefix, mix64, slices, stored, utf8, words
 from grainwise.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -47,9 +49,9 @@ COMMON, DAMPING = 1 / 256, 0.25
 #: Pairs that agree in less than this share of samples are not verified; at a
 #: similarity of 0.8, 42 samples fall below it with a probability of about 1e-6.
 LEAST_AGREEMENT = 0.5
-#: Candidates of a member in the first turn, growth by turn; members whose candidates one task finds.
-FIRST, GROWTH, PART = 16, 16, 4096
-FLUSH = 1 << 22
+#: Members of a group, and their shingles, that a block of a tile holds.
+PART, PART_SHINGLES = 4096, 1_500_000
+FLUSH = 1 << 21
 _U64 = np.uint64
 _ODD = [_U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -101,11 +103,13 @@ def common_shingles(docs: DataFrame, text: str = "text", common: float = COMMON)
     least = max(2, int(np.ceil(common * total)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
+        held, size = np.empty(FLUSH, _U64), 0
 
         def flush() -> pa.RecordBatch:
-            prints, counts = np.unique(np.concatenate(held), return_counts=True)
+            run = held[:size]
+            run.sort()
+            first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+            prints, counts = run[first], np.diff(np.append(first, size))
             edges = np.array([(k << 64) // ranges for k in range(1, ranges)], dtype=_U64)
             cuts = np.concatenate([[0], np.searchsorted(prints, edges), [len(prints)]])
             full = [k for k in range(ranges) if cuts[k + 1] > cuts[k]]
@@ -120,13 +124,16 @@ def common_shingles(docs: DataFrame, text: str = "text", common: float = COMMON)
                 names=["range", "prints", "often"],
             )
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 18):
             _, prints, _, _ = shingles(batch.column("text"))
-            held.append(prints)
-            size += len(prints)
-            if size >= FLUSH:
-                yield flush()
-                held, size = [], 0
+            while len(prints):
+                taken = prints[: FLUSH - size]
+                held[size : size + len(taken)] = taken
+                size += len(taken)
+                prints = prints[len(taken):]
+                if size == FLUSH:
+                    yield flush()
+                    size = 0
         if size:
             yield flush()
 
@@ -207,7 +214,7 @@ def samples(prints: np.ndarray, weights: np.ndarray, first: np.ndarray, count: i
 
 
 def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
-    """(node, sample codes folded to a byte each, band keys) of every row with words."""
+    """(node, sample codes folded to a byte each, band keys, number of shingles) of every row with words."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,11 +235,11 @@ def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
             folded = (codes >> _U64(56)).astype(np.uint8)
             nodes = batch.column("node").take(pa.array(row[first]))
             yield pa.RecordBatch.from_arrays(
-                [nodes, _bytes(folded), _lists(bands.view(np.int64), pa.int64())],
-                names=["node", "codes", "bands"],
+                [nodes, _bytes(folded), _lists(bands.view(np.int64), pa.int64()), pa.array(np.diff(np.append(first, len(row))))],
+                names=["node", "codes", "bands", "size"],
             )
 
-    return docs.select("node", "text").mapInArrow(run, "node bigint, codes binary, bands array<bigint>")
+    return docs.select("node", "text").mapInArrow(run, "node bigint, codes binary, bands array<bigint>, size bigint")
 
 
 def _bytes(grid: np.ndarray) -> pa.Array:
@@ -276,96 +283,91 @@ def hub_pairs(members: DataFrame, codes: DataFrame) -> DataFrame:
     return held.select("node", "hub", "codes", "hub_codes").mapInArrow(alike, "node bigint, hub bigint")
 
 
-def turn_of(part: pa.Table, start: int, end: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """(nodes, candidates, whether more follow) of a group's own rows: places ``start`` to ``end`` of each.
+def tile_links(codes: np.ndarray, earlier: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray, shingled: tuple, least: float = SIMILARITY) -> list[tuple[int, int, float]]:
+    """Links (i, j, similarity) that join different classes, of the pairs of ``left`` and ``right`` rows.
 
-    Candidates are ordered by how well they agree with the member and with the group at
-    large, which brings the text that others were edited from to the front. The order
-    does not depend on classes, so turns together cover every candidate.
+    A pair is looked at if its samples agree in ``LEAST_AGREEMENT`` and no earlier band
+    holds both (that band's group has it). Its similarity is exact: the least and total
+    weights of one row against those of all its candidates. Rows that are in one class
+    already, or get there by links found before, are not compared, so the links are a forest.
     """
-    part = part.combine_chunks().sort_by("node")
-    node, comp = (part.column(c).to_numpy() for c in ("node", "comp"))
-    own = np.flatnonzero(part.column("own").to_numpy(zero_copy_only=False))
-    grid = np.ascontiguousarray(_grid(part.column("codes")).T)
-
-    def agreement(rows: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(rows), len(node)), np.uint8)
-        for sample in grid:
-            out += sample[rows, None] == sample[None, :]
-        return out
-
-    a, b, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], False
-    if len(own):
-        central = agreement(own[:: max(1, len(own) // 256)]).mean(axis=0)
-    step = max(1, (1 << 22) // len(node))
-    for at in range(0, len(own), step):
-        rows = own[at : at + step]
-        same = agreement(rows)
-        like = same >= LEAST_AGREEMENT * BANDS * ROWS
-        like[np.arange(len(rows)), rows] = False
-        for i in np.flatnonzero((like & (comp[rows, None] != comp[None, :])).any(axis=1)):
-            found = np.flatnonzero(like[i])
-            found = found[np.argsort(-(same[i, found] + central[found]), kind="stable")]
-            other = comp[found] != comp[rows[i]]
-            now = found[start:end][other[start:end]]
-            a.append(np.full(len(now), node[rows[i]]))
-            b.append(node[now])
-            more = more or bool(other[end:].any())
-    return np.concatenate(a), np.concatenate(b), more
-
-
-def further_pairs(placed: DataFrame, codes: DataFrame, start: int, end: int) -> DataFrame:
-    """(print, a, b) of a turn in the groups of more than one class; a null pair says that more follow."""
-    unfinished = placed.groupBy("print").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter(
+    first, size, ids, weight, total = shingled
+    comp = comp.copy()
+    dense = np.zeros(int(ids.max()) + 1 if len(ids) else 0)
+    same_side = left is right
+    links: list[tuple[int, int, float]] = []
+    for at, i in enumerate(left):
+        own = slice(first[i], first[i] + size[i])
+        others = right[at + 1 :] if same_side else right
+        others = others[comp[others] != comp[i]]
+        if not len(others):
+            continue
+        others = others[(codes[others] == codes[i]).mean(axis=1) >= LEAST_AGREEMENT]
+        others = others[~(earlier[others] == earlier[i]).any(axis=1)]
+        if not len(others):
+            continue
+        dense[ids[own]] = weight[own]
+        width = size[others]
+        entry = np.arange(width.sum()) + np.repeat(first[others] - (np.cumsum(width) - width), width)
+        low = np.add.reduceat(np.minimum(weight[entry], dense[ids[entry]]), np.cumsum(width) - width)
+        dense[ids[own]] = 0
+        similarity = low / (total[i] + total[others] - low)
+        for j, value in zip(others[similarity >= least].tolist(), similarity[similarity >= least].tolist()):
+            if comp[j] != comp[i]:
+                links.append((int(i), j, value))
+                comp[comp == comp[j]] = comp[i]
+    return links
+
+
+def group_links(placed: DataFrame, sampled: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame:
+    """(a, b, similarity) that join the classes of a group, in all groups of more than one class.
+
+    A group beyond ``PART`` members or ``PART_SHINGLES`` shingles is cut into blocks, and a task
+    gets two of them; each link it returns joins two classes, so it returns fewer links than rows.
+    """
+    shared = placed.sparkSession.sparkContext.broadcast(weights)
+    sized = placed.join(sampled.select("node", "codes", "bands", "size"), "node")
+    unfinished = sized.groupBy("print").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.sum("size").alias("s")).filter(
         "x < y AND n > 2"
-    ).select("print", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    ).select("print", F.greatest(F.ceil(F.col("n") / PART), F.ceil(F.col("s") / PART_SHINGLES)).cast("int").alias("parts"))
 
     def run(part: pa.Table) -> pa.Table:
-        a, b, more = turn_of(part, start, end)
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        a, b = (pa.array([*x.tolist(), *([None] if more else [])], pa.int64()) for x in pairs)
-        name = part.column("print")[0].as_py()
-        return pa.table({"print": pa.array([name] * len(a), pa.int64()), "a": a, "b": b})
-
-    rows = placed.join(unfinished, "print").join(codes, "node").select(
-        "print", "node", "comp", "codes", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("mine"),
-        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+        name, part = part.column("print")[0].as_py(), part.combine_chunks().sort_by("node")
+        part = part.filter(pa.array(np.diff(part.column("node").to_numpy(), prepend=part.column("node")[0].as_py() - 1) != 0))  # rows of one key
+        node, raw = part.column("node").to_numpy(), part.column("comp").to_numpy()
+        bands = np.stack([np.asarray(b, np.int64) for b in part.column("bands").to_pylist()])
+        row, prints, counts, n = shingles(part.column("text"))
+        ids = np.unique(prints, return_inverse=True)[1]
+        w = shared.value.of(prints, counts).astype(np.float64)
+        size = np.bincount(row, minlength=n)
+        shingled = (np.cumsum(size) - size, size, ids, w, np.bincount(row, w, n))
+        block = part.column("block").to_numpy()
+        left = np.flatnonzero(block == block.min())
+        right = np.flatnonzero(block == block.max())
+        if part.column("lo")[0].as_py() == part.column("hi")[0].as_py():
+            left = right
+        band = int(np.flatnonzero(bands[0] == name)[0])
+        links = tile_links(_grid(part.column("codes")), bands[:, :band], np.unique(raw, return_inverse=True)[1], left, right, shingled)
+        i, j, similarity = (np.array(x) for x in zip(*links)) if links else (np.zeros(0, int),) * 3
+        return pa.table({"a": pa.array(node[i]), "b": pa.array(node[j]), "similarity": pa.array(similarity, pa.float64())})
+
+    block = F.pmod(F.xxhash64("node"), "parts").cast("int")
+    rows = sized.join(unfinished, "print").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tiles = rows.join(texts, "node").select(
+        "print", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "comp", "codes", "bands", "text"
     )
-    return rows.select("print", "part", "node", "comp", "codes", (F.col("mine") == F.col("part")).alias("own")).groupBy(
-        "print", "part"
-    ).applyInArrow(run, "print bigint, a bigint, b bigint")
+    return tiles.groupBy("print", "lo", "hi").applyInArrow(run, "a bigint, b bigint, similarity double")
 
 
-def all_links(sampled: DataFrame, texts: DataFrame, weights: Weights) -> tuple[DataFrame, DataFrame]:
-    """Verified (a, b, similarity), and the (node, root) they make: every similar candidate pair is inside one class."""
-    codes = sampled.select("node", "codes")
+def all_roots(sampled: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame:
+    """(node, root) of linked nodes: every candidate pair of the given similarity is inside one class."""
     members = stored(groups(sampled), "members")
-    pairs = stored(hub_pairs(members, codes), "pairs")
-    links = stored(verified(pairs, texts, weights), "links")
-    tried = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-    roots = stored(components(links.select("a", "b")), "roots")
-    some, start, size = None, 0, FIRST
-    while True:
-        placed = members.join(roots, "node", "left").select("print", "node", F.coalesce("root", "node").alias("comp"))
-        found = stored(further_pairs(placed, codes, start, start + size), "found")
-        new = stored(found.filter("a IS NOT NULL").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not new.isEmpty():
-            if some is None:
-                wanted = members.join(found.select("print").distinct(), "print").select("node").distinct()
-                some = stored(texts.join(wanted, "node").select("node", "text"), "texts")
-            more = stored(verified(new.select(F.col("a").alias("node"), F.col("b").alias("hub")), some, weights), "links")
-            tried = tried.union(new)
-            if not more.isEmpty():
-                links = links.union(more)
-                release(roots)
-                roots = stored(components(links.select("a", "b")), "roots")
-        left = found.filter("a IS NULL").select("print").distinct()
-        if left.isEmpty():
-            return links, roots
-        last = members
-        members = stored(members.join(left, "print", "left_semi"), "members")
-        release(last, found)
-        start, size = start + size, GROWTH * size
+    links = verified(stored(hub_pairs(members, sampled.select("node", "codes")), "pairs"), texts, weights)
+    links = stored(links.select("a", "b"), "links")
+    roots = stored(components(links), "roots")
+    placed = members.join(roots, "node", "left").select("print", "node", F.coalesce("root", "node").alias("comp"))
+    more = stored(group_links(placed, sampled, texts, weights).select("a", "b"), "links")
+    return roots if more.isEmpty() else stored(components(links.union(more)), "roots")
 
 
 # --- verification --------------------------------------------------------------------
@@ -411,27 +413,19 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, least: float
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, class_id, n_links): a class is named by its least key.
-
-    ``n_links`` counts the verified links of a document's text to other texts.
-    """
+    """(key, class_id): a class is named by its least key."""
     source = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
-    keyed = source.select("id", F.coalesce(F.md5("text"), F.lit("null")).alias("print"))
+    source = source.withColumn("print", F.coalesce(F.md5("text"), F.lit("null")))
+    keyed = source.select("id", "print")
     copies = stored(keyed.filter("id IS NOT NULL").groupBy("print").agg(F.min("id").alias("node")), "copies")
     weights = Weights(*common_shingles(source))
-    sampled = signatures(source.filter("id IS NOT NULL").withColumnRenamed("id", "node"), weights)
-    sampled = stored(sampled.join(copies.select("node"), "node", "left_semi").dropDuplicates(["node"]), "samples")
-    texts = source.filter("id IS NOT NULL").select(F.col("id").alias("node"), "text").join(copies.select("node"), "node", "left_semi")
-    links, roots = all_links(sampled, texts, weights)
-    degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    classes = stored(
-        copies.join(roots, "node", "left").join(degree, "node", "left")
-        .select("print", F.coalesce("root", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")),
-        "classes",
-    )
+    chosen = copies.groupBy("node").agg(F.min("print").alias("print"))
+    texts = source.withColumnRenamed("id", "node").join(chosen, ["node", "print"], "left_semi").select("node", "text")
+    sampled = stored(signatures(texts, weights).dropDuplicates(["node"]), "samples")
+    roots = all_roots(sampled, texts, weights)
+    classes = stored(copies.join(roots, "node", "left").select("print", F.coalesce("root", "node").alias("class_id")), "classes")
     return keyed.join(classes, "print", "left").select(
-        F.col("id").alias(key), F.when(F.col("id").isNotNull(), F.col("class_id")).alias("class_id"),
-        F.when(F.col("id").isNotNull(), F.col("n_links")).alias("n_links"),
+        F.col("id").alias(key), F.when(F.col("id").isNotNull(), F.col("class_id")).alias("class_id")
     )
 
 

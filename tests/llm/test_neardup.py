@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +55,7 @@ def test_groups_and_edges(spark):
     assert len(got) == len(rows)
     by = {r.doc_id: r for r in got}
     assert {i: by[i].class_id for i in range(1, 15)} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 6, 8: 8, 9: 8, 10: 10, 11: 10, 12: 12, 13: 13, 14: 13}
-    assert by[None].class_id is None and (by[1].n_links, by[4].n_links) == (1, 0)
+    assert by[None].class_id is None
 
 
 def test_large_near_group_is_one_class(spark):
@@ -93,17 +93,77 @@ def test_independent_edits_of_one_text_are_one_class(spark):
     assert [(x, y) for x, y in near if found[rows[x][0]] != found[rows[y][0]]] == []
 
 
-def test_turns_cover_every_candidate():
+def forest(codes, earlier, comp, left, right, sets):
+    rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    ids = np.array([i for x in sets for i in sorted(x)])
+    size = np.array([len(x) for x in sets])
+    shingled = (np.cumsum(size) - size, size, ids, np.ones(len(ids)), np.bincount(rows, minlength=len(sets)).astype(float))
+    return nd.tile_links(codes, earlier, comp, left, right, shingled)
+
+
+def test_tile_links_are_a_forest_of_all_similar_pairs():
     rng = np.random.default_rng(2)
-    grid = np.where(rng.random((60, 42)) < 0.8, 0, rng.integers(1, 255, (60, 42))).astype(np.uint8)
-    group = pa.table({"node": pa.array(range(60)), "comp": pa.array([i // 2 for i in range(60)]), "codes": [g.tobytes() for g in grid], "own": [i % 3 > 0 for i in range(60)]})
-    want = {(i, j) for i in range(60) for j in range(60) if i % 3 and i // 2 != j // 2 and (grid[i] == grid[j]).sum() >= 21}
-    got, start, size, more = set(), 0, 4, True
-    while more:
-        a, b, more = nd.turn_of(group, start, start + size)
-        got |= set(zip(a.tolist(), b.tolist()))
-        start, size = start + size, 2 * size
-    assert got == want
+    base = rng.choice(4000, 60, replace=False)
+    sets = []
+    for _ in range(90):
+        own = base.copy()
+        own[rng.integers(0, 60, rng.integers(2, 9))] = rng.integers(4000, 9000)
+        sets.append(set(own.tolist()))
+    codes = np.zeros((90, 42), np.uint8)
+    start = np.arange(90)
+    similar = {(i, j) for i in range(90) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+
+    def parts(links):
+        comp = list(range(90))
+        for a, b in links:
+            x, y = comp[a], comp[b]
+            comp = [x if c == y else c for c in comp]
+        return {frozenset(i for i in range(90) if comp[i] == c) for c in comp}
+
+    links = forest(codes, np.zeros((90, 0)), start, start, start, sets)
+    assert {(max(a, b), min(a, b)) for a, b, _ in links} <= similar and len(links) == 90 - len(parts(similar))
+    assert parts([x[:2] for x in links]) == parts(similar)
+    left, right = start[:40], start[40:]
+    across = forest(codes, np.zeros((90, 0)), start, left, right, sets)
+    assert parts([x[:2] for x in across]) == parts([(i, j) for i, j in similar if (i < 40) != (j < 40)])
+    assert forest(codes, np.zeros((90, 1)), start, start, start, sets) == []  # an earlier band has them all
+
+
+def test_links_stay_linear_in_a_group_below_the_threshold(spark, monkeypatch):
+    """Edits that leave most pairs unlike: the rows that leave the tasks are fewer than the members' bands."""
+    made = []
+    inner = nd.group_links
+    monkeypatch.setattr(nd, "group_links", lambda *a: made.append(nd.stored(inner(*a))) or made[-1])
+    for n in (100, 400):
+        base = words(77, 120)
+        rows = []
+        for i in range(n):
+            rnd = random.Random(i)
+            w = list(base)
+            for at in rnd.sample(range(120), rnd.randint(1, 5)):
+                w[at] = f"e{i}x{at}"
+            rows.append((i, " ".join(w)))
+        sets = [grams(t) for _, t in rows]
+        df = Counter(g for s in sets for g in s)
+        top = np.log(1 / nd.COMMON)
+        idf = {g: 1 + nd.DAMPING * (min(np.log(n / c), top) / top if c >= max(2, np.ceil(n * nd.COMMON)) else 1) for g, c in df.items()}
+        mass = lambda s: sum(idf[g] for g in s)  # noqa: B023, E731
+        got = classes(nd.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+        near = [(x, y) for x in range(n) for y in range(x) if mass(sets[x] & sets[y]) >= 0.801 * mass(sets[x] | sets[y])]
+        assert near and [(x, y) for x, y in near if got[x] != got[y]] == []
+        assert made[-1].count() < 14 * n
+
+
+def test_blocks_of_a_large_group_give_the_same_classes(spark, monkeypatch):
+    monkeypatch.setattr(nd, "PART", 16)
+    test_independent_edits_of_one_text_are_one_class(spark)
+
+
+def test_rows_of_one_key_with_different_texts(spark):
+    a, b = " ".join(words(1, 60)), " ".join(words(2, 60))
+    rows = [(5, a), (5, b), (7, a), (9, b), (9, b)]
+    got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, got)) == [(5, 5), (5, 5), (7, 5), (9, 5), (9, 5)]
 
 
 def test_one_of_each(spark):
