@@ -6,7 +6,7 @@ import os
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grainwise.bindings import registers
@@ -15,22 +15,24 @@ from grainwise.bindings.tables import (
     DELIVERED_STATUS,
     DELIVERY_EDGES,
     LANGUAGES,
+    LandedStar,
     QUALITY,
     REPEAT_MIN,
     Star,
 )
 from grainwise.functions.classify import first_match, star_sentiment
-from grainwise.functions.money import exact_total, wide_total
-from grainwise.functions.temporal import parse_timestamp
+from grainwise.functions.money import cents, exact_total, wide_total
+from grainwise.functions.temporal import parse_timestamp, year_month
 from grainwise.functions.text import collapse_whitespace
 from grainwise.operators import agreement as ag
-from grainwise.operators import grain, quality
+from grainwise.operators import grain, loads, quality, sketches
+from grainwise.operators.frames import union_all
 from grainwise.operators.rank import top_k
 from grainwise.plans import labels as lab
 from grainwise.plans import orders as od
 from grainwise.plans import outputs as out
-from grainwise.session import shared_folder
-from grainwise.sources.io import read_csv, register_views, write_csv
+from grainwise.session import landed, shared_folder
+from grainwise.sources.io import land_bucketed, read_csv, register_views, write_csv, write_labelling_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -104,11 +106,28 @@ def review_grain(t: Star) -> DataFrame:
 @query
 def orders_clean(t: Star) -> DataFrame:
     joined = t.order_grain(with_payments=True).join(t.customers().drop("customer_unique_id"), "customer_id", "left")
-    dropped = joined.drop("review_total", "review_squares")
+    dropped = joined.drop("review_total", "review_spread")
     amounts = ("order_product_revenue", "order_freight", "order_value", "order_payment_total")
     return dropped.withColumns({c: F.col(c).cast("double") for c in amounts})
 
 
+def _bucketed(t: Star) -> LandedStar:
+    keys = {"orders": "o_orderkey", "lineitem": "l_orderkey"}
+    buckets = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    tables = {name: (t.raw(name), key) for name, key in keys.items()}
+    return LandedStar(t.spark, t.folder, land_bucketed(tables, os.path.join(shared_folder(t.spark), "bucketed"), buckets))
+
+
+@query
+def order_grain_bucketed(t: Star) -> DataFrame:
+    """The order grain from tables landed in buckets of the order key: no exchange on it."""
+    grained = _bucketed(t).order_grain()
+    return grained.select(
+        "order_id", "customer_id", F.col("order_value").cast("double").alias("order_value"), "n_items", "n_sellers", "review_score",
+        "delivery_days", "is_late", "purchase_ym",
+    )
+
+
 @query
 def delivery_days(t: Star) -> DataFrame:
     return t.order_grain().select("order_id", "delivery_days", "est_delivery_days", "is_late")
@@ -201,6 +220,20 @@ def delivery_distribution(t: Star) -> DataFrame:
     return out.delivery_distribution(t.delivered_grain(), DELIVERY_EDGES)
 
 
+@query
+def delivery_quantiles_merged(t: Star) -> DataFrame:
+    """Yearly P50 and P90 of monthly sketches: their rank errors against all rows stay in bounds."""
+    probs = {"p50": 0.5, "p90": 0.9}
+    grain_of_year = t.delivered_grain().withColumn("year", F.substring("purchase_ym", 1, 4))
+    micros = out.delivery_micros()
+    monthly = landed(sketches.quantile_sketches(grain_of_year, micros, ["year", "purchase_ym"]), "quantile_sketches")
+    merged = sketches.merged_quantiles(monthly, probs, ["year"])
+    errors = sketches.rank_errors(grain_of_year, micros, merged, probs, ["year"])
+    bound = 2 * sketches.RANK_ERROR
+    joined = monthly.groupBy("year").agg(F.count("*").alias("months")).join(merged, "year").join(errors, "year")
+    return joined.select("year", "months", "n", *[(F.col(f"{q}_error") <= bound).alias(f"{q}_within") for q in probs])
+
+
 @query
 def score_vs_delivery(t: Star) -> DataFrame:
     return out.score_vs_delivery(t.delivered_grain()).orderBy("score")
@@ -218,7 +251,7 @@ def corr_delivery_score(t: Star) -> DataFrame:
 
 @query
 def signal_delivery_vs_score(t: Star) -> DataFrame:
-    return out.corr_at_child_grain(t.delivered_grain(), "delivery_days", "n_reviews", "review_total", "review_squares")
+    return out.corr_at_child_grain(t.delivered_grain(), "delivery_days", "n_reviews", "review_total", "review_spread")
 
 
 @query
@@ -309,8 +342,7 @@ def state_top8(t: Star) -> DataFrame:
 
 @query
 def concentration_topn(t: Star) -> DataFrame:
-    trend = out.monthly_trend(t.order_grain())
-    return out.concentration(_states(t), trend, _category_revenue(t))
+    return out.report_figures(t.order_grain(), t.customers(), _category_revenue(t), t.classified())
 
 
 @query
@@ -335,6 +367,14 @@ def rfm_segments(t: Star) -> DataFrame:
     return out.rfm_segments(_rfm(t))
 
 
+@query
+def people_by_month_merged(t: Star) -> DataFrame:
+    """Persons, repeat persons and returning persons to date, from stored monthly sketches."""
+    orders = t.orders().select(year_month(F.col("order_purchase_timestamp")).alias("purchase_ym"), "customer_id")
+    state = landed(sketches.people_by_group(orders, "purchase_ym", "customer_id"), "people_sketches")
+    return sketches.people_over_time(state, "purchase_ym").withColumnRenamed("rows", "orders")
+
+
 @query
 def repeat_summary(t: Star) -> DataFrame:
     return out.repeat_summary(od.people(t.order_grain()))
@@ -378,6 +418,42 @@ def childless_parents(t: Star) -> DataFrame:
     return registers.integrity(t).select(*registers.CHILDLESS)
 
 
+@query
+def payment_ingest(t: Star) -> DataFrame:
+    """Payments written once with their checks: accepted rows, and those that each rule refused."""
+    rules = {
+        "unknown_type": F.col("event_type") != "error",
+        "no_customer": F.col("user_id").isNotNull(),
+        "below_one": F.col("value") >= 1,
+    }
+    path = os.path.join(shared_folder(t.spark), "ingest", uuid.uuid4().hex)
+    kept, found = loads.checked_write(t.raw("events"), rules, path, most_refused=0.5)
+    observed = first_match([(F.col("outcome") == name, n) for name, n in found.items() if name != "rows"])
+    reread = kept.groupBy("outcome").agg(F.count("*").alias("rows"), (wide_total(cents(F.col("value")))).cast("double").alias("total"))
+    return reread.withColumn("rows_observed", observed.cast("bigint"))
+
+
+#: Ends of the three loads that the carried integrity counts take in.
+LOAD_ENDS = ("1997-01-01", "1999-01-01", "9999-01-01")
+
+
+@query
+def integrity_by_load(t: Star) -> DataFrame:
+    """Orphan items and childless orders after each of three loads, from the counts carried between them."""
+    folder = os.path.join(shared_folder(t.spark), "integrity", uuid.uuid4().hex)
+    results, start = [], "0001-01-01"
+    for load, end in enumerate(LOAD_ENDS, 1):
+        new = lambda df, at: df.where((F.col(at) >= F.lit(start).cast("timestamp_ntz")) & (F.col(at) < F.lit(end).cast("timestamp_ntz")))  # noqa: B023, E731
+        orders, items = new(t.raw("orders"), "o_orderdate"), new(t.raw("lineitem"), "l_shipdate")
+        results.append(loads.integrity_load(orders, "o_orderkey", items, "l_orderkey", folder, load))
+        start = end
+    changes = union_all(results)
+    upto = Window.orderBy("load").rowsBetween(Window.unboundedPreceding, 0)  # one row a load
+    return changes.select(
+        "load", "touched", F.sum("orphans_change").over(upto).alias("orphans"), F.sum("childless_change").over(upto).alias("childless")
+    )
+
+
 @query
 def unmapped_categories(t: Star) -> DataFrame:
     return quality.unmapped_values(
@@ -418,6 +494,18 @@ def view_state_orders(t: Star) -> DataFrame:
     )
 
 
+@query
+def view_category_revenue(t: Star) -> DataFrame:
+    """Revenue by category asked in SQL over views of the items and of the category map."""
+    items = t.lines().select("product_id", "price_cents")
+    register_views({"star_items": items, "star_product_category": category_map(t)})
+    return t.spark.sql(
+        "SELECT coalesce(pc.category_en, 'unknown') AS category_en, count(*) AS items, count(DISTINCT i.product_id) AS products, "
+        "cast(sum(i.price_cents) / 100 AS double) AS revenue FROM star_items i "
+        "LEFT JOIN star_product_category pc ON pc.product_id = i.product_id GROUP BY 1"
+    )
+
+
 @query
 def expectations(t: Star) -> DataFrame:
     return registers.expectations(t)
@@ -437,6 +525,16 @@ def sample_reviews(t: Star) -> DataFrame:
     return drawn.select("idx", "doc_id", "n_chars", "in_gold", "text")
 
 
+@query
+def labelling_text(t: Star) -> DataFrame:
+    """The text file that annotators get, written and read back line by line."""
+    path = os.path.join(shared_folder(t.spark), "labelling", uuid.uuid4().hex)
+    write_labelling_text(sample_reviews(t), path)
+    lines = t.spark.read.text(path)
+    cut = F.split("value", "\t", 2)
+    return lines.select(cut[0].cast("int").alias("idx"), cut[1].alias("text"))
+
+
 @query
 def review_classification(t: Star) -> DataFrame:
     drawn = sample_reviews(t)

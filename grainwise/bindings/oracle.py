@@ -241,6 +241,24 @@ def _null_profile(extra: list[str] = ()) -> str:
     return " UNION ALL ".join([*rows, *extra])
 
 
+def _value_text(expression: str) -> str:
+    """Text of a value by its type, which SQL knows only when it runs."""
+    return (
+        f"CASE WHEN ({expression}) IS NULL THEN NULL WHEN typeof({expression}) IN ('DOUBLE', 'FLOAT') OR typeof({expression}) LIKE 'DECIMAL%' THEN "
+        f"CAST(TRY_CAST(TRY_CAST({expression} AS DOUBLE)::VARCHAR AS DECIMAL(38,6)) AS VARCHAR) WHEN typeof({expression}) LIKE 'TIMESTAMP%' THEN "
+        f"substr(({expression})::VARCHAR, 1, 19) WHEN typeof({expression}) LIKE '%[]' THEN "
+        f"'array of ' || len(string_split(({expression})::VARCHAR, ',')) ELSE ({expression})::VARCHAR END"
+    )
+
+
+def _field_row(table: str, field: str, expression: str, source: str) -> str:
+    return (
+        f"SELECT '{table}' AS tbl, '{field}' AS field, count(*) AS rows, "
+        f"round(100.0 * (count(*) - count({expression})) / count(*), 2) AS missing_pct, count(DISTINCT {expression}) AS n_distinct, "
+        f"arg_min(substr({_value_text(expression)}, 1, 60), md5({_value_text(expression)})) AS example FROM {source}"
+    )
+
+
 def _dictionary() -> str:
     """Types come from DESCRIBE, written as Spark names them."""
     described = " UNION ALL ".join(f"SELECT '{t}' AS tbl, column_name AS field, column_type AS kind FROM (DESCRIBE {t})" for t in FIELDS)
@@ -253,14 +271,16 @@ def _dictionary() -> str:
         f"SELECT 'order_grain' AS tbl, '{f}' AS field, '{kind}' AS dtype, '{text}' AS description, 'yes' AS derived"
         for f, (kind, _, text) in DERIVED.items()
     )
-    profile = _null_profile(_null_rows("order_grain", [(f, e) for f, (_, e, _) in DERIVED.items()], "og"))
+    own = [_field_row(t, f, f, t) for t, fields in FIELDS.items() for f in fields.split()]
+    profile = " UNION ALL ".join([*own, *[_field_row("order_grain", f, e, "og") for f, (_, e, _) in DERIVED.items()]])
     return (
         f"WITH {GRAIN}, prof AS ({profile}), described AS ({described}), meaning AS ({meaning}), fields AS ("
         "SELECT tbl, field, CASE kind WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' "
         "WHEN 'VARCHAR' THEN 'string' WHEN 'FLOAT[]' THEN 'array<float>' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' "
         "WHEN 'TIMESTAMP_NS' THEN 'timestamp_ntz' ELSE kind END AS dtype, description, 'no' AS derived "
         f"FROM described JOIN meaning USING (tbl, field) UNION ALL {derived}) "
-        "SELECT tbl, field, dtype, description, derived, rows, missing_pct FROM fields JOIN prof USING (tbl, field)"
+        "SELECT tbl, field, dtype, description, derived, rows, missing_pct, n_distinct, n_distinct < 65536 AS distinct_exact, example "
+        "FROM fields JOIN prof USING (tbl, field)"
     )
 
 
@@ -432,6 +452,19 @@ ORACLE: dict[str, str] = {
   ym AS purchase_ym, CAST(bought AS DATE) AS purchase_date, state AS customer_state,
   order_payment_total, n_payments, n_installments, main_payment_type, order_payment_total IS NOT NULL AS has_payment
   FROM og LEFT JOIN people ON people.customer_id = og.customer_id LEFT JOIN paid ON paid.customer_id = og.customer_id""",
+    "order_grain_bucketed": f"""WITH {GRAIN} SELECT order_id, customer_id, CAST(order_value AS DOUBLE) AS order_value, coalesce(n_items, 0) AS n_items,
+  coalesce(n_sellers, 0) AS n_sellers, review_score, days AS delivery_days, is_late, ym AS purchase_ym FROM og""",
+    "payment_ingest": """SELECT CASE WHEN event_type = 'error' THEN 'unknown_type' WHEN user_id IS NULL THEN 'no_customer'
+  WHEN value < 1 OR value IS NULL THEN 'below_one' ELSE 'accepted' END AS outcome, count(*) AS rows,
+  CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) AS total, count(*) AS rows_observed FROM events GROUP BY 1""",
+    "integrity_by_load": """WITH e AS (SELECT * FROM (VALUES (1, TIMESTAMP '0001-01-01', TIMESTAMP '1997-01-01'),
+  (2, TIMESTAMP '1997-01-01', TIMESTAMP '1999-01-01'), (3, TIMESTAMP '1999-01-01', TIMESTAMP '9999-01-01')) AS v(load, a, b))
+SELECT load, (SELECT count(*) FROM (SELECT o_orderkey FROM orders WHERE o_orderdate >= a AND o_orderdate < b
+    UNION SELECT l_orderkey FROM lineitem WHERE l_shipdate >= a AND l_shipdate < b)) AS touched,
+  CAST((SELECT count(*) FROM lineitem WHERE l_shipdate < b AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderdate < b)) AS BIGINT) AS orphans,
+  CAST((SELECT count(*) FROM orders WHERE o_orderdate < b AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_shipdate < b)) AS BIGINT) AS childless
+FROM e""",
+    "labelling_text": f"WITH {SAMPLE} SELECT idx, text FROM flagged",
     "delivery_days": f"WITH {GRAIN} SELECT order_id, days AS delivery_days, est_days AS est_delivery_days, is_late FROM og",
     "geo_dedupe": """WITH m AS (SELECT p_brand, sum(CAST(p_retailprice AS DECIMAL(12,2))) AS sp, sum(p_size) AS ss, count(*) AS n
   FROM part GROUP BY 1), ty AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY 1, 2
@@ -450,15 +483,18 @@ FROM m JOIN ty ON ty.p_brand = m.p_brand JOIN nm ON nm.p_brand = m.p_brand""",
     "fanout_algebraic": f"WITH {NAIVE} SELECT customer_id, count(DISTINCT o_orderkey) AS n_items, "
     "count(DISTINCT event_id) AS n_payments, CAST(count(*) AS DECIMAL(38,0)) AS naive_rows, CAST(sum(price) AS DOUBLE) AS naive_revenue, "
     "CAST(sum(paid) AS DOUBLE) AS naive_cash FROM naive GROUP BY 1",
-    "fanout_reconciliation": f"""WITH {NAIVE}, pairs AS (
+    "fanout_reconciliation": f"""WITH {NAIVE}, f AS (SELECT *,
+  CAST(CAST(round(CAST(naive_rows AS DOUBLE) / ready_rows, 4) AS DECIMAL(20,4)) AS VARCHAR) AS fr,
+  CAST(CAST(round(CAST(np AS DOUBLE) / CAST(gp AS DOUBLE), 4) AS DECIMAL(20,4)) AS VARCHAR) || ' payment rows a unit of revenue' AS fp,
+  CAST(CAST(round(CAST(nc AS DOUBLE) / CAST(gc AS DOUBLE), 4) AS DECIMAL(20,4)) AS VARCHAR) AS fc,
+  CAST(CAST(round(CAST(nk AS DOUBLE) / ready_rows, 4) AS DECIMAL(20,4)) AS VARCHAR) AS fk FROM tot, good), pairs AS (
   SELECT 'Join rows used for revenue' AS metric, CAST(naive_rows AS DOUBLE) AS a, CAST(ready_rows AS DOUBLE) AS b,
-    'each parent repeats once per pair of child rows' AS why FROM tot, good
-  UNION ALL SELECT 'Product revenue (sum price, BRL)', CAST(round(np, 2) AS DOUBLE), CAST(round(gp, 2) AS DOUBLE),
-    'each price repeats once per payment of its parent' FROM tot, good
+    fr || ' joined rows a parent' AS why FROM f
+  UNION ALL SELECT 'Product revenue (sum price, BRL)', CAST(round(np, 2) AS DOUBLE), CAST(round(gp, 2) AS DOUBLE), fp FROM f
   UNION ALL SELECT 'Cash collected (sum payment_value, BRL)', CAST(round(nc, 2) AS DOUBLE), CAST(round(gc, 2) AS DOUBLE),
-    'each payment repeats once per item of its parent' FROM tot, good
+    fc || ' item rows a unit of cash' FROM f
   UNION ALL SELECT 'AOV (BRL per order)', round(CAST(np AS DOUBLE) / nk, 2), round(CAST(gp AS DOUBLE) / ready_rows, 2),
-    'repeated prices over single parents' FROM tot, good)
+    fp || ', ' || fk || ' of the parents' FROM f)
 SELECT metric, a AS naive_raw, b AS decision_ready, why, round(100.0 * (a - b) / b, 2) AS inflation_pct FROM pairs""",
     "fanout_reconciliation_sql": f"""WITH {NAIVE} SELECT CAST(round(np, 2) AS DOUBLE) AS naive_product_revenue,
   CAST(round(ap, 2) AS DOUBLE) AS decision_ready_gmv, round(100.0 * CAST(np - ap AS DOUBLE) / CAST(ap AS DOUBLE), 2) AS revenue_inflation_pct,
@@ -488,6 +524,15 @@ SELECT metric, a AS naive_raw, b AS decision_ready, why, round(100.0 * (a - b) /
   UNION ALL SELECT 1000, 2000, '1000-2000' UNION ALL SELECT 2000, 1000000000, '2000+'),
 h AS (SELECT bucket, count(order_id) AS orders FROM b LEFT JOIN og ON days >= lo AND days < hi GROUP BY 1)
 SELECT bucket, orders, round(100.0 * orders / nullif(CAST(sum(orders) OVER () AS DOUBLE), 0), 6) AS pct FROM h""",
+    "delivery_quantiles_merged": f"""WITH {GRAIN} SELECT substr(ym, 1, 4) AS year, count(DISTINCT ym) AS months,
+  count(*) AS n, true AS p50_within, true AS p90_within FROM og WHERE days IS NOT NULL GROUP BY 1""",
+    "people_by_month_merged": """WITH p AS (SELECT strftime(o_orderdate, '%Y-%m') AS ym, o_custkey AS person, count(*) AS n FROM orders GROUP BY 1, 2),
+m AS (SELECT ym, lag(ym) OVER (ORDER BY ym) AS before FROM (SELECT DISTINCT ym FROM p)),
+r AS (SELECT *, sum(n) OVER (PARTITION BY person ORDER BY ym) AS upto FROM p),
+f AS (SELECT person, min(ym) AS first, min(ym) FILTER (WHERE upto > 1) AS again FROM r GROUP BY 1)
+SELECT ym AS purchase_ym, CAST((SELECT sum(n) FROM p WHERE p.ym = m.ym) AS BIGINT) AS orders, (SELECT count(*) FROM p WHERE p.ym = m.ym) AS people,
+  (SELECT count(*) FROM f WHERE first <= m.ym) AS people_to_date, (SELECT count(*) FROM f WHERE again <= m.ym) AS repeat_to_date,
+  (SELECT count(*) FROM p WHERE p.ym = m.ym AND person IN (SELECT person FROM p AS q WHERE q.ym = m.before)) AS also_in_group_before FROM m""",
     "score_vs_delivery": f"""WITH {GRAIN} SELECT CAST(round_even(review_score, 0) AS INTEGER) AS score,
   round(avg(days), 2) AS mean_delivery_days, round(median(days), 2) AS median_delivery_days,
   round(100.0 * avg(CAST(is_late AS INTEGER)), 2) AS late_rate, count(DISTINCT order_id) AS n
@@ -540,7 +585,11 @@ SELECT (SELECT round(sum(pct_gmv), 2) FROM (SELECT pct_gmv FROM states ORDER BY
   (SELECT customer_state FROM states ORDER BY gmv DESC, customer_state LIMIT 1) AS top_state,
   (SELECT purchase_ym FROM trend ORDER BY orders DESC, purchase_ym LIMIT 1) AS peak_month,
   (SELECT max(orders) FROM trend) AS peak_orders,
-  (SELECT count(*) FILTER (WHERE c <= 80) + 1 FROM r2) AS categories_for_80pct, (SELECT count(*) FROM r2) AS total_categories""",
+  (SELECT count(*) FILTER (WHERE c <= 80) + 1 FROM r2) AS categories_for_80pct, (SELECT count(*) FROM r2) AS total_categories,
+  (SELECT count(*) FROM labels JOIN documents ON documents.doc_id = labels.doc_id WHERE toxic = 1) AS negative_reviews""",
+    "view_category_revenue": f"""WITH {LINES}, {CATEGORY} SELECT coalesce(category_en, 'unknown') AS category_en, count(*) AS items,
+  count(DISTINCT lines.product_id) AS products, CAST(sum(price) AS DOUBLE) AS revenue
+  FROM lines LEFT JOIN cat ON cat.product_id = lines.product_id GROUP BY 1""",
     "payment_mix": f"""WITH {PAYMENTS} SELECT ptype AS payment_type, count(*) AS payment_rows, round(avg(inst), 2) AS avg_installments,
   CAST(round(sum(paid), 2) AS DOUBLE) AS total_value,
   round(100.0 * count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 2) AS pct_rows FROM pay GROUP BY 1""",

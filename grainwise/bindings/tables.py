@@ -8,6 +8,8 @@ that a product does not use.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,7 +107,7 @@ class Star:
                 **self.item_measures(),
                 **review_measures(score, F.col("review_comment_message").isNotNull()),
                 "review_total": F.sum(score),
-                "review_squares": F.sum(score * score),
+                "review_spread": F.var_pop(score) * F.count(score),
                 "shipped": F.max("shipped"),
             },
         )
@@ -198,3 +200,14 @@ class Star:
             sentiment.alias("sentiment"),
         )
         return labels.join(documents, "doc_id")
+
+
+class LandedStar(Star):
+    """The same tables, some of them read from where they were landed."""
+
+    def __init__(self, spark: SparkSession, folder: str, landed: Mapping[str, DataFrame]):
+        super().__init__(spark, folder)
+        self.landed = landed
+
+    def raw(self, name: str) -> DataFrame:
+        return self.landed[name] if name in self.landed else super().raw(name)

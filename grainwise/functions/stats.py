@@ -41,10 +41,7 @@ def wilson_bounds(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Col
     return F.when(none, 0.0).otherwise(low), F.when(none, 0.0).otherwise(high)
 
 
-def correlation_from_sums(
-    n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column
-) -> Column:
-    """Pearson r from power sums, so pairs can be pre-aggregated before a shuffle."""
-    cov = n * sxy - sx * sy
-    var = (n * sxx - sx * sx) * (n * syy - sy * sy)
-    return F.try_divide(cov, F.sqrt(F.when(var > 0, var)))
+def correlation(mxx: Column, myy: Column, mxy: Column) -> Column:
+    """Pearson r of centred second moments; null where a variable does not vary."""
+    spread = mxx * myy
+    return F.try_divide(mxy, F.sqrt(F.when(spread > 0, spread)))

@@ -18,8 +18,3 @@ def collapse_whitespace(text: Column) -> Column:
 def sample_hash(seed: int, row_id: Column) -> Column:
     """Uniform, partition-independent order of rows: md5 of ``seed:id``."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), row_id.cast("string")))
-
-
-def hash_prefix(digest: Column) -> Column:
-    """First 20 bits of a hex digest; sorts like the digest."""
-    return F.substring(digest, 1, 5)

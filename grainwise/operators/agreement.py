@@ -14,9 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainwise.functions.stats import count_true, percent, ratio, wilson_bounds
-from grainwise.functions.text import hash_prefix, sample_hash
+from grainwise.functions.text import sample_hash
 from grainwise.operators.frames import long_form
-from grainwise.session import cut_lineage
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -151,42 +150,33 @@ def subgroup_against_base(df: DataFrame, subgroup: Column, measures: Mapping[str
     return df.agg(*aggs)
 
 
-def _hash_cut(hashed: DataFrame, reach: int) -> str | None:
-    """Smallest five-digit hash prefix that covers ``reach`` rows; None when all are needed.
-
-    The histogram has at most 16**5 rows and is combined before the shuffle.
-    """
-    histogram = hashed.groupBy(hash_prefix(F.col("_digest")).alias("_b")).agg(F.count("*").alias("_n"))
-    upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    covered = histogram.withColumn("_upto", F.sum("_n").over(upto)).filter(F.col("_upto") >= reach)
-    return covered.agg(F.min("_b")).first()[0]
+#: First-level groups of the sampled ids: what one task orders at most is ``size`` times this.
+SAMPLE_GROUPS = 256
 
 
 def reproducible_sample(
     df: DataFrame, row_id: str, size: int, seed: int, eligible: Column | None = None
 ) -> DataFrame:
-    """Exactly ``size`` rows (or all) in the order of a seeded hash, with a dense ``idx``.
+    """Exactly ``size`` eligible rows (or all) in the order of a seeded hash, with a dense ``idx``.
 
-    ``row_id`` is unique. A plain top-k would send ``size`` whole rows per input
-    partition to one task. Here a cut on the hash is located from the ids alone, so
-    the wide columns are scanned once and only the few rows below the cut are
-    ordered. ``eligible`` may need the wide columns; when too few of the rows below
-    the cut pass it, the cut moves up until enough do or every row was considered.
+    ``row_id`` is unique. The least hashes are found from ids alone, in two levels: each
+    of ``SAMPLE_GROUPS`` groups of tasks keeps its ``size`` least (already cut to as many
+    inside each task), and the groups' least are ordered once more. The chosen ids, at most
+    ``size`` rows, then pick the wide rows in one more scan. Nothing runs while the plan
+    is built.
     """
-    hashed = df.withColumn("_digest", sample_hash(seed, F.col(row_id)))
-    reach = size if eligible is None else 4 * size + 64
-    while True:
-        cut = _hash_cut(hashed, reach)
-        near = hashed if cut is None else hashed.filter(hash_prefix(F.col("_digest")) <= cut)
-        if eligible is None:
-            break
-        near = cut_lineage(near.filter(eligible))
-        if cut is None or near.count() >= size:
-            break
-        reach *= 4
-    order = Window.orderBy("_digest", row_id)
-    drawn = near.orderBy("_digest", row_id).limit(size)
-    return drawn.withColumn("idx", F.row_number().over(order) - 1).drop("_digest")
+    chosen = df if eligible is None else df.filter(eligible)
+    ids = chosen.select(F.col(row_id).alias("_id"), sample_hash(seed, F.col(row_id)).alias("_digest"))
+    group = Window.partitionBy("_group").orderBy("_digest", "_id")
+    least = (
+        ids.withColumn("_group", F.spark_partition_id() % SAMPLE_GROUPS)
+        .withColumn("_place", F.row_number().over(group))
+        .filter(F.col("_place") <= size)
+        .orderBy("_digest", "_id")
+        .limit(size)
+        .select("_id", (F.row_number().over(Window.orderBy("_digest", "_id")) - 1).alias("idx"))
+    )
+    return chosen.join(least, F.col(row_id).eqNullSafe(F.col("_id"))).drop("_id")
 
 
 def nested_sample(sample: DataFrame, size: int, seed: int, flag: str) -> DataFrame:

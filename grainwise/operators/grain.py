@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -96,13 +96,16 @@ def dedupe_dimension(
     )
 
 
-def cogroup_counts(key: str, sources: Mapping[str, tuple[DataFrame, Mapping[str, Column]]]) -> DataFrame:
+def cogroup_counts(
+    key: str, sources: Mapping[str, tuple[DataFrame, Mapping[str, Column]]], largest: Sequence[str] = ()
+) -> DataFrame:
     """Aggregates of several tables side by side, one row per key seen in any of them.
 
     The tables are unioned on the key and summed, so there is a single shuffle of
     partially aggregated rows and no join: a key with a third of all rows costs one
     row per task, and one to-many combinations are never produced. For each source
-    the result has ``n_<source>`` (0 when absent) and one column per measure.
+    the result has ``n_<source>`` (0 when absent) and one column per measure, the sum
+    or, if named in ``largest``, the largest value.
     """
     parts = []
     for name, (df, measures) in sources.items():
@@ -119,7 +122,7 @@ def cogroup_counts(key: str, sources: Mapping[str, tuple[DataFrame, Mapping[str,
         .groupBy(key)
         .agg(
             *[F.coalesce(F.sum(f"n_{name}"), F.lit(0)).alias(f"n_{name}") for name in sources],
-            *[F.sum(m).alias(m) for m in measures],
+            *[(F.max if m in largest else F.sum)(m).alias(m) for m in measures],
         )
     )
 
@@ -225,17 +228,24 @@ RECONCILIATION_METRICS = {
 }
 
 
-# The rule behind each figure, not a sentence of anybody's report.
-RECONCILIATION_WHY = {
-    "rows": "each parent repeats once per pair of child rows",
-    "revenue": "each price repeats once per payment of its parent",
-    "cash": "each payment repeats once per item of its parent",
-    "aov": "repeated prices over single parents",
-}
+def _factors() -> dict[str, Column]:
+    """What multiplied each figure, as measured: the naive total over the ready one."""
+
+    def times(naive: str, ready: str, what: str) -> Column:
+        factor = F.round(ratio(F.col(naive), F.col(ready)), 4).cast("decimal(20,4)").cast("string")
+        return F.concat(F.coalesce(factor, F.lit("no")), F.lit(f" {what}"))
+
+    revenue = times("naive_revenue", "ready_revenue", "payment rows a unit of revenue")
+    return {
+        "rows": times("naive_rows", "ready_rows", "joined rows a parent"),
+        "revenue": revenue,
+        "cash": times("naive_cash", "ready_cash", "item rows a unit of cash"),
+        "aov": F.concat_ws(", ", revenue, times("naive_orders", "ready_orders", "of the parents")),
+    }
 
 
 def reconciliation(totals: DataFrame) -> DataFrame:
-    """Naive against decision-ready, one row per metric, with the inflation in percent and its cause."""
+    """Naive against decision-ready, one row per metric, with the inflation in percent and the measured factor behind it."""
     pairs = {
         "rows": (F.col("naive_rows").cast("double"), F.col("ready_rows").cast("double")),
         "revenue": (money(F.col("naive_revenue")), money(F.col("ready_revenue"))),
@@ -245,9 +255,10 @@ def reconciliation(totals: DataFrame) -> DataFrame:
             F.round(ratio(F.col("ready_revenue"), F.col("ready_orders")), 2),
         ),
     }
+    why = _factors()
     cells = {
         RECONCILIATION_METRICS[m]: F.struct(
-            a.alias("naive_raw"), b.alias("decision_ready"), F.lit(RECONCILIATION_WHY[m]).alias("why")
+            a.alias("naive_raw"), b.alias("decision_ready"), why[m].alias("why")
         )
         for m, (a, b) in pairs.items()
     }

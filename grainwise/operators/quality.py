@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from grainwise.functions.stats import count_true, percent, ratio
 from grainwise.operators.frames import inline_table, long_form, side_by_side, union_all
 from grainwise.operators.grain import cogroup_counts
+from grainwise.operators.sketches import DISTINCT_BITS, distinct_sketch
 
 
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -216,10 +217,53 @@ def issue_register(measured: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return rows.select("id", "row.*")
 
 
+def value_text(df: DataFrame, field: str) -> Column:
+    """A value as text that reads the same everywhere: decimals to six places, arrays by their size."""
+    kind, value = df.schema[field].dataType.simpleString(), F.col(f"`{field}`")
+    if kind.startswith("array"):
+        return F.when(value.isNotNull(), F.concat(F.lit("array of "), F.size(value).cast("string")))
+    if kind.startswith("timestamp"):
+        return F.date_format(value, "yyyy-MM-dd HH:mm:ss")
+    if kind in ("float", "double"):
+        value = F.expr(f"try_cast(`{field}` AS decimal(38,6))")
+    return value.cast("string")
+
+
+def field_profile(tables: Mapping[str, DataFrame], example_chars: int = 60) -> DataFrame:
+    """Rows, missing share, distinct values and an example of every field: one scan and one aggregate row a table.
+
+    Distinct values come from mergeable sketches; ``distinct_exact`` says whether their
+    number is certain. The example is the value of the least MD5, so it does not depend on
+    the order of rows.
+    """
+    profiles = []
+    for name, df in tables.items():
+        cells, measures = [], [F.count("*").alias("rows")]
+        for i, f in enumerate(df.columns):
+            text = value_text(df, f)
+            measures += [
+                F.count(F.col(f"`{f}`")).alias(f"_p{i}"),
+                distinct_sketch(F.col(f"`{f}`")).alias(f"_d{i}"),
+                F.min_by(F.substring(text, 1, example_chars), F.md5(text)).alias(f"_e{i}"),
+            ]
+            cells.append(
+                F.struct(
+                    F.lit(f).alias("field"), F.col(f"_p{i}").alias("present"),
+                    F.theta_sketch_estimate(f"_d{i}").alias("n_distinct"), F.col(f"_e{i}").alias("example"),
+                )
+            )
+        profiles.append(df.agg(*measures).select(F.lit(name).alias("tbl"), "rows", F.inline(F.array(*cells))))
+    missing = F.col("rows") - F.col("present")
+    return union_all(profiles).select(
+        "tbl", "field", "rows", percent(missing, F.col("rows")).alias("missing_pct"), "n_distinct",
+        (F.col("n_distinct") < 2**DISTINCT_BITS).alias("distinct_exact"), "example",
+    )
+
+
 def data_dictionary(
     tables: Mapping[str, DataFrame], descriptions: Mapping[tuple[str, str], str], derived: Sequence[str] = ()
 ) -> DataFrame:
-    """Table, field, type, description and origin, with the measured null share."""
+    """Table, field, type, description and origin, with what :func:`field_profile` measures."""
     spark = next(iter(tables.values())).sparkSession
     rows = [
         (name, f.name, f.dataType.simpleString(), descriptions.get((name, f.name), "—"), "yes" if name in derived else "no")
@@ -228,7 +272,4 @@ def data_dictionary(
     ]
     columns = ["tbl", "field", "dtype", "description", "derived"]
     fields = inline_table(spark, dict(zip(columns, (list(c) for c in zip(*rows)))))
-    return fields.join(
-        null_profile(tables).select("tbl", "field", "rows", "missing_pct"), ["tbl", "field"], "left"
-    )
-
+    return fields.join(field_profile(tables), ["tbl", "field"], "left")

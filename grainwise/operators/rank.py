@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,36 +53,113 @@ def quantile_bin(rank: Column, n: Column, bins: int = 5) -> Column:
     return F.greatest(F.lit(1), ceil_div).cast("int")
 
 
-def binned(df: DataFrame, value: Column, tie: str, name: str, bins: int = 5) -> DataFrame:
-    """``quantile_bin`` of every row by (value, tie) without ranking all rows.
+def prefix_sums(df: DataFrame, order: Sequence[Column], sums: Mapping[str, str], place: str = "_at", total: str = "total") -> DataFrame:
+    """Position and running sums of rows in a total order, of any number of rows.
+
+    ``sums`` maps new columns to the columns they add up; ``<new>_<total>`` is the sum over
+    all rows. Rows are range-partitioned and sorted; a partition's rows are added up inside
+    it and shifted by the totals of the partitions before, one row a partition, which is
+    all that meets in one task. The placement is checkpointed as range bounds are sampled.
+    """
+    placed = cut_lineage(
+        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_slot", F.monotonically_increasing_id())
+    )
+    part = F.shiftright("_slot", _SLOT_BITS).alias("_part")
+    sizes = placed.groupBy(part).agg(F.count("*").alias("_rows"), *[F.sum(c).alias(f"_sum_{n}") for n, c in sums.items()])
+    every, before = Window.partitionBy(), Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        "_part",
+        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
+        *[F.sum(f"_sum_{n}").over(before).alias(f"_off_{n}") for n in sums],
+        *[F.sum(f"_sum_{n}").over(every).alias(f"{n}_{total}") for n in sums],
+    )
+    inside = Window.partitionBy("_part").orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
+    joined = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    running = {}
+    for n, c in sums.items():
+        own = F.sum(c).over(inside)
+        running[n] = F.coalesce(F.col(f"_off_{n}") + own, F.col(f"_off_{n}"), own)
+    position = F.col("_slot").bitwiseAND(F.lit((1 << _SLOT_BITS) - 1))
+    return joined.withColumns({place: F.col("_before") + position + 1, **running}).drop("_slot", "_part", "_before", *[f"_off_{n}" for n in sums])
+
 
-    ``value`` is an integer, ``tie`` a unique column. A row is in bin k or below if its
-    rank is at most ``1 + floor(k * (n - 1) / bins)``. The values at those few ranks come
-    from value counts; rows beside them are settled by comparison, and only rows that
-    equal one of them are ranked, by ``tie``.
+def tied_sums(placed: DataFrame, value: str, sums: str, place: str = "_at") -> DataFrame:
+    """Of rows with positions and running sums: one row for each value, the sum up to its last row and its rows.
+
+    This is the running sum with a RANGE frame, where equal values share one.
     """
-    valued = df.withColumn("_v", value.cast("bigint"))
-    counts = count_values(valued, F.col("_v"))
+    return placed.groupBy(value).agg(F.max_by(sums, place).alias(sums), F.max(f"{sums}_total").alias(f"{sums}_total"), F.count("*").alias("n"))
+
+
+class Cut(NamedTuple):
+    """Upper end of a bin: a value, and the last tie-break among rows that equal it (None: all of them)."""
 
-    def wanted(n: Column) -> dict[str, Column]:
-        return {f"v{k}": F.floor(k * (n - 1) / bins).cast("bigint") + 1 for k in range(1, bins)}
+    value: int
+    last: object
 
-    cuts = cut_lineage(order_statistics(counts, wanted))
-    at = {k: cuts.select(f"v{k}").scalar() for k in range(1, bins)}
-    n = cuts.select("n").scalar()
-    below = cut_lineage(
-        counts.agg(*[F.coalesce(F.sum(F.when(F.col("_v") < at[k], F.col("_n"))), F.lit(0)).alias(f"b{k}") for k in at])
+
+def bin_cuts(df: DataFrame, measures: Mapping[str, Column], tie: str, bins: int = 5) -> dict[str, list[Cut]]:
+    """Ends of the equal-count bins of several integer measures, by (value, tie).
+
+    A row is in bin k or below if its rank is at most ``1 + floor(k * (n - 1) / bins)``.
+    All measures share one count of values, whose exchange serves the location of the cut
+    values as well as the rows below and at them; one row for each measure comes to the
+    driver. Only rows of a value that a cut divides are ranked, by ``tie``, and of those only
+    the last one of each bin is looked up, so every row can be binned by comparison.
+    """
+    stacked = df.select(
+        tie, F.inline(F.array(*[F.struct(F.lit(m).alias("_m"), v.cast("bigint").alias("_v")) for m, v in measures.items()]))
     )
-    tied = valued.filter(F.col("_v").isin(*at.values())).select("_v", tie)
-    ranked = global_rank(tied, ["_v", tie], "_place", "_all").drop("_all")
-    first = ranked.groupBy("_v").agg(F.min("_place").alias("_first"))
-    placed = ranked.join(F.broadcast(first), "_v").select(tie, (F.col("_place") - F.col("_first") + 1).alias("_at"))  # at most bins - 1 rows
-    out = F.lit(bins)
-    for k in reversed(list(at)):
-        limit = F.floor(k * (n - 1) / bins) + 1
-        rank = below.select(f"b{k}").scalar() + F.col("_at")
-        out = F.when((F.col("_v") < at[k]) | ((F.col("_v") == at[k]) & (rank <= limit)), F.lit(k)).otherwise(out)
-    return valued.join(placed, tie, "left").withColumn(name, out.cast("int")).drop("_v", "_at")
+    counts = count_values(stacked, F.col("_v"), ["_m"])
+    limit = lambda n, k: F.floor(k * (n - 1) / bins).cast("bigint") + 1
+    ks = range(1, bins)
+    located = order_statistics(counts, lambda n: {f"v{k}": limit(n, k) for k in ks}, ["_m"], groups_bounded=True)
+    near = counts.where("_v is not null").join(F.broadcast(located), "_m")  # one row for each measure
+    found = (
+        near.groupBy("_m", "n", *[f"v{k}" for k in ks])
+        .agg(
+            *[F.coalesce(F.sum(F.when(F.col("_v") < F.col(f"v{k}"), F.col("_n"))), F.lit(0)).alias(f"b{k}") for k in ks],
+            *[F.sum(F.when(F.col("_v") == F.col(f"v{k}"), F.col("_n"))).alias(f"e{k}") for k in ks],
+            *[F.first(limit(F.col("n"), k)).alias(f"l{k}") for k in ks],
+        )
+        .collect()
+    )
+    divided = {(r["_m"], r[f"v{k}"]): r[f"e{k}"] for r in found for k in ks if r[f"l{k}"] < r[f"b{k}"] + r[f"e{k}"]}
+    last: dict[tuple, object] = {}
+    if divided:
+        starts, start = {}, 0
+        for key in sorted(divided):
+            starts[key], start = start, start + divided[key]
+        wanted = {
+            (*key, k): starts[key] + r[f"l{k}"] - r[f"b{k}"]
+            for r in found for k in ks if (key := (r["_m"], r[f"v{k}"])) in divided
+        }
+        own = [(F.col("_m") == m) & (F.col("_v") == v) for m, v in divided]
+        tied = stacked.where(reduce(lambda a, b: a | b, own))
+        ranked = global_rank(tied, ["_m", "_v", tie], "_place", "_all").where(F.col("_place").isin(*wanted.values()))
+        at = {r["_place"]: r[tie] for r in ranked.select("_place", tie).collect()}  # bins - 1 rows for each measure at most
+        last = {key: at[place] for key, place in wanted.items()}
+    cuts: dict[str, list[Cut]] = {m: [] for m in measures}
+    for r in found:
+        cuts[r["_m"]] = [
+            Cut(r[f"v{k}"], last[r["_m"], r[f"v{k}"], k] if r[f"l{k}"] < r[f"b{k}"] + r[f"e{k}"] else None) for k in ks
+        ]
+    return cuts
+
+
+def bin_of(value: Column, tie: Column, cuts: Sequence[Cut]) -> Column:
+    """Bin (1 to the number of cuts plus one) of a row by the ends of the bins."""
+    value = value.cast("bigint")
+    out = F.lit(len(cuts) + 1)
+    for k, cut in reversed(list(enumerate(cuts, 1))):
+        here = value == cut.value if cut.last is None else (value == cut.value) & (tie <= cut.last)
+        out = F.when((value < cut.value) | here, F.lit(k)).otherwise(out)
+    return out.cast("int")
+
+
+def binned(df: DataFrame, value: Column, tie: str, name: str, bins: int = 5) -> DataFrame:
+    """``quantile_bin`` of every row by (value, tie) without ranking all rows."""
+    return df.withColumn(name, bin_of(value, F.col(tie), bin_cuts(df, {name: value}, tie, bins)[name]))
 
 
 _SHIFTS = (40, 20)  # bits dropped by the coarse and by the fine histogram

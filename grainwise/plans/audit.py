@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from grainwise.functions.money import in_units, minor_units
 from grainwise.functions.stats import count_true, percent
-from grainwise.functions.temporal import elapsed_days, year_month
 from grainwise.operators import quality
 from grainwise.operators.frames import long_form, side_by_side
-from grainwise.operators.grain import attach, cogroup_counts
+from grainwise.operators.grain import cogroup_counts
 from grainwise.operators.quality import Expectation, Rule
 from grainwise.operators.rank import exact_quantiles
 from grainwise.plans import outputs as out
 from grainwise.plans.orders import DELIVERED, PURCHASED
+from grainwise.session import cut_lineage
 
 Tables = Mapping[str, DataFrame]
 
@@ -85,42 +85,70 @@ RULES = [
 ]
 
 
-def _month_number(ym):
-    return F.replace(ym, F.lit("-"), F.lit("")).cast("int")
+def _per_order(t: Tables) -> DataFrame:
+    """One row per order key with what all order-level figures need.
+
+    Orders, items, payments and reviews are each read once here; the result is
+    checkpointed, as every figure below reads it.
+    """
+    orders, score = t["orders"], F.col("review_score").cast("bigint")
+    delivered = F.col("order_status") == "delivered"
+    bought = F.col(PURCHASED)
+    amounts = {"gmv": minor_units(F.col("price")), "freight": minor_units(F.col("freight_value"))}
+    count = lambda condition: F.coalesce(condition, F.lit(False)).cast("bigint")
+    return cut_lineage(
+        cogroup_counts(
+            "order_id",
+            {
+                "orders": (
+                    orders.select("order_id", *_flags(orders), out.delivery_micros().alias("micros"), (F.year(bought) * 100 + F.month(bought)).alias("_ym"), delivered.alias("_done")),
+                    {**{c: F.col(c) for c in ORDER_FLAGS}, "micros": F.col("micros"), "ym": F.when(F.col("_done"), F.col("_ym"))},
+                ),
+                "items": (t["order_items"], {"value": amounts["gmv"] + amounts["freight"], **amounts}),
+                "payments": (
+                    t["order_payments"],
+                    {
+                        "paid": minor_units(F.col("payment_value")),
+                        "nonpositive_value": count(F.col("payment_value") <= 0),
+                        "not_defined_type": count(F.col("payment_type") == "not_defined"),
+                    },
+                ),
+                "reviews": (
+                    t["order_reviews"],
+                    {
+                        "scores": F.when(score.isNotNull(), 1).cast("bigint"), "total": score, "squares": score * score,
+                        "missing_message": count(F.col("review_comment_message").isNull()),
+                        "missing_title": count(F.col("review_comment_title").isNull()),
+                    },
+                ),
+            },
+            largest=("micros", "ym"),
+        )
+    )
 
 
-def _reviews(t: Tables) -> list[DataFrame]:
+def _reviews(per_order: DataFrame) -> list[DataFrame]:
     """Delivery-versus-score signal and scores by status, from per-order review sums."""
-    score = F.col("review_score").cast("bigint")
-    sums = (
-        t["order_reviews"]
-        .groupBy("order_id")
-        .agg(
-            F.count("review_score").alias("n"),
-            F.sum(score).alias("total"),
-            F.sum(score * score).alias("squares"),
-        )
-    )
-    dated = t["orders"].select(
-        "order_id", "order_status", elapsed_days(F.col(PURCHASED), F.col(DELIVERED)).alias("delivery_days")
-    )
-    joined = attach(sums, dated, "order_id")
-    signal = out.corr_at_child_grain(joined, "delivery_days", "n", "total", "squares")
+    scored = per_order.filter(F.col("scores") > 0).select(
+        "scores", "total",
+        # scores are whole numbers from 1 to 5, so these sums are exact
+        (F.col("squares") - F.col("total") * F.col("total") / F.col("scores")).alias("spread"),
+        out.in_days(F.col("micros")).alias("delivery_days"),
+        F.when(F.col("delivered_orders") > 0, "delivered").alias("order_status"),
+    )
+    signal = out.corr_at_child_grain(scored, "delivery_days", "scores", "total", "spread")
     return [
         signal.select(F.col("r").alias("r_delivery_vs_score")),
-        out.score_by_status(joined, "order_status", "delivered", "total", "n"),
+        out.score_by_status(scored, "order_status", "delivered", "total", "scores"),
     ]
 
 
-def _monthly_delivered(t: Tables) -> DataFrame:
-    delivered = t["orders"].filter(F.col("order_status") == "delivered")
-    monthly = delivered.groupBy(year_month(F.col(PURCHASED)).alias("ym")).agg(F.count("*").alias("n"))
+def _monthly_delivered(per_order: DataFrame) -> DataFrame:
+    monthly = per_order.filter("ym IS NOT NULL").groupBy("ym").agg(F.sum("delivered_orders").alias("n"))
     return monthly.agg(
-        _month_number(F.min("ym")).alias("first_month"),
-        _month_number(F.max("ym")).alias("last_month"),
-        _month_number(out.first_largest("ym", "n")).alias("peak_month"),
+        F.min("ym").alias("first_month"), F.max("ym").alias("last_month"), out.first_largest("ym", "n").alias("peak_month"),
         F.max("n").alias("peak_orders"),
-    )
+    )
 
 
 def _repeat(t: Tables) -> DataFrame:
@@ -162,51 +190,43 @@ def _order_figures() -> list:
 
 def audit_metrics(t: Tables) -> DataFrame:
     """Every audited figure in one wide row."""
-    orders, items, payments, reviews = (t[n] for n in ("orders", "order_items", "order_payments", "order_reviews"))
+    per_order = _per_order(t)
+    counted = {"orders": "n_orders", "order_items": "n_items", "order_payments": "n_payments", "order_reviews": "n_reviews"}
+    rows = {name: per_order.agg(F.coalesce(F.sum(c), F.lit(0)).alias(f"rows_{name}")) for name, c in counted.items()}
     shapes = [
-        t[name].agg(F.count("*").alias(f"rows_{name}")).withColumn(f"cols_{name}", F.lit(len(t[name].columns)))
+        rows.get(name, t[name].agg(F.count("*").alias(f"rows_{name}"))).withColumn(f"cols_{name}", F.lit(len(t[name].columns)))
         for name in SHAPES
     ]
-    value = minor_units(F.col("price")) + minor_units(F.col("freight_value"))
-    per_order = cogroup_counts(
-        "order_id",
-        {
-            "orders": (orders.select("order_id", *_flags(orders)), {c: F.col(c) for c in ORDER_FLAGS}),
-            "items": (items, {"value": value, "gmv": minor_units(F.col("price")), "freight": minor_units(F.col("freight_value"))}),
-            "payments": (payments, {"paid": minor_units(F.col("payment_value"))}),
-            "reviews": (reviews, {}),
-        },
-    )
-    median = exact_quantiles(orders, out.delivery_micros(), {"m": 0.5})
+    median = exact_quantiles(per_order, F.col("micros"), {"m": 0.5})
     products = quality.key_coverage(
-        t["products"], "product_id", items, "product_id", "items_orphan_products", "products_without_items"
+        t["products"], "product_id", t["order_items"], "product_id", "items_orphan_products", "products_without_items"
     )
     unmapped = quality.unmapped_values(
         t["products"], "product_category_name", t["category_translation"], "product_category_name"
     )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    texts = per_order.agg(
+        total("missing_message").alias("missing_message"), total("missing_title").alias("missing_title"),
+        (total("n_reviews") - total("missing_message")).alias("with_text"),
+        percent(total("n_reviews") - total("missing_message"), total("n_reviews")).alias("pct_with_text"),
+        total("nonpositive_value").alias("nonpositive_value"), total("not_defined_type").alias("not_defined_type"),
+    )
     return side_by_side(
         *shapes,
         per_order.agg(*_order_figures()),
         products,
-        *_reviews(t),
+        *_reviews(per_order),
         out.value_against_paid(per_order, "value", "paid").select("r_value_vs_payment"),
         median.select(F.round(out.in_days(F.col("m")), 2).alias("median_delivery_days")),
-        _monthly_delivered(t),
+        _monthly_delivered(per_order),
         _repeat(t),
         quality.duplication(t["geolocation"], "geolocation_zip_code_prefix").select(
             F.col("rows").alias("geo_rows"), F.col("distinct_keys").alias("geo_prefixes")
         ),
         quality.two_key_counts(t["customers"], "customer_id", "customer_ids", "customer_unique_id", "unique_customers"),
-        out.text_coverage(reviews, "review_comment_message", "review_comment_title").drop("reviews"),
+        texts,
         t["products"].agg(count_true(F.col("product_category_name").isNull()).alias("missing_category")),
         unmapped.agg(F.count("*").alias("unmapped_categories")),
-        quality.conditional_counts(
-            payments,
-            {
-                "nonpositive_value": F.col("payment_value") <= 0,
-                "not_defined_type": F.col("payment_type") == "not_defined",
-            },
-        ),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from grainwise.functions.classify import category_label, rfm_segment
 from grainwise.functions.money import exact_total, minor_units
 from grainwise.functions.temporal import elapsed_days, whole_days, year_month
 from grainwise.operators.grain import LARGEST, attach, by_attribute, dedupe_dimension, dominant_attribute, to_parent_grain
-from grainwise.operators.rank import binned
+from grainwise.operators.rank import bin_cuts, bin_of
 from grainwise.session import cut_lineage
 
 # Labels of the two categories that the lookup lacks.
@@ -97,13 +97,16 @@ def derive_order_fields(joined: DataFrame, delivered_status: str) -> DataFrame:
     """
     cols = set(joined.columns)
     bought, arrived, promised = F.col(PURCHASED), F.col(DELIVERED), F.col(PROMISED)
-    out = {"has_items": F.col("order_product_revenue").isNotNull()}
+    out = {}
+    if "order_product_revenue" in cols:
+        out["has_items"] = F.col("order_product_revenue").isNotNull()
     if "order_payment_total" in cols:
         out["has_payment"] = F.col("order_payment_total").isNotNull()
     for name in ("order_product_revenue", "order_freight", "n_items", "n_sellers"):
         if name in cols:
             out[name] = F.coalesce(F.col(name), F.lit(0).cast(joined.schema[name].dataType))
-    out["order_value"] = out["order_product_revenue"] + out["order_freight"]
+    if "order_product_revenue" in cols:
+        out["order_value"] = out["order_product_revenue"] + out["order_freight"]
     out["delivered"] = F.coalesce(F.col("order_status") == delivered_status, F.lit(False))
     out["delivery_days"] = elapsed_days(bought, arrived)
     out["est_delivery_days"] = elapsed_days(bought, promised)
@@ -115,18 +118,31 @@ def derive_order_fields(joined: DataFrame, delivered_status: str) -> DataFrame:
     return joined.withColumns(out)
 
 
+CHILDREN = {"items": ("order_items", item_grain), "payments": ("order_payments", payment_grain), "reviews": ("order_reviews", review_grain)}
+
+
+def _with_children(t: Mapping[str, DataFrame], children: Sequence[str]) -> DataFrame:
+    """The children arrive already partitioned by order, so their joins share one exchange of the orders table."""
+    joined = t["orders"]
+    for table, grain in (CHILDREN[c] for c in children):
+        joined = attach(joined, grain(t[table]), "order_id")
+    return joined
+
+
+def order_grain(t: Mapping[str, DataFrame], children: Sequence[str] = ("items",)) -> DataFrame:
+    """One row per order with the named children and derived fields, without its customer.
+
+    A report names the children it reads; the others, and the customers, are not touched.
+    """
+    return derive_order_fields(_with_children(t, children), "delivered")
+
+
 def orders_clean(t: Mapping[str, DataFrame]) -> DataFrame:
-    """One row per order with item, payment and review aggregates and derived fields.
+    """One row per order with item, payment and review aggregates, customer and derived fields.
 
-    The children arrive already partitioned by order, so the three joins share one
-    exchange of the orders table; customers come last, where a frequent customer
-    key may be split by the skew-join rule.
+    Customers come last, where a frequent customer key may be split by the skew-join rule.
     """
-    joined = t["orders"]
-    for child in (item_grain(t["order_items"]), payment_grain(t["order_payments"]), review_grain(t["order_reviews"])):
-        joined = attach(joined, child, "order_id")
-    joined = attach(joined, t["customers"], "customer_id")
-    return derive_order_fields(joined, "delivered")
+    return derive_order_fields(attach(_with_children(t, tuple(CHILDREN)), t["customers"], "customer_id"), "delivered")
 
 
 def geo_clean(geolocation: DataFrame) -> DataFrame:
@@ -190,10 +206,10 @@ def customer_rfm(order_grain: DataFrame, reference: Column, repeat_min: int = 2)
             "monetary",
         )
     )
-    scale = base.schema["monetary"].dataType.scale
-    by_recency = binned(base, F.col("recency_days"), "customer_unique_id", "_recency")
-    ranked = by_recency.withColumn("R_score", 6 - F.col("_recency")).drop("_recency")
-    scored = binned(ranked, minor_units(F.col("monetary"), scale), "customer_unique_id", "M_score")
+    person, recency = F.col("customer_unique_id"), F.col("recency_days")
+    value = minor_units(F.col("monetary"), base.schema["monetary"].dataType.scale)
+    cuts = bin_cuts(base, {"recency": recency, "value": value}, "customer_unique_id")
+    scored = base.withColumns({"R_score": 6 - bin_of(recency, person, cuts["recency"]), "M_score": bin_of(value, person, cuts["value"])})
     frequency = F.col("frequency")
     return scored.select(
         "customer_unique_id",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from grainwise.functions.classify import bucket_conditions, frequency_bucket
 from grainwise.functions.stats import (
-    correlation_from_sums,
+    correlation,
     count_true,
     money,
     percent,
@@ -17,8 +17,9 @@ from grainwise.functions.stats import (
 )
 from grainwise.functions.temporal import MICROS_PER_DAY, elapsed_micros
 from grainwise.operators.frames import long_form, side_by_side, union_all
-from grainwise.operators.rank import count_values, quantiles, share_of_total
+from grainwise.operators.rank import count_values, prefix_sums, quantiles, share_of_total, tied_sums
 from grainwise.plans.orders import DELIVERED, PURCHASED
+from grainwise.session import cut_lineage
 
 # Row labels of the published KPI and distribution tables.
 KPI_LABELS = {
@@ -167,27 +168,42 @@ def corr_delivery_score(order_grain: DataFrame) -> DataFrame:
     )
 
 
-def corr_at_child_grain(parents: DataFrame, x: str, children: str, total: str, squares: str) -> DataFrame:
+def corr_at_child_grain(parents: DataFrame, x: str, children: str, total: str, spread: str) -> DataFrame:
     """Pearson r of a parent value against a child value, counted once per child row.
 
-    ``children``, ``total`` and ``squares`` are the per-parent count, sum and sum of
-    squares of the child value, so child rows need not be joined back to parents.
+    ``children``, ``total`` and ``spread`` are the per-parent count, sum and sum of squared
+    deviations from the parent's own mean of the child value, so child rows need not be
+    joined back to parents. Parents are first folded by their number of children with the
+    engine's centred moments (mean, second moment, co-moment, which merge pairwise); those
+    few rows are then combined around the mean of all. No power sum is formed, so a large
+    common offset costs no digits.
     """
-    n, x, sy, syy = (F.col(children).cast("double"), F.col(x), F.col(total).cast("double"), F.col(squares).cast("double"))
-    sums = parents.filter(x.isNotNull() & (F.col(children) > 0)).agg(
-        F.sum(children).alias("n"),
-        F.sum(n * x).alias("sx"),
-        F.sum(sy).alias("sy"),
-        F.sum(n * x * x).alias("sxx"),
-        F.sum(syy).alias("syy"),
-        F.sum(x * sy).alias("sxy"),
-        (F.min(x) < F.max(x)).alias("varied"),
-    )
-    r = correlation_from_sums(
-        F.col("n").cast("double"), *[F.col(c) for c in ("sx", "sy", "sxx", "syy", "sxy")]
-    )
+    n, x = F.col(children).cast("double"), F.col(x).cast("double")
+    y = F.col(total).cast("double") / n
+    weight = F.col("_w") * F.col("_parents")
+    moments = (
+        parents.filter(x.isNotNull() & (F.col(children) > 0))
+        .groupBy(F.col(children).cast("double").alias("_w"))
+        .agg(
+            F.count("*").cast("double").alias("_parents"), F.avg(x).alias("_ax"), F.avg(y).alias("_ay"),
+            F.var_pop(x).alias("_vx"), F.var_pop(y).alias("_vy"), F.covar_pop(x, y).alias("_vxy"), F.sum(spread).alias("_inside"),
+            F.min(x).alias("_lx"), F.max(x).alias("_hx"),
+        )
+    )
+    every = Window.partitionBy()  # one row for each number of children
+    whole = F.sum(weight).over(every)
+    dx = F.col("_ax") - F.sum(weight * F.col("_ax")).over(every) / whole
+    dy = F.col("_ay") - F.sum(weight * F.col("_ay")).over(every) / whole
+    combined = moments.select(
+        weight.alias("_n"), "_lx", "_hx",
+        (weight * (F.col("_vx") + dx * dx)).alias("_mxx"),
+        (F.col("_inside") + weight * (F.col("_vy") + dy * dy)).alias("_myy"),
+        (weight * (F.col("_vxy") + dx * dy)).alias("_mxy"),
+    )
+    r = correlation(F.sum("_mxx"), F.sum("_myy"), F.sum("_mxy"))
     # rounding may leave a constant value a variance, so constancy is read off its range
-    return sums.select(F.round(F.when(F.col("varied"), r), 4).alias("r"), "n")
+    varied = F.min("_lx") < F.max("_hx")
+    return combined.agg(F.round(F.when(varied, r), 4).alias("r"), F.sum("_n").cast("bigint").alias("n"))
 
 
 def score_by_status(per_parent: DataFrame, status: str, delivered_status: str, total: str, count: str) -> DataFrame:
@@ -219,54 +235,61 @@ def revenue_by_category(items: DataFrame, categories: DataFrame, revenue: Column
     )
 
 
-def _by_revenue() -> Window:
-    return Window.orderBy(F.desc("revenue"), F.asc("category_en"))
+def _placed(revenue: DataFrame) -> DataFrame:
+    """Categories by falling revenue with position, running revenue and total, for any number of them."""
+    return prefix_sums(revenue, [F.desc("revenue"), F.asc("category_en")], {"_cum": "revenue"})
 
 
 def category_pareto(revenue: DataFrame) -> DataFrame:
     """All categories: share of the rounded revenue, running share by row, rank."""
-    rounded = revenue.withColumn("revenue", F.round("revenue", 2))
-    total = F.sum("revenue").over(Window.partitionBy())
-    running = F.sum("revenue").over(_by_revenue().rowsBetween(Window.unboundedPreceding, 0))
-    return rounded.select(
+    placed = _placed(revenue.withColumn("revenue", F.round("revenue", 2)))
+    return placed.select(
         "category_en",
         F.col("revenue").cast("double").alias("revenue"),
-        F.round(percent(F.col("revenue"), total, None), 6).alias("pct"),
-        F.round(percent(running, total, None), 6).alias("cum_pct"),
-        F.row_number().over(_by_revenue()).alias("rank"),
+        F.round(percent(F.col("revenue"), F.col("_cum_total"), None), 6).alias("pct"),
+        F.round(percent(F.col("_cum"), F.col("_cum_total"), None), 6).alias("cum_pct"),
+        F.col("_at").cast("int").alias("rank"),
     )
 
 
-def _running_share(revenue: DataFrame) -> DataFrame:
-    """Running share where equal revenues share one value (RANGE frame)."""
-    total = F.sum("revenue").over(Window.partitionBy())
-    frame = Window.orderBy(F.desc("revenue")).rangeBetween(Window.unboundedPreceding, 0)
-    return revenue.withColumn("_share", percent(F.col("revenue"), total, None)).withColumn(
-        "_cum", percent(F.sum("revenue").over(frame), total, None)
-    )
+def _tied_share(placed: DataFrame) -> DataFrame:
+    """Running share where equal revenues share one value (RANGE frame), one row for each revenue."""
+    tied = tied_sums(placed, "revenue", "_cum")
+    return tied.select("revenue", "n", percent(F.col("_cum"), F.col("_cum_total"), None).alias("_share"))
 
 
 def category_pareto_top(revenue: DataFrame, k: int = 15) -> DataFrame:
     """Leading categories with shares of the unrounded revenue."""
-    ranked = _running_share(revenue).withColumn("rank", F.row_number().over(_by_revenue()))
+    placed = _placed(revenue)
+    tied = _tied_share(placed).withColumnsRenamed({"revenue": "_value", "_share": "_tied"}).drop("n")
     return (
-        ranked.orderBy("rank")
-        .limit(k)
+        placed.where(F.col("_at") <= k)
+        .join(tied, F.col("revenue").eqNullSafe(F.col("_value")))
         .select(
             "category_en",
             money(F.col("revenue")).alias("revenue"),
-            F.round("_share", 2).alias("pct"),
-            F.round("_cum", 2).alias("cum_pct"),
-            "rank",
+            F.round(percent(F.col("revenue"), F.col("_cum_total"), None), 2).alias("pct"),
+            F.round("_tied", 2).alias("cum_pct"),
+            F.col("_at").cast("int").alias("rank"),
         )
+        .orderBy("rank")
     )
 
 
 def pareto_threshold(revenue: DataFrame, pct: float = 80.0) -> DataFrame:
     """Number of leading categories needed to reach a share of revenue."""
-    return _running_share(revenue).agg(
-        (count_true(F.col("_cum") <= pct) + 1).alias("categories_for_80pct"),
-        F.count("*").alias("total_categories"),
+    within = F.sum(F.when(F.col("_share") <= pct, F.col("n")))
+    return _tied_share(_placed(revenue)).agg(
+        (F.coalesce(within, F.lit(0)) + 1).alias("categories_for_80pct"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_categories"),
+    )
+
+
+def _revenue_per_customer(order_grain: DataFrame) -> DataFrame:
+    return (
+        order_grain.filter("has_items")
+        .groupBy("customer_id")
+        .agg(F.sum("order_product_revenue").alias("_rev"), F.count("*").alias("_orders"))
     )
 
 
@@ -276,11 +299,10 @@ def revenue_by_state(order_grain: DataFrame, customers: DataFrame) -> DataFrame:
     Orders are summed per customer before the customer table is joined, and people
     are counted from (state, person) groups, so no step depends on one hot key.
     """
-    per_customer = (
-        order_grain.filter("has_items")
-        .groupBy("customer_id")
-        .agg(F.sum("order_product_revenue").alias("_rev"), F.count("*").alias("_orders"))
-    )
+    return _by_state(_revenue_per_customer(order_grain), customers)
+
+
+def _by_state(per_customer: DataFrame, customers: DataFrame) -> DataFrame:
     where = customers.select("customer_id", "customer_unique_id", "customer_state")
     per_person = (
         per_customer.join(where, "customer_id")
@@ -302,6 +324,23 @@ def revenue_by_state(order_grain: DataFrame, customers: DataFrame) -> DataFrame:
     )
 
 
+def report_figures(order_grain: DataFrame, customers: DataFrame, revenue: DataFrame, labels: DataFrame) -> DataFrame:
+    """Leading states, peak month, 80 percent categories and the number of negative labels.
+
+    The order grain is evaluated once: states and months both come from its sums by
+    customer and month.
+    """
+    base = cut_lineage(
+        order_grain.filter("has_items")
+        .groupBy("customer_id", "purchase_ym")
+        .agg(F.sum("order_product_revenue").alias("_rev"), F.count("*").alias("_orders"))
+    )
+    per_customer = base.groupBy("customer_id").agg(F.sum("_rev").alias("_rev"), F.sum("_orders").alias("_orders"))
+    trend = base.groupBy("purchase_ym").agg(F.sum("_orders").alias("orders"))
+    negatives = labels.agg(count_true(F.col("sentiment") == "negative").alias("negative_reviews"))
+    return side_by_side(concentration(_by_state(per_customer, customers), trend, revenue), negatives)
+
+
 def concentration(states: DataFrame, trend: DataFrame, revenue: DataFrame, top: int = 3) -> DataFrame:
     """Share of the leading states, the peak month and the 80 percent category count."""
     leaders = states.orderBy(F.desc("gmv"), "customer_state").limit(top)

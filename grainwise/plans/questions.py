@@ -5,7 +5,7 @@ Each entry is a function of the tables, so nothing runs until its result is used
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from grainwise.functions.money import minor_units
 from grainwise.operators import quality
 from grainwise.operators.frames import side_by_side
-from grainwise.operators.grain import cogroup_counts, fan_out_sql_report
+from grainwise.operators.grain import attach, cogroup_counts, fan_out_sql_report
 from grainwise.operators.rank import top_k
 from grainwise.plans import orders as od
 from grainwise.plans import outputs as out
@@ -112,13 +112,15 @@ def invalid_payments(t: Tables) -> DataFrame:
     )
 
 
-def _coverage(t: Tables) -> DataFrame:
-    relations = [
-        ("orders", "order_items", "order_id", "items_orphan_orders", "orders_without_items"),
-        ("orders", "order_payments", "order_id", "payments_orphan_orders", "orders_without_payments"),
-        ("orders", "order_reviews", "order_id", "reviews_orphan_orders", "orders_without_reviews"),
-        ("products", "order_items", "product_id", "items_orphan_products", "products_without_items"),
-    ]
+RELATIONS = [
+    ("orders", "order_items", "order_id", "items_orphan_orders", "orders_without_items"),
+    ("orders", "order_payments", "order_id", "payments_orphan_orders", "orders_without_payments"),
+    ("orders", "order_reviews", "order_id", "reviews_orphan_orders", "orders_without_reviews"),
+    ("products", "order_items", "product_id", "items_orphan_products", "products_without_items"),
+]
+
+
+def _coverage(t: Tables, relations: Sequence[tuple[str, ...]] = RELATIONS) -> DataFrame:
     return side_by_side(
         *[quality.key_coverage(t[p], key, t[c], key, orphans, childless) for p, c, key, orphans, childless in relations]
     )
@@ -133,7 +135,7 @@ def referential_integrity(t: Tables) -> DataFrame:
 
 @question
 def childless_orders(t: Tables) -> DataFrame:
-    return _coverage(t).select("orders_without_items", "orders_without_payments")
+    return _coverage(t, RELATIONS[:2]).select("orders_without_items", "orders_without_payments")
 
 
 @question
@@ -156,7 +158,7 @@ def status_mix(t: Tables) -> DataFrame:
 
 @question
 def monthly_orders(t: Tables) -> DataFrame:
-    return out.monthly_trend(od.orders_clean(t)).orderBy("purchase_ym")
+    return out.monthly_trend(od.order_grain(t)).orderBy("purchase_ym")
 
 
 def _category_revenue(t: Tables) -> DataFrame:
@@ -177,29 +179,30 @@ def categories_for_80pct(t: Tables) -> DataFrame:
 
 @question
 def delivery_stats(t: Tables) -> DataFrame:
-    return out.delivery_stats(od.orders_clean(t))
+    return out.delivery_stats(od.order_grain(t, ()))
 
 
 @question
 def score_vs_delivery(t: Tables) -> DataFrame:
-    return out.score_vs_delivery_sql(od.orders_clean(t)).orderBy("score")
+    return out.score_vs_delivery_sql(od.order_grain(t, ("reviews",))).orderBy("score")
 
 
 @question
 def delivery_score_correlation(t: Tables) -> DataFrame:
-    return out.corr_delivery_score(od.orders_clean(t))
+    return out.corr_delivery_score(od.order_grain(t, ("reviews",)))
 
 
 @question
 def repeat_behaviour(t: Tables) -> DataFrame:
-    summary = out.repeat_summary(od.people(od.orders_clean(t)))
+    owned = attach(od.order_grain(t), t["customers"], "customer_id")
+    summary = out.repeat_summary(od.people(owned))
     return summary.select(
         F.col("freq_bucket").alias("orders_bucket"), "customers", "pct_customers", "pct_revenue"
     ).orderBy("orders_bucket")
 
 
 def _states(t: Tables) -> DataFrame:
-    states = out.revenue_by_state(od.orders_clean(t), t["customers"])
+    states = out.revenue_by_state(od.order_grain(t), t["customers"])
     return states.select("customer_state", "gmv", "pct_gmv", "orders")
 
 
@@ -225,7 +228,7 @@ def raw_vs_ready(t: Tables) -> DataFrame:
 @question
 def dashboard_kpi(t: Tables) -> DataFrame:
     sold = t["order_items"].agg(F.sum("price").alias("gmv"), F.sum("freight_value").alias("freight"))
-    return out.dashboard_kpi(od.orders_clean(t), sold, t["customers"])
+    return out.dashboard_kpi(od.order_grain(t), sold, t["customers"])
 
 
 @question

@@ -6,6 +6,7 @@ import math
 import os
 from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,10 +242,22 @@ def test_equal_states_go_to_the_first(spark):
 
 def test_correlation_of_a_constant_is_null(spark):
     df = spark.range(1000).select(F.lit(12.3).alias("x"), F.lit(1).alias("n"), (F.col("id") % 5).alias("y"))
-    got = out.corr_at_child_grain(df.withColumn("yy", F.col("y") * F.col("y")), "x", "n", "y", "yy").first()
+    got = out.corr_at_child_grain(df.withColumn("inside", F.lit(0.0)), "x", "n", "y", "inside").first()
     assert (got.r, got.n) == (None, 1000)
 
 
+def test_correlation_with_a_large_offset(spark):
+    """Mean 1e9 and deviation 1: power sums would have no digit left."""
+    rng = np.random.default_rng(5)
+    x = 1e9 + rng.normal(size=2000)
+    children = [(float(a), [1e9 + 0.6 * (a - 1e9) + e for e in rng.normal(size=1 + i % 4)]) for i, a in enumerate(x)]
+    rows = [(a, len(ys), float(sum(ys)), float(np.var(ys) * len(ys))) for a, ys in children]
+    df = spark.createDataFrame(rows, "x double, n bigint, total double, inside double")
+    want = np.corrcoef([a - 1e9 for a, ys in children for _ in ys], [y - 1e9 for _, ys in children for y in ys])[0, 1]
+    got = out.corr_at_child_grain(df, "x", "n", "total", "inside").first()
+    assert abs(got.r - want) < 1e-4 and got.n == sum(len(ys) for _, ys in children)
+
+
 def test_a_tolerance_is_not_reached(spark):
     measured = spark.createDataFrame([("m", 10.5)], "metric string, value double")
     exact = [quality.Expectation("c", "m", 10.0, 0.5), quality.Expectation("c", "m", 10.0, 0.6)]

@@ -107,3 +107,18 @@ def test_hot_product_is_split(spark):
     finally:
         for key in settings:
             spark.conf.unset(key)
+
+
+def test_bucketed_order_grain_needs_no_exchange_on_the_order(large):
+    text = plan(QUERIES["order_grain_bucketed"](large, SMOKE_DIR))
+    assert "Exchange" not in text and "SortMergeJoin" in text
+
+
+def test_samples_are_drawn_without_a_job(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "no job may run")
+    try:
+        QUERIES["sample_reviews"](spark, SMOKE_DIR)
+        assert list(tracker.getJobIdsForGroup("planning")) == []
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()

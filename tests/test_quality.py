@@ -48,8 +48,19 @@ def test_value_mix_and_repeat_rate(spark):
 def test_data_dictionary_marks_derived_tables(spark):
     df = spark.createDataFrame([(1, None)], "a int, b string")
     got = quality.data_dictionary({"raw": df, "made": df}, {("raw", "a"): "first", ("made", "a"): "first"}, ["made"])
-    assert rows(got)[0] == ("made", "a", "int", "first", "yes", 1, 0.0)
-    assert rows(got)[3] == ("raw", "b", "string", "—", "no", 1, 100.0)
+    assert rows(got)[0] == ("made", "a", "int", "first", "yes", 1, 0.0, 1, True, "1")
+    assert rows(got)[3] == ("raw", "b", "string", "—", "no", 1, 100.0, 0, True, None)
+
+
+def test_field_profile_reads_a_table_once(spark, tmp_path):
+    df = spark.sql("SELECT id % 7 AS a, array(id) AS b, if(id % 2 = 0, id / 3, null) AS c, timestamp_ntz'2020-01-01 00:00:00' AS `d.e` FROM range(100)")
+    df.write.parquet(str(tmp_path / "t"))
+    got = quality.field_profile({"t": spark.read.parquet(str(tmp_path / "t"))})
+    assert got._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert [(r.field, r.missing_pct, r.n_distinct, r.distinct_exact) for r in got.collect()] == [
+        ("a", 0.0, 7, True), ("b", 0.0, 100, True), ("c", 50.0, 50, True), ("d.e", 0.0, 1, True)
+    ]
+    assert {r.field: r.example for r in got.collect()}["b"] == "array of 1"
 
 
 def test_time_functions(spark):

@@ -11,7 +11,18 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from grainwise.operators.rank import binned, count_values, exact_quantiles, global_rank, order_statistics, quantile_bin, quantiles
+from grainwise.operators.rank import (
+    bin_cuts,
+    binned,
+    count_values,
+    exact_quantiles,
+    global_rank,
+    order_statistics,
+    prefix_sums,
+    quantile_bin,
+    quantiles,
+    tied_sums,
+)
 
 
 def frame(spark, pdf, parts=4):
@@ -87,3 +98,43 @@ def test_binned_equals_bins_of_ranks(spark, values):
     ranked = global_rank(df, ["v", "id"], "r", "n").select("id", quantile_bin(F.col("r"), F.col("n")).alias("bin"))
     got = binned(df, F.col("v"), "id", "bin").select("id", "bin")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, ranked.collect()))
+
+
+def test_bins_of_two_measures_share_one_count(spark):
+    rng = random.Random(11)
+    rows = [(f"id{i:04d}", rng.choice([0, 0, 0, rng.randint(1, 9)]), rng.randint(0, 10**9)) for i in range(997)]
+    df = spark.createDataFrame(rows, "id string, a bigint, b bigint").repartition(5)
+    cuts = bin_cuts(df, {"a": F.col("a"), "b": F.col("b")}, "id")
+    assert len(cuts["a"]) == len(cuts["b"]) == 4
+    assert any(c.last for c in cuts["a"]) and not any(c.last for c in cuts["b"])
+    for m in "ab":
+        ranked = global_rank(df, [m, "id"], "r", "n").select("id", quantile_bin(F.col("r"), F.col("n")).alias("bin"))
+        assert sorted(map(tuple, binned(df, F.col(m), "id", "bin").select("id", "bin").collect())) == sorted(map(tuple, ranked.collect()))
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_prefix_sums_by_row_and_by_value(spark, parts):
+    rng = np.random.default_rng(2)
+    v = rng.integers(-50, 50, 2000)
+    v[::3] = 7
+    pdf = pd.DataFrame({"id": [f"p{i:05d}" for i in range(2000)], "v": v})
+    placed = prefix_sums(frame(spark, pdf, parts), [F.desc("v"), F.asc("id")], {"s": "v"})
+    got = placed.toPandas().sort_values("_at")
+    want = pdf.sort_values(["v", "id"], ascending=[False, True])
+    assert list(got.id) == list(want.id) and list(got["_at"]) == list(range(1, 2001))
+    assert list(got.s) == list(want.v.cumsum()) and set(got.s_total) == {int(v.sum())}
+    tied = tied_sums(placed, "v", "s").toPandas().set_index("v")
+    last = want.assign(s=want.v.cumsum()).groupby("v").s.agg(["last", "size"])
+    assert all(tied.s[k] == last["last"][k] and tied.n[k] == last["size"][k] for k in last.index)
+
+
+def test_prefix_sums_meet_in_one_task_only_as_totals(spark):
+    df = spark.range(1000).select((F.col("id") % 7).alias("v"), "id")
+    text = prefix_sums(df, [F.desc("v"), F.asc("id")], {"s": "v"})._jdf.queryExecution().executedPlan().toString()
+    before = text.split("Exchange SinglePartition")
+    assert len(before) == 2 and "HashAggregate(keys=[_groupingexpression" in before[1].splitlines()[1]
+
+
+def test_prefix_sums_of_nothing(spark):
+    empty = spark.createDataFrame([], "id string, v bigint")
+    assert prefix_sums(empty, [F.desc("v"), F.asc("id")], {"s": "v"}).collect() == []
