@@ -6,7 +6,7 @@ import ctypes
 import gc
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,14 @@ def stored(df: DataFrame, kind: str = "stage") -> DataFrame:
     return out
 
 
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """``name``, lengthened until no column of a table bears it; names differ in case too."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def release(*frames: DataFrame) -> None:
     """Delete what ``stored`` wrote; nothing that is read later may depend on it."""
     for df in frames:

@@ -12,8 +12,9 @@ other half. Letters and digits of mail names and secrets are permuted character
 character by the same scheme, each within its own class.
 
 Defined cases: a null text stays null and an empty one empty; candidates that fail
-validation stay as they are; a value met again gets the same pseudonym; all columns
-of the input are kept and only the text column changes; an empty table gives no rows.
+validation stay as they are; a value met again gets the same pseudonym; the whole value
+of a secret is permuted, however long, dots included; all columns of the input are kept,
+whatever their names, and only the text column changes; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grainwise.llm.common import free_name
+
 ROUNDS = 8
 #: For tests and examples; a deployment passes a key of its own.
 EXAMPLE_KEY = "example key, not a secret"
@@ -29,7 +32,7 @@ EXAMPLE_KEY = "example key, not a secret"
 PATTERNS = {
     "email": r"(?<![\w.%+\-])[\w.%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)*+(?<=\.[A-Za-z]{2,24})",
     "aws_key": r"(?<![A-Za-z0-9])A(?:KIA|SIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z])(?i:password|passwd|pwd|token|secret|api[_\-]?key)[\x22']?\s{0,4}[=:]\s{0,4}[\x22']?[A-Za-z0-9_\-+/]{6,256}",
+    "secret": r"(?<![A-Za-z])(?i:password|passwd|pwd|token|secret|api[_\-]?key)[\x22']?\s{0,4}[=:]\s{0,4}[\x22']?[A-Za-z0-9_\-+/.=~]{6,}+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)",
     "date": r"(?<![\d\-/.])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/]|[\-.]\d)",
@@ -102,15 +105,23 @@ def _shift(c: Column, k: Column, undo: bool, hexed: Column) -> Column:
 def permute_text(text: Column, key: str, kind: str, undo: bool = False) -> Column:
     """Letters and digits permuted in their places; a lower-case hex string stays one."""
     hexed = text.rlike("^(?=.*[0-9])(?=.*[a-f])[0-9a-f]{8,}$")
+    return _bound(hexed, lambda known: _permuted(text, key, kind, undo, known))
+
+
+def _permuted(text: Column, key: str, kind: str, undo: bool, hexed: Column) -> Column:
     h = F.floor(F.length(text) / 2).cast("int")
 
     def moved(part: Column, other: Column, rnd: Column) -> Column:
-        return F.array_join(
-            F.transform(
-                F.split(part, ""),
-                lambda c, i: F.when(c == "", c).otherwise(_shift(c, _f(key, kind, F.concat_ws(".", rnd, i), other), undo, hexed)),
+        """Every character by its place and the digest of the other half, so the work is linear."""
+        return _bound(
+            F.sha2(other.cast("binary"), 256),
+            lambda digest: F.array_join(
+                F.transform(
+                    F.split(part, ""),
+                    lambda c, i: F.when(c == "", c).otherwise(_shift(c, _f(key, kind, F.concat_ws(".", rnd, i), digest), undo, hexed)),
+                ),
+                "",
             ),
-            "",
         )
 
     def step(s: Column, r: Column) -> Column:
@@ -326,14 +337,15 @@ def pseudonymise(df: DataFrame, text: str = "text", key: str = EXAMPLE_KEY, foun
     likely = body.rlike(SIGN)
     matches = F.when(likely, F.regexp_extract_all(body, F.lit(ANY), F.lit(0)))
     kept = df.columns
-    df = df.withColumn("_old", matches).withColumn("_new", F.transform("_old", lambda m: pseudonym(m, key)))
+    old, new = free_name("_old", kept), free_name("_new", kept)
+    df = df.withColumn(old, matches).withColumn(new, F.transform(old, lambda m: pseudonym(m, key)))
     gaps = F.split(body, ANY, -1)
     rebuilt = F.when(
-        F.size("_old") > 0,
-        F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.col("_new"), i), F.lit("")))), ""),
+        F.size(old) > 0,
+        F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.col(new), i), F.lit("")))), ""),
     ).otherwise(body)
-    changed = F.coalesce(F.size(F.filter(F.arrays_zip("_old", "_new"), lambda p: p["_old"] != p["_new"])), F.lit(0))
-    columns = [rebuilt.alias(text) if c == text else F.col(c) for c in kept]
+    changed = F.coalesce(F.size(F.filter(F.arrays_zip(old, new), lambda p: p[old] != p[new])), F.lit(0))
+    columns = [rebuilt.alias(text) if c == text else F.col(f"`{c}`") for c in kept]
     return df.select(*columns, *([changed.cast("bigint").alias(found)] if found else []))
 
 

@@ -109,3 +109,19 @@ def test_whole_table_holds_none_of_its_values(spark, documents):
 def test_no_python_in_the_plan(spark):
     plan = pii.query(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
+
+
+def test_a_secret_goes_whole(spark):
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    long = ("aB3" * 2000)[:5000]
+    got = swap(spark, [f"token={jwt} end", f"password={long} end", "api_key=ab12~cd.34==", "token=" + "x9" * 40_000])
+    assert got[0].startswith("token=") and got[0].endswith(" end") and len(got[0]) == len(f"token={jwt} end")
+    assert not any(part in got[0] for part in jwt.split("."))
+    assert len(got[1]) == len(f"password={long} end") and not any(long[i : i + 12] in got[1] for i in range(0, 4900, 300))
+    assert got[2] != "api_key=ab12~cd.34==" and got[2].startswith("api_key=") and len(got[3]) == 80_006
+
+
+def test_columns_of_the_same_names_as_helpers(spark):
+    df = spark.createDataFrame([("ip 1.2.3.4", "kept", 7)], "text string, _old string, `_NEW` int")
+    out = pii.pseudonymise(df)
+    assert out.columns == ["text", "_old", "_NEW"] and tuple(out.first())[1:] == ("kept", 7)
