@@ -1,6 +1,7 @@
 """Chat formatting: schema fingerprints choose how a record becomes canonical turns.
 
-A record layout is recognised by the hash of its nested field paths. Each known
+A record layout is recognised by the hash of those of its nested field paths that any
+mapping names; further fields are metadata and do not count. Each known
 fingerprint selects a declarative mapping (which path holds the list of turns, or
 which fields are which turn), so records of many layouts end as the same array of
 ``(role, text)``. Only built-in expressions are used.
@@ -13,19 +14,22 @@ empty table gives no rows. Other columns are never read, so their names cannot c
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from grainwise.llm.common import free_name
+
 TURNS = "array<struct<role:string,text:string>>"
 
 #: Role names of common layouts and the canonical name of each.
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Mapping:
     """How one layout becomes turns: a list field with role and text, or single fields."""
 
@@ -71,23 +75,32 @@ def field_paths(kind: T.DataType, prefix: str = "") -> list[str]:
     return [prefix]
 
 
-def _described(paths: tuple[str, ...]) -> str:
-    """The same paths as ``schema_of_variant`` words them, types left out."""
-    plain = [p for p in paths if "[]" not in p]
-    lists: dict[str, list[str]] = {}
-    for p in paths:
-        if "[]." in p:
-            head, tail = p.split("[].")
-            lists.setdefault(head, []).append(tail)
-    parts = {p: p for p in plain} | {h: f"{h}:ARRAY<OBJECT<{','.join(sorted(t))}>>" for h, t in lists.items()}
-    return "OBJECT<" + ",".join(parts[k] for k in sorted(parts)) + ">"
+def _fingerprint(paths: Column) -> Column:
+    return F.xxhash64(F.array_join(F.array_sort(F.array_distinct(paths)), ","))
+
+
+def _known(paths: Sequence[str]) -> Column:
+    return _fingerprint(F.array(*[F.lit(p) for p in paths]))
+
+
+#: Paths that any mapping names; all others are metadata and do not count.
+NAMED = sorted({p for m in MAPPINGS for p in m.paths})
 
 
 def json_fingerprint(payload: Column) -> Column:
-    """Hash of the nested field paths of each JSON record; null if it is not JSON."""
-    described = F.schema_of_variant(F.try_parse_json(payload))
-    bare = F.regexp_replace(described, r": (?!ARRAY|OBJECT)[A-Z]+(\(\d+,\d+\))?", "")
-    return F.xxhash64(F.regexp_replace(F.regexp_replace(bare, ": ", ":"), ", ", ","))
+    """Hash of the named field paths of each JSON record; null if it is not a JSON object."""
+    lists: dict[str, list[str]] = {}
+    for p in NAMED:
+        if "[]." in p:
+            lists.setdefault(p.split("[].")[0], []).append(p.split("[].")[1])
+    plain = [F.lit(p) for p in NAMED if "[]" not in p]
+    found = [F.array_intersect(F.json_object_keys(payload), F.array(*plain))]
+    for head, tails in lists.items():
+        items = F.from_json(F.get_json_object(payload, f"$.{head}"), "array<map<string,string>>")
+        keys = F.flatten(F.transform(items, lambda item: F.coalesce(F.map_keys(item), F.array())))
+        own = F.array_intersect(keys, F.array(*[F.lit(t) for t in tails]))
+        found.append(F.coalesce(F.transform(own, lambda t: F.concat(F.lit(f"{head}[]."), t)), F.array()))  # noqa: B023
+    return _fingerprint(F.concat(*found))
 
 
 def _column_turns(record: Column, m: Mapping) -> Column:
@@ -137,15 +150,21 @@ def canonical_turns(df: DataFrame, payload: str) -> DataFrame:
     kind = df.schema[payload].dataType
     record = F.col(payload)
     if isinstance(kind, T.StructType):
-        mine = tuple(sorted(field_paths(kind)))
-        found = next((m for m in MAPPINGS if tuple(sorted(m.paths)) == mine), None)
-        if found is None:
-            return df.withColumn("layout", F.lit(None).cast("string")).withColumn("turns", F.lit(None).cast(TURNS))
-        return df.withColumn("layout", F.lit(found.name)).withColumn("turns", _column_turns(record, found).cast(TURNS))
-    prints = json_fingerprint(record)
-    layout = F.coalesce(*[F.when(prints == F.xxhash64(F.lit(_described(m.paths))), m.name) for m in MAPPINGS])
-    turns = F.coalesce(*[F.when(F.col("layout") == m.name, _json_turns(record, m)) for m in MAPPINGS])
-    return df.withColumn("layout", layout).withColumn("turns", turns)
+        mine = [p for p in field_paths(kind) if p in NAMED]
+        prints = _known(mine)
+        fitting = {m: _column_turns(record, m) for m in MAPPINGS if set(m.paths) <= set(mine)}
+    else:
+        prints = json_fingerprint(record)
+        fitting = {m: _json_turns(record, m) for m in MAPPINGS}
+    layout = free_name("_layout", df.columns)
+    chosen = [F.when(prints == _known(m.paths), m.name) for m in fitting]
+    turns = [F.when(F.col(layout) == m.name, made.cast(TURNS)) for m, made in fitting.items()]
+    return (
+        df.withColumn(layout, F.coalesce(*chosen, F.lit(None).cast("string")))
+        .withColumn("turns", F.coalesce(*turns, F.lit(None).cast(TURNS)))
+        .withColumn("layout", F.col(layout))
+        .drop(layout)
+    )
 
 
 # --- template ------------------------------------------------------------------------

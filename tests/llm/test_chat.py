@@ -96,3 +96,23 @@ def test_no_python_in_the_plan(spark):
 def test_escape_leaves_no_control_string(spark, text):
     r = spark.createDataFrame([(text,)], "t string").select(chat.escape(F.col("t")).alias("e"), chat.unescape(chat.escape(F.col("t"))).alias("u")).first()
     assert r.u == text and "###" not in r.e and "</turn>" not in r.e
+
+
+def test_further_fields_do_not_count(spark):
+    """Metadata beside the named fields, nested or in the turns, leaves the layout as it is."""
+    records = [
+        ("messages", {"id": 7, "source": {"a": [1]}, "messages": [{"role": "user", "content": "ask", "id": 1}, {"role": "assistant", "content": "say", "tool_calls": [{"n": 1}]}]}),
+        ("prompt_response", {"prompt": "ask", "response": "say", "metadata": {"prompt": "x"}}),
+        ("instruction", {"instruction": "ask", "output": "say", "score": 0.5}),
+    ]
+    df = spark.createDataFrame([(name, json.dumps(r)) for name, r in records], "name string, payload string")
+    for r in chat.canonical_turns(df, "payload").collect():
+        assert r.layout == r.name and [tuple(t) for t in r.turns] == [("user", "ask"), ("assistant", "say")]
+    typed = spark.sql("SELECT named_struct('prompt', 'ask', 'response', 'say', 'id', 3) AS rec, 1 AS layout, 2 AS turns")
+    got = chat.canonical_turns(typed, "rec").first()
+    assert got.layout == "prompt_response" and [t.text for t in got.turns] == ["ask", "say"]
+
+
+def test_the_registered_query_selects_by_hash(spark):
+    plan = chat.canonical_turns(chat.turn_records(spark.read.parquet(f"{FOLDER}/conversations.parquet")), "record")
+    assert "xxhash64" in plan._jdf.queryExecution().analyzed().toString()
