@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from grainwise.llm.common import Prefix, fold_of, mix64, slices, utf8, words
 
-PER_LANGUAGE, MOST_LANGUAGES = 300, 64
+PER_LANGUAGE = 300
 BUCKETS, LEXICON, RUN = 1 << 17, 4_000, 64
 NONE = "und"
 _U64 = np.uint64
@@ -257,17 +257,12 @@ def train(texts: list[str], languages: list[str], epochs: int = 3, span: tuple[i
     return model
 
 
-def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST_LANGUAGES) -> tuple[list[str], list[str]]:
-    """Texts and languages of about ``per_language`` rows of each of the ``most`` commonest languages."""
+def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], list[str]]:
+    """Texts and languages of about ``per_language`` rows of each language."""
     labelled = docs.filter("text IS NOT NULL AND lang IS NOT NULL").filter(fold_of(F.col("doc_id")) != 1)
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most)
-    shares = {r["lang"]: min(1.0, per_language / r["count"]) for r in counts.collect()}
-    if not shares:
-        return [], []
-    bound = F.lit(None).cast("bigint")
-    for name, share in shares.items():
-        bound = F.when(F.col("lang") == name, F.lit(int(share * (1 << 30)))).otherwise(bound)
-    picked = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < bound)
+    share = F.least(F.lit(1.0), per_language / F.count("*"))
+    bounds = labelled.groupBy("lang").agg((share * (1 << 30)).cast("bigint").alias("bound"))  # one row a language
+    picked = labelled.join(bounds, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("bound"))
     rows = sorted((r["lang"], r["text"]) for r in picked.select("lang", "text").collect())
     return [r[1] for r in rows], [r[0] for r in rows]
 
@@ -299,7 +294,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     """(key, lang_pred, score[, word_langs]); ``word_langs`` has a label for each word that holds a letter."""
     inner = text.removeprefix(f"{key}.") if text.startswith(f"{key}.") else None  # the text is a field of the key
     source = docs.select(F.col(key).alias("key"), *([] if inner else [F.col(text).cast("string").alias("text")]))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by BUCKETS, LEXICON and MOST_LANGUAGES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by BUCKETS, LEXICON and the number of languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -336,7 +331,12 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
-    """Whole rows whose language is known with a score of at least ``least``; a missing ``lang`` is filled in."""
+    """Whole rows whose language is known with a score of at least ``least``; a missing ``lang`` is filled in.
+
+    If no language could be learned, rows with a letter stay and ``lang`` is left as it is.
+    """
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     kept = predict(docs.select(F.struct("*").alias("row")), model, key="row", text="row.text").filter((F.col("lang_pred") != NONE) & (F.col("score") >= least))
     return kept.select(
         *[(F.coalesce("row.lang", "lang_pred") if c == "lang" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainwise.llm.common import Prefix, release, slices, stored, utf8
+from grainwise.llm.common import free_name, Prefix, release, slices, stored, utf8
 
 LENGTH, GRAM, SPAN = 400, 32, 96
 #: Refinements: how many anchors later the identifier is read that refines a bucket.
@@ -320,9 +320,10 @@ def repeated_strings(docs: DataFrame, text: str = "text", characters: bool = Fal
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """Whole rows with repeated strings cut from their text; ``n_chars`` follows."""
-    lost = repeated_strings(docs, characters=True).select(F.col("print").alias("_print"), "kept")
-    joined = docs.withColumn("_print", F.md5(F.coalesce("text", F.lit("")))).join(lost, "_print", "left")
-    text = F.coalesce(F.decode("kept", "UTF-8"), F.col("text"))
+    name, left = free_name("_print", docs.columns), free_name("_kept", docs.columns)
+    lost = repeated_strings(docs, characters=True).select(F.col("print").alias(name), F.col("kept").alias(left))
+    joined = docs.withColumn(name, F.md5(F.coalesce("text", F.lit("")))).join(lost, name, "left")
+    text = F.coalesce(F.decode(left, "UTF-8"), F.col("text"))
     kinds = dict(docs.dtypes)
     return joined.select(
         *[(text if c == "text" else F.length(text).cast(kinds[c]) if c == "n_chars" else F.col(f"`{c}`")).alias(c) for c in docs.columns]

@@ -108,3 +108,16 @@ def test_accepted_keeps_rows_whole(spark, model):
     kept = langid.accepted(df, model)
     assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(1, "the and of to", "en", "s", 13, 7)]
     assert langid.accepted(df.limit(0), model).count() == 0
+
+
+def test_nothing_learned_rejects_no_text(spark):
+    rows = [(1, "clean words", None), (2, "123 !", None), (3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert [r.doc_id for r in langid.accepted(docs, langid.learn(docs)).collect()] == [1]
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"word{k % 7} of{k} lang{k}x lang{k}y", f"l{k:03d}") for k in range(80) for i in range(k * 12, k * 12 + 12)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    texts, langs = langid.training_sample(docs)
+    assert len(set(langs)) == 80 and len(texts) == len(langs)
