@@ -214,12 +214,17 @@ def samples(prints: np.ndarray, weights: np.ndarray, first: np.ndarray, count: i
 
 
 def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
-    """(node, sample codes folded to a byte each, band keys, number of shingles) of every row with words."""
+    """(print, sample codes folded to a byte each, band keys, number of shingles) of every text with words.
+
+    ``docs`` has the text and its ``print``; of equal texts that a task reads together one is sampled.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for batch in slices(batches, "text", 1 << 20):
+            once = np.unique(batch.column("print").to_numpy(zero_copy_only=False), return_index=True)[1]
+            batch = batch.take(pa.array(np.sort(once)))
             row, prints, counts, _ = shingles(batch.column("text"))
             if not len(row):
                 continue
@@ -233,13 +238,13 @@ def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
                         key = mix64(key * _ODD[2] + codes[:, k])
                     bands[:, b] = key
             folded = (codes >> _U64(56)).astype(np.uint8)
-            nodes = batch.column("node").take(pa.array(row[first]))
+            names = batch.column("print").take(pa.array(row[first]))
             yield pa.RecordBatch.from_arrays(
-                [nodes, _bytes(folded), _lists(bands.view(np.int64), pa.int64()), pa.array(np.diff(np.append(first, len(row))))],
-                names=["node", "codes", "bands", "size"],
+                [names, _bytes(folded), _lists(bands.view(np.int64), pa.int64()), pa.array(np.diff(np.append(first, len(row))))],
+                names=["print", "codes", "bands", "size"],
             )
 
-    return docs.select("node", "text").mapInArrow(run, "node bigint, codes binary, bands array<bigint>, size bigint")
+    return docs.select("print", "text").mapInArrow(run, "print string, codes binary, bands array<bigint>, size bigint")
 
 
 def _bytes(grid: np.ndarray) -> pa.Array:
@@ -359,9 +364,14 @@ def group_links(placed: DataFrame, sampled: DataFrame, texts: DataFrame, weights
     return tiles.groupBy("print", "lo", "hi").applyInArrow(run, "a bigint, b bigint, similarity double")
 
 
-def all_roots(sampled: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame:
-    """(node, root) of linked nodes: every candidate pair of the given similarity is inside one class."""
+def all_roots(sampled: DataFrame, source: DataFrame, weights: Weights) -> DataFrame:
+    """(node, root) of linked nodes: every candidate pair of the given similarity is inside one class.
+
+    ``source`` has the texts and their ``print``; only those that share a band are taken along.
+    """
     members = stored(groups(sampled), "members")
+    wanted = members.select("node").distinct().join(sampled.select("node", "print"), "node")
+    texts = stored(source.select("print", "text").join(wanted, "print").select("node", "text").dropDuplicates(["node"]), "texts")
     links = verified(stored(hub_pairs(members, sampled.select("node", "codes")), "pairs"), texts, weights)
     links = stored(links.select("a", "b"), "links")
     roots = stored(components(links), "roots")
@@ -403,9 +413,7 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, least: float
                     [part.column("node").take(at), part.column("hub").take(at), pa.array(j[kept])], names=["a", "b", "similarity"]
                 )
 
-    wanted = pairs.select("node").union(pairs.select("hub")).distinct()
-    some = stored(texts.join(wanted, "node").select("node", "text"), "texts")
-    joined = pairs.join(some, "node").join(some.select(F.col("node").alias("hub"), F.col("text").alias("hub_text")), "hub")
+    joined = pairs.join(texts, "node").join(texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text")), "hub")
     return joined.select("node", "hub", "text", "hub_text").mapInArrow(run, "a bigint, b bigint, similarity double")
 
 
@@ -420,9 +428,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     copies = stored(keyed.filter("id IS NOT NULL").groupBy("print").agg(F.min("id").alias("node")), "copies")
     weights = Weights(*common_shingles(source))
     chosen = copies.groupBy("node").agg(F.min("print").alias("print"))
-    texts = source.withColumnRenamed("id", "node").join(chosen, ["node", "print"], "left_semi").select("node", "text")
-    sampled = stored(signatures(texts, weights).dropDuplicates(["node"]), "samples")
-    roots = all_roots(sampled, texts, weights)
+    sampled = stored(signatures(source, weights).dropDuplicates(["print"]).join(chosen, "print"), "samples")
+    roots = all_roots(sampled, source, weights)
     classes = stored(copies.join(roots, "node", "left").select("print", F.coalesce("root", "node").alias("class_id")), "classes")
     return keyed.join(classes, "print", "left").select(
         F.col("id").alias(key), F.when(F.col("id").isNotNull(), F.col("class_id")).alias("class_id")
