@@ -11,13 +11,15 @@ from grainwise.operators import loads
 from grainwise.sources.io import land_bucketed
 from tests.test_plans import large, plan  # noqa: F401
 
-RULES = {"positive": F.col("v") > 0, "named": F.col("name") != ""}
+
+def rules():
+    return {"positive": F.col("v") > 0, "named": F.col("name") != ""}
 
 
 def test_checked_write(spark, tmp_path):
     rows = [(1, "a"), (0, "a"), (-1, ""), (2, ""), (None, "a"), (3, None)]
     df = spark.createDataFrame(rows, "v int, name string")
-    kept, found = loads.checked_write(df, RULES, str(tmp_path / "out"))
+    kept, found = loads.checked_write(df, rules(), str(tmp_path / "out"))
     assert found == {"rows": 6, "accepted": 1, "positive": 3, "named": 2}
     assert [tuple(r) for r in kept.where("outcome = 'accepted'").collect()] == [(1, "a", "accepted")]
     assert kept.where("outcome = 'positive'").count() == 3
@@ -27,12 +29,12 @@ def test_checked_write(spark, tmp_path):
 def test_too_many_refused_rows_are_kept_for_a_look(spark, tmp_path):
     df = spark.createDataFrame([(0, "a"), (1, "a")], "v int, name string")
     with pytest.raises(ValueError, match="refused"):
-        loads.checked_write(df, RULES, str(tmp_path / "out"), most_refused=0.4)
+        loads.checked_write(df, rules(), str(tmp_path / "out"), most_refused=0.4)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
 def test_checked_write_of_nothing(spark, tmp_path):
-    kept, found = loads.checked_write(spark.createDataFrame([], "v int, name string"), RULES, str(tmp_path / "out"))
+    kept, found = loads.checked_write(spark.createDataFrame([], "v int, name string"), rules(), str(tmp_path / "out"))
     assert kept.collect() == [] and found == {"rows": 0, "accepted": 0, "positive": 0, "named": 0}
 
 
