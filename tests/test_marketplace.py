@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
@@ -362,3 +363,19 @@ def test_label_reports(spark, t, oc, tmp_path):
     # their orders took 5, 21.5 and 20 days; the order of the fourth is unknown
     assert rows(reports["topic_breakdown"]) == [("other", 4, 15.5, 2.5, 100.0)]
     assert {r.label: r.recall for r in reports["topic_recall"].collect()}["other"] == 1.0
+
+
+def test_audit_reads_order_rows_once(t):
+    """Statuses, payments and scores are read for the row per order alone, before the report."""
+    text = audit.audit_metrics(t)._jdf.queryExecution().executedPlan().toString()
+    read = re.findall(r"ReadSchema: struct<([^>]*)>", text)
+    assert not any(c in r for r in read for c in ("review_score", "payment_value", "order_status")), read
+    assert read.count("customer_id:string") <= 2  # persons with several orders; ids of customers
+
+
+def test_reports_leave_customers_and_unused_children_alone(t):
+    for name in ("monthly_orders", "delivery_stats", "score_vs_delivery", "delivery_score_correlation"):
+        text = QUESTIONS[name](t)._jdf.queryExecution().executedPlan().toString()
+        assert "customer_unique_id" not in text and "payment_value" not in text, name
+    text = QUESTIONS["childless_orders"](t)._jdf.queryExecution().executedPlan().toString()
+    assert "product_id" not in text and "review" not in text
