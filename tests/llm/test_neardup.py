@@ -134,7 +134,7 @@ def test_links_stay_linear_in_a_group_below_the_threshold(spark, monkeypatch):
     made = []
     inner = nd.group_links
     monkeypatch.setattr(nd, "group_links", lambda *a: made.append(nd.stored(inner(*a))) or made[-1])
-    for n in (100, 400):
+    for n in (75, 300):
         base = words(77, 120)
         rows = []
         for i in range(n):

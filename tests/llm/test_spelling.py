@@ -72,7 +72,7 @@ def test_whole_table(spark, folder):
     assert sorted(tuple(r) for r in rows) == want and len(want) > 50
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.sets(st.text(st.sampled_from("abé"), min_size=1, max_size=8), min_size=1, max_size=60), st.sampled_from([1, 3, 1000]))
 def test_any_words(spark, words, most):
     """Short alphabets share nearly all chunks; cutting on finds the same pairs."""
@@ -86,7 +86,7 @@ def test_a_common_beginning_does_not_make_all_pairs(spark, monkeypatch):
     made = []
     met = spelling._met
     monkeypatch.setattr(spelling, "_met", lambda df: made.append(df.count()) or met(df))
-    for n in (400, 1600):
+    for n in (300, 1200):
         words = ["beginning" + "".join(chr(97 + i // 26**p % 26) for p in range(3)) + "".join(chr(97 + i * p % 26) for p in (3, 7, 11)) for i in range(n)]
         df = spark.createDataFrame([(w,) for w in words], "word string")
         del made[:]
