@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grainwise.llm.common import Prefix, fold_of, mix64, slices, utf8, words
+from grainwise.llm.common import fold_of, mix64, Prefix, slices, stored, utf8, words
 
-PER_LANGUAGE = 300
+PER_LANGUAGE, BROADCAST_LANGUAGES = 300, 100_000
 BUCKETS, LEXICON, RUN = 1 << 17, 4_000, 64
 NONE = "und"
 _U64 = np.uint64
@@ -261,8 +261,10 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[
     """Texts and languages of about ``per_language`` rows of each language."""
     labelled = docs.filter("text IS NOT NULL AND lang IS NOT NULL").filter(fold_of(F.col("doc_id")) != 1)
     share = F.least(F.lit(1.0), per_language / F.count("*"))
-    bounds = labelled.groupBy("lang").agg((share * (1 << 30)).cast("bigint").alias("bound"))  # one row a language
-    picked = labelled.join(bounds, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("bound"))
+    bounds = stored(labelled.groupBy("lang").agg((share * (1 << 30)).cast("bigint").alias("bound")), "languages")  # one row each
+    # beside few languages the texts need not be shuffled
+    near = F.broadcast(bounds) if bounds.count() <= BROADCAST_LANGUAGES else bounds
+    picked = labelled.join(near, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("bound"))
     rows = sorted((r["lang"], r["text"]) for r in picked.select("lang", "text").collect())
     return [r[1] for r in rows], [r[0] for r in rows]
 
