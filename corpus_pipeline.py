@@ -7,7 +7,8 @@
 5. packing: what is left is tokenised and packed into windows.
 
 Stages 1 to 4 return the columns of ``documents``; ``n_chars`` follows the text, and a
-missing ``lang`` is filled in by stage 1. Null and empty texts are rejected by stage 1.
+missing ``lang`` is filled in by stage 1. Null and empty texts are rejected by stage 1;
+if no label can be learned from, it keeps every text with a letter.
 A text that stage 3 empties stays as an empty document. Repeated rows are one
 document from stage 2 on, rows without a doc_id stay. Columns beyond those of
 ``documents`` pass through stages 1 to 4 unread. An empty table stays empty.
