@@ -11,7 +11,9 @@ of its best unvisited vectors are scored until none of the best is unvisited, or
 
 Every step is a Spark join or grouping over fixed-size records. Groups of plane sides
 are cut into parts of at most ``PART`` vectors, and the vectors that may meet at one
-place are sampled, so no task depends on how many vectors are alike. Equal vectors are
+place are sampled, so no task depends on how many vectors are alike. Groups that a
+Python worker takes at once hold about ``PLACES`` vertices or ``ASKED`` queries, however
+many there are. Equal vectors are
 one vertex; their rows come back in the end, the least ids first, which is all that
 can enter a result.
 
@@ -42,18 +44,35 @@ WIDTH, EXPAND, STEPS = 288, 56, 3
 #: Of the best found in single precision so many more than asked are scored anew in double.
 SPARE = 40
 OFFERS = 12
+#: Vertices and queries of a group that is handed to a Python worker at once.
+PLACES, ASKED = 512, 16
 _U64 = np.uint64
 
 
 # --- records -------------------------------------------------------------------------
 
 
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column without nulls, and the length of each row; nothing is copied."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = column.cast(pa.large_binary())
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64)
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int64)[column.offset : column.offset + len(column) + 1]
+    return (np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)), np.diff(ends)
+
+
 def _flat(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
     """Concatenated numbers of packed rows, and the count of each row."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    rows = column.to_pylist()
-    size = np.dtype(kind).itemsize
-    return np.frombuffer(b"".join(rows), kind), np.array([len(r) // size for r in rows], np.int64)
+    data, lengths = _bytes(column)
+    return data.view(kind), lengths // np.dtype(kind).itemsize
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length, a row each."""
+    data, lengths = _bytes(column)
+    return data.view(np.float32).reshape(len(lengths), -1)
 
 
 def _packed(values: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -62,8 +81,13 @@ def _packed(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.array([data[e - c * size : e] for e, c in zip(ends.tolist(), counts.tolist())], pa.binary())
 
 
-def _bucket(node: Column | str, spark) -> Column:
-    return F.pmod(F.xxhash64(node), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+def _parts(spark, total: int, most: int) -> int:
+    """How many groups of about ``most`` make ``total``; a group for each shuffle partition at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // most))
+
+
+def _bucket(node: Column | str, parts: int) -> Column:
+    return F.pmod(F.xxhash64(node), F.lit(parts))
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -108,7 +132,7 @@ def _first_lists(level_: DataFrame, total: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.stack([np.frombuffer(b, np.float32) for b in batch.column("x").to_pylist()])
+            x = _matrix(batch.column("x"))
             for tree in range(TREES):
                 planes = np.random.default_rng(tree + 1).standard_normal((x.shape[1], depth)).astype(np.float32)
                 side = ((x @ planes) > 0) @ (1 << np.arange(depth, dtype=np.int64)) + (tree << 48)
@@ -116,7 +140,7 @@ def _first_lists(level_: DataFrame, total: int) -> DataFrame:
 
     def near(part: pa.Table) -> pa.Table:
         nodes = part.column("node").to_numpy()
-        x = np.stack([np.frombuffer(b, np.float32) for b in part.column("x").to_pylist()])
+        x = _matrix(part.column("x"))
         s = x @ x.T
         np.fill_diagonal(s, -np.inf)
         k = min(DEGREE, len(nodes) - 1)
@@ -156,9 +180,8 @@ def _merge(part: pa.Table) -> pa.Table:
 LISTS = "node bigint, ids binary, sims binary, fresh binary"
 
 
-def _merged(lists: DataFrame) -> DataFrame:
-    spark = lists.sparkSession
-    return lists.groupBy(_bucket("node", spark).alias("bucket")).applyInArrow(_merge, LISTS)
+def _merged(lists: DataFrame, parts: int) -> DataFrame:
+    return lists.groupBy(_bucket("node", parts).alias("bucket")).applyInArrow(_merge, LISTS)
 
 
 def _meetings(graph: DataFrame, turn: int) -> DataFrame:
@@ -191,8 +214,7 @@ def _introduce(part: pa.Table) -> pa.Table:
     place = place[order]
     nodes, fresh = part.column("node").to_numpy()[order], part.column("fresh").to_numpy()[order].astype(bool)
     floor = part.column("floor").to_numpy()[order]
-    packed = part.column("x").to_pylist()
-    x = np.stack([np.frombuffer(packed[i], np.float32) for i in order])
+    x = _matrix(part.column("x"))[order]
     cuts = np.append(np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])), len(place)).tolist()
     who, what, sims = [], [], []
     for lo, hi in zip(cuts[:-1], cuts[1:]):
@@ -221,19 +243,19 @@ def _introduce(part: pa.Table) -> pa.Table:
 
 def neighbour_graph(level_: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(node, ids, sims, fresh): the nearest known neighbours of every vertex, nearest first."""
-    spark = level_.sparkSession
     total = level_.count()
-    graph = stored(_merged(_first_lists(level_, total)), "graph")
+    parts = _parts(level_.sparkSession, total, PLACES)
+    graph = stored(_merged(_first_lists(level_, total), parts), "graph")
     for turn in range(rounds):
         meet = stored(_meetings(graph, turn), "meetings")
         floors = graph.select("node", "sims").mapInArrow(_floors, "node bigint, floor float")
         known = level_.join(floors, "node")
         met = meet.join(known, "node").select("place", "node", "fresh", "floor", "x")
-        news = stored(met.groupBy(_bucket("place", spark).alias("bucket")).applyInArrow(_introduce, LISTS), "news")
+        news = stored(met.groupBy(_bucket("place", parts).alias("bucket")).applyInArrow(_introduce, LISTS), "news")
         sent = meet.filter("sent = 1").groupBy(F.col("place").alias("node")).agg(F.collect_set("node").alias("sent"))
         aged = graph.join(sent, "node", "left").mapInArrow(_age, LISTS)
         last = graph
-        graph = stored(_merged(aged.union(news)), "graph")
+        graph = stored(_merged(aged.union(news), parts), "graph")
         release(last, meet, news)
     return graph
 
@@ -273,7 +295,7 @@ def _score(width: int):
         query = part.column("query").to_numpy()
         order = np.argsort(query, kind="stable")
         query, cand = query[order], part.column("cand").to_numpy()[order]
-        x = np.frombuffer(b"".join(part.column("x").to_pylist()), np.float32).reshape(len(query), -1) if len(query) else None
+        x = _matrix(part.column("x")) if len(query) else None
         lo, hi = (dict(zip(*np.unique(query, return_index=True))), dict(zip(*np.unique(query, return_counts=True)))) if len(query) else ({}, {})
         names, ids_out, scores_out, seen_out = [], [], [], []
         for q, (ids, scores, seen) in own.items():
@@ -336,8 +358,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def search(leveled: DataFrame, graph: DataFrame, queries: DataFrame, width: int = WIDTH, expand: int = EXPAND, steps: int = STEPS) -> DataFrame:
     """State rows (query, ids, scores, seen) of queries (node) that are vertices, best candidates first."""
-    spark = leveled.sparkSession
     asked = stored(queries.select(F.col("node").alias("query")).join(leveled.select(F.col("node").alias("query"), "x"), "query"), "queries")
+    bucket = _bucket("query", _parts(leveled.sparkSession, asked.count(), ASKED)).alias("bucket")
     nothing = F.unhex(F.lit(""))
     state = asked.select("query", nothing.alias("ids"), nothing.alias("scores"), nothing.alias("seen"))
     frontier = asked.select("query", F.col("query").alias("node"))
@@ -347,8 +369,8 @@ def search(leveled: DataFrame, graph: DataFrame, queries: DataFrame, width: int
         candidates = found.union(frontier.select("query", F.col("node").alias("cand"))).distinct()
         scored = candidates.join(leveled.select(F.col("node").alias("cand"), "x"), "cand").select("query", "cand", "x")
         state = stored(
-            scored.groupBy(_bucket("query", spark).alias("bucket"))
-            .cogroup(state.join(asked, "query").groupBy(_bucket("query", spark).alias("bucket")))
+            scored.groupBy(bucket)
+            .cogroup(state.join(asked, "query").groupBy(bucket))
             .applyInArrow(_score(width), STATE),
             "state",
         )
@@ -376,10 +398,11 @@ def _unpack(most: int):
 
 def symmetric(graph: DataFrame) -> DataFrame:
     """Neighbour lists for walking: own neighbours and a sample of those that know the vertex."""
+    parts = _parts(graph.sparkSession, graph.count(), PLACES)
     edges = graph.mapInArrow(_edges, "node bigint, other bigint, sim float")
     back = edges.select(F.col("other").alias("node"), F.col("node").alias("other"), "sim")
     near = back.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("sim"), "other"))).filter(F.col("rank") <= DEGREE).select("node", "other")
-    return edges.select("node", "other").union(near).distinct().groupBy(_bucket("node", graph.sparkSession).alias("bucket")).applyInArrow(_listed, "node bigint, ids binary")
+    return edges.select("node", "other").union(near).distinct().groupBy(_bucket("node", parts).alias("bucket")).applyInArrow(_listed, "node bigint, ids binary")
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -65,3 +65,33 @@ def test_few_and_none(spark):
     assert {q: [i for i, _ in h] for q, h in got.items()} == {0: [20, 5], 20: [0, 5]}
     assert ann.nearest(df.filter("vec_id = 0"), F.col("vec_id") % 20 == 0).collect() == []
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
+
+
+def test_groups_of_a_worker_do_not_grow_with_the_table(spark, monkeypatch):
+    """Vertices that meet and queries that are scored come in groups of bounded size, however many there are."""
+    monkeypatch.setattr(ann, "PLACES", 16)
+    introduce, score = ann._introduce, ann._score
+
+    def introduced(part):
+        assert len(set(part.column("place").to_pylist())) < 60
+        return introduce(part)
+
+    def scoring(width):
+        scored = score(width)
+
+        def run(part, state):
+            assert state.num_rows < 60
+            return scored(part, state)
+
+        return run
+
+    monkeypatch.setattr(ann, "_introduce", introduced)
+    monkeypatch.setattr(ann, "_score", scoring)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(int(spark.conf.get("spark.sql.shuffle.partitions")) * 120)]
+    distinct = ann.stored(ann.vertices(ann.usable(spark.createDataFrame(rows, "k bigint, v array<double>"), "k", "v")))
+    leveled = ann.stored(ann.level(distinct))
+    graph = ann.neighbour_graph(leveled, rounds=1)
+    assert graph.count() == len(rows)
+    state = ann.search(leveled, graph, distinct.select("node"), steps=1)
+    assert state.count() == len(rows)
