@@ -62,6 +62,37 @@ def people_over_time(state: DataFrame, group: str, bits: int = DISTINCT_BITS) ->
     )
 
 
+def people_rows(df: DataFrame, group: str, person: str) -> DataFrame:
+    """(group, person, n): exact state. States of several loads may be united; equal keys add up."""
+    return df.groupBy(group, F.col(person).alias("person")).agg(F.count("*").alias("n"))
+
+
+def people_exactly(state: DataFrame, group: str) -> DataFrame:
+    """What :func:`people_over_time` gives, without an error however many persons there are.
+
+    One window over the few groups of a person; running sums and the order of groups run
+    over one row a group.
+    """
+    rows = state.groupBy(group, "person").agg(F.sum("n").alias("n"))
+    places = rows.select(group).distinct().withColumn("_place", F.row_number().over(Window.orderBy(group)))
+    placed = rows.join(places.withColumnRenamed(group, "_group"), F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+    mine = Window.partitionBy("person").orderBy("_place")
+    upto = F.sum("n").over(mine.rowsBetween(Window.unboundedPreceding, 0))
+    marked = placed.select(
+        group, "_place", "n", F.col("person").isNotNull().alias("_known"), F.lag("_place").over(mine).alias("_last"), upto.alias("_upto"),
+    )
+    person = lambda condition: F.count_if(F.col("_known") & condition)
+    again = (F.col("_upto") > 1) & (F.col("_upto") - F.col("n") <= 1)
+    counted = marked.groupBy("_place", group).agg(
+        F.sum("n").alias("rows"), person(F.lit(True)).alias("people"), person(F.col("_last").isNull()).alias("_new"),
+        person(again).alias("_again"), person(F.coalesce(F.col("_last") == F.col("_place") - 1, F.lit(False))).alias("also_in_group_before"),
+    )
+    to_date = lambda c: F.sum(c).over(Window.orderBy("_place").rowsBetween(Window.unboundedPreceding, 0))
+    return counted.select(
+        group, "rows", "people", to_date("_new").alias("people_to_date"), to_date("_again").alias("repeat_to_date"), "also_in_group_before"
+    )
+
+
 # --- quantiles --------------------------------------------------------------------------
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import duckdb
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from grainwise.bindings.catalog import QUERIES
+from grainwise.bindings.oracle import ORACLE
 from grainwise.operators import sketches
+from tests.compare import difference, oracle_connection
 
 
 def test_distinct_is_exact_below_the_bound_and_near_beyond(spark):
@@ -60,3 +64,22 @@ def test_sketches_of_nothing(spark):
     empty = spark.createDataFrame([], "m string, person bigint, v bigint")
     assert sketches.people_over_time(sketches.people_by_group(empty, "m", "person"), "m").collect() == []
     assert sketches.merged_quantiles(sketches.quantile_sketches(empty, F.col("v"), ["m"]), {"p": 0.5}, ["m"]).collect() == []
+
+
+def test_exact_people(spark):
+    rows = [("a", 1), ("a", 1), ("a", 2), ("b", 2), ("b", 3), ("c", 4), ("d", 1), ("d", 4), ("d", None)]
+    parts = [spark.createDataFrame(some, "m string, person bigint") for some in (rows[:4], rows[4:])]
+    state = sketches.people_rows(parts[0], "m", "person").union(sketches.people_rows(parts[1], "m", "person"))
+    assert [tuple(r) for r in sketches.people_exactly(state, "m").orderBy("m").collect()] == people(spark, rows)
+    assert sketches.people_exactly(state.where("false"), "m").collect() == []
+
+
+def test_people_by_month_beyond_the_sketch(spark, tmp_path):
+    """More persons a month than a sketch holds exactly: still what the SQL gives."""
+    duckdb.sql(
+        "SELECT range AS o_orderkey, (range % 130000) * 7919 AS o_custkey, 'F' AS o_orderstatus, 1.0::DOUBLE AS o_totalprice, "
+        "TIMESTAMP '2020-01-05' + INTERVAL 1 DAY * (range // 100000 * 40) AS o_orderdate, '1-URGENT' AS o_orderpriority FROM range(300000)"
+    ).write_parquet(str(tmp_path / "orders.parquet"))
+    con = oracle_connection(str(tmp_path))
+    got = QUERIES["people_by_month_merged"](spark, str(tmp_path))
+    assert difference(got, con, ORACLE["people_by_month_merged"]) is None
