@@ -263,7 +263,11 @@ def field_profile(tables: Mapping[str, DataFrame], example_chars: int = 60) -> D
 def data_dictionary(
     tables: Mapping[str, DataFrame], descriptions: Mapping[tuple[str, str], str], derived: Sequence[str] = ()
 ) -> DataFrame:
-    """Table, field, type, description and origin, with what :func:`field_profile` measures."""
+    """Table, field, type, description and origin, with what :func:`field_profile` measures.
+
+    Fields with more distinct values than a sketch holds are counted exactly by further scans of
+    those fields alone; ``distinct_exact`` still says whether the mergeable sketch would do.
+    """
     spark = next(iter(tables.values())).sparkSession
     rows = [
         (name, f.name, f.dataType.simpleString(), descriptions.get((name, f.name), "—"), "yes" if name in derived else "no")
@@ -272,4 +276,28 @@ def data_dictionary(
     ]
     columns = ["tbl", "field", "dtype", "description", "derived"]
     fields = inline_table(spark, dict(zip(columns, (list(c) for c in zip(*rows)))))
-    return fields.join(field_profile(tables), ["tbl", "field"], "left")
+    profile = field_profile(tables)
+    found = profile.collect()  # one row a field
+    wide = {name: [r.field for r in found if r.tbl == name and not r.distinct_exact] for name in tables}
+    counted = [distinct_counts(tables[n], some).select(F.lit(n).alias("tbl"), "*") for n, some in wide.items() if some]
+    profile = spark.createDataFrame(found, profile.schema)
+    if counted:
+        exact = F.coalesce("counted", "n_distinct")
+        profile = profile.join(union_all(counted), ["tbl", "field"], "left").withColumn("n_distinct", exact).drop("counted")
+    return fields.join(profile, ["tbl", "field"], "left")
+
+
+def distinct_counts(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """(field, counted): exact numbers of distinct non-null values.
+
+    Fields of one type are stacked to narrow rows, so they take one scan of their columns and
+    one shuffle of their distinct values together.
+    """
+    kinds: dict[str, list[str]] = {}
+    for f in fields:
+        kinds.setdefault(df.schema[f].dataType.simpleString(), []).append(f)
+    stacked = [
+        df.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").alias("value")) for f in alike])))
+        for alike in kinds.values()
+    ]
+    return union_all([s.where("value IS NOT NULL").distinct().groupBy("field").agg(F.count("*").alias("counted")) for s in stacked])

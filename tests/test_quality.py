@@ -52,6 +52,20 @@ def test_data_dictionary_marks_derived_tables(spark):
     assert rows(got)[3] == ("raw", "b", "string", "—", "no", 1, 100.0, 0, True, None)
 
 
+def test_data_dictionary_counts_beyond_the_sketch(spark):
+    """Types, nulls and odd names included; the sketches alone are off here."""
+    df = spark.sql(
+        "SELECT id % 90001 AS a, if(id % 2 = 0, id / 8, null) AS b, timestamp_ntz'2020-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) AS `d.e`, "
+        "array(cast(id AS float)) AS f, id % 3 AS g FROM range(180000)"
+    )
+    got = quality.data_dictionary({"t": df, "few": df.limit(5)}, {}, [])
+    counts = {(r.tbl, r.field): (r.n_distinct, r.distinct_exact) for r in got.collect()}
+    assert counts == {
+        ("t", "a"): (90_001, False), ("t", "b"): (90_000, False), ("t", "d.e"): (180_000, False), ("t", "f"): (180_000, False),
+        ("t", "g"): (3, True), ("few", "a"): (5, True), ("few", "b"): (3, True), ("few", "d.e"): (5, True), ("few", "f"): (5, True), ("few", "g"): (3, True),
+    }
+
+
 def test_field_profile_reads_a_table_once(spark, tmp_path):
     df = spark.sql("SELECT id % 7 AS a, array(id) AS b, if(id % 2 = 0, id / 3, null) AS c, timestamp_ntz'2020-01-01 00:00:00' AS `d.e` FROM range(100)")
     df.write.parquet(str(tmp_path / "t"))
