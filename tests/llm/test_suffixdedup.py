@@ -73,6 +73,22 @@ def test_kept_text_is_whole_characters(spark):
     assert len(got[1][0]) == got[1][1] < 20
 
 
+@pytest.mark.parametrize("length", [127, 256, 700])
+def test_other_lengths(spark, documents, length):
+    """Passages shorter than the query's strings are found where a shorter length is asked for."""
+    rnd = random.Random(length)
+    passage = " ".join("".join(rnd.choices("abcdefgh", k=5)) for _ in range(52))  # 52 words, 311 bytes
+    texts = [*documents.values(), "first " + passage + " after", "other " + passage + " end", "short"]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id bigint, text string, n_chars bigint")
+    found = {r.print: (sum(r.ends) - sum(r.starts), len(r.starts), hashlib.sha256(r.kept).hexdigest()) for r in sd.repeated_strings(docs, length=length).collect()}
+    for text, (_, gone, runs, kept) in zip(texts, brute(texts, length)):
+        assert found.get(hashlib.md5((text or "").encode()).hexdigest(), (0, 0, kept)) == (gone, runs, kept)
+    left = {r.doc_id: r.text for r in sd.without_repeats(docs, length).collect()}
+    assert (passage in left[len(documents)]) == (length > 311)
+    with pytest.raises(ValueError):
+        sd.without_repeats(docs, sd.LEAST - 1)
+
+
 def test_empty_table(spark, tmp_path):
     assert through_query(spark, tmp_path, []) == {}
 
