@@ -45,7 +45,8 @@ CAPACITY, END_ID, BLOCK = 2048, 1, 1 << 20
 #: separators on which str methods and the tokenizer's pattern disagree.
 _ODD_SPACE = "\x1c\x1d\x1e\x1f\x85\xa0                　"
 _RUNS = ("   ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ")
-_CACHE_MOST = 1_500_000
+#: Words whose ids a worker keeps, and characters in them for each; beyond either its cache starts anew.
+WORDS, WORD_CHARS = 1_500_000, 32
 
 
 class WordTokens:
@@ -56,15 +57,20 @@ class WordTokens:
     longer runs of white space, or with white space beyond ASCII, are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
         self.encoder.encode_special_tokens = True  # such strings in a text are ordinary text
+        self.most = most
+        self._forget()
+
+    def _forget(self) -> None:
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
+        self.chars = 0
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.encoder.encode_batch_fast(parts, add_special_tokens=False)]
@@ -82,11 +88,13 @@ class WordTokens:
         self._learn_lines(self.first, {p for parts in lines.values() for p in parts[1:]}, "")
         self._learn_lines(self.later, later, " ")
         feed = self.tails.setdefault("\n", self._encode(["\n"])[0]) if lines else b""
+        self.chars += sum(map(len, lines))
         for word, parts in lines.items():
             self.later[word] = feed.join([self.later[parts[0]], *map(self.first.__getitem__, parts[1:])])
 
     def _learn_lines(self, cache: dict[str, bytes], missing: set[str], lead: str) -> None:
         missing = missing - cache.keys()
+        self.chars += sum(map(len, missing))
         marked = [w for w in missing if not w[-1:].isalnum()]
         missing.difference_update(marked)
         bases = [w.rstrip(string.punctuation) for w in marked]
@@ -110,8 +118,8 @@ class WordTokens:
                 cache[word] = cache[base] + tails[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.later) > _CACHE_MOST:
-            self.later, self.first, self.tails = {}, {}, {}
+        if len(self.later) + len(self.first) > self.most or self.chars > WORD_CHARS * self.most:
+            self._forget()
         split: list[list[str] | None] = []
         whole: list[int] = []
         for i, text in enumerate(texts):
@@ -145,10 +153,11 @@ class WordTokens:
 _ENCODERS: dict[str, WordTokens] = CACHES.setdefault("packing", {})
 
 
-def encoder(path: str) -> WordTokens:
+def encoder(path: str, most: int = WORDS) -> WordTokens:
     """One for each Python worker, as its cache serves the worker's later tasks too."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordTokens(path)
+    _ENCODERS[path].most = most
     return _ENCODERS[path]
 
 
@@ -248,9 +257,12 @@ def windows_of(lengths: list[int], capacity: int, cut: bool = True) -> list[list
 
 def pack(
     df: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
-    end_id: int = END_ID, block: int = BLOCK, cut: bool = True,
+    end_id: int = END_ID, block: int = BLOCK, cut: bool = True, words: int = WORDS,
 ) -> DataFrame:
-    """Pieces (key, start, length, ids, doc_tokens, sequence_id, offset); ``ids`` are little-endian uint32."""
+    """Pieces (key, start, length, ids, doc_tokens, sequence_id, offset); ``ids`` are little-endian uint32.
+
+    A worker keeps the ids of about ``words`` words: fewer take less memory and more time.
+    """
     source = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = source.schema["key"].dataType.simpleString()
     end = np.asarray([end_id], dtype="<u4").tobytes()
@@ -289,7 +301,7 @@ def pack(
         for batch in slices(batches, "text", 4 << 20, owner="packing"):
             key_type = batch.column("key").type
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            for k, x in zip(batch.column("key").to_pylist(), encoder(path).encode(texts)):
+            for k, x in zip(batch.column("key").to_pylist(), encoder(path, words).encode(texts)):
                 keys.append(k)
                 ids.append(x + end)
                 held += len(ids[-1]) // 4
@@ -310,8 +322,8 @@ def query(spark, folder: str) -> DataFrame:
     return pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-def pieces(docs: DataFrame, path: str) -> DataFrame:
-    packed = pack(docs, path)
+def pieces(docs: DataFrame, path: str, words: int = WORDS) -> DataFrame:
+    packed = pack(docs, path, words=words)
     return packed.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )

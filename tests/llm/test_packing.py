@@ -110,3 +110,14 @@ def test_window_count_rises_without_cutting():
 @pytest.mark.parametrize("k", [1, 3])
 def test_more_windows_than_items(k):
     assert sorted(i for w in packing.difference(np.array([5]), k) for i in w) == [0]
+
+
+def test_cache_is_bounded():
+    """Words of either kind and long ones leave the cache; what a worker holds does not follow the input."""
+    words = packing.WordTokens(PATH, 250_000)
+    for k in range(5):
+        words.encode([" ".join(f"w{k}x{i}" for i in range(100_000)), *(f"line{k}x{i}" for i in range(100_000))])
+        assert len(words.later) + len(words.first) <= 450_000
+    for k in range(4):
+        words.encode([f"{k}x{i}".ljust(3000, "y") for i in range(1500)])
+    assert sum(map(len, words.first)) + sum(map(len, words.later)) < 13_000_000

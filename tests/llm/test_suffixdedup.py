@@ -106,3 +106,20 @@ def test_packed_runs_come_back():
     rng = np.random.default_rng(3)
     for values in (np.unique(rng.integers(0, 2**63, 50_000).astype(np.uint64)), np.array([7], np.uint64), np.array([0, 1 << 60], np.uint64)):
         assert (sd._unpack(sd._pack(values)) == values).all()
+
+
+def test_groups_of_a_worker_are_small(spark, monkeypatch):
+    """A worker is handed a fourth of a partition's texts at a time, and strings in several groups still meet."""
+    rnd = random.Random(8)
+    shared = "".join(rnd.choices("abcdefgh ", k=500))
+    texts = ["".join(rnd.choices("abcdefgh ", k=300)) + shared for _ in range(64)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    seen = []
+    monkeypatch.setattr(sd, "stored", lambda df, kind="stage", f=sd.stored: (seen.append(df.select("chunk").distinct().count()) if kind == "texts" else None, f(df, kind))[1])
+    try:
+        got = {hashlib.sha256(r.kept).hexdigest() for r in sd.repeated_strings(spark.createDataFrame([(t,) for t in texts], "text string"), groups=4).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == {left for *_, left in brute(texts)}
+    assert seen == [8]
