@@ -46,7 +46,7 @@ CAPACITY, END_ID, BLOCK = 2048, 1, 1 << 20
 _ODD_SPACE = "\x1c\x1d\x1e\x1f\x85\xa0                　"
 _RUNS = ("   ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ")
 #: Words whose ids a worker keeps, and characters in them for each; beyond either its cache starts anew.
-WORDS, WORD_CHARS = 1_500_000, 32
+WORDS, WORD_CHARS = 2_000_000, 32
 
 
 class WordTokens:
