@@ -24,12 +24,13 @@ from __future__ import annotations
 import gc
 import heapq
 import os
+import re
 import string
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,20 +42,46 @@ CAPACITY, END_ID, BLOCK = 2048, 1, 1 << 20
 
 # --- tokens --------------------------------------------------------------------------
 
-#: White space of Unicode beyond the six ASCII ones, and the ASCII
-#: separators on which str methods and the tokenizer's pattern disagree.
-_ODD_SPACE = "\x1c\x1d\x1e\x1f\x85\xa0                　"
-_RUNS = ("   ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ")
+#: Texts that are encoded whole: longer runs of white space, ends that look ahead to nothing, white space
+#: beyond ASCII, and the ASCII separators, of which one marks starts of lines below.
+_WHOLE = (
+    r"   |  \z|  [\t\n\r\x0b\x0c]|[\t\n\r\x0b\x0c] |^[\t\n\r\x0b\x0c]"
+    r"|[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
+#: Texts that keep their line feeds inside words, as other white space stands beside one.
+_FEEDS = r"[\t\n\r\x0b\x0c ]\n|\n[\t\r\x0b\x0c]"
+_LINE = "\x1c"
+#: Letters and digits that every version of Unicode in use has as such; punctuation after them is apart.
+_ENDS = r"[0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}\x{400}-\x{481}]\z"
+_INNER = re.compile(r"[\t\n\r\x0b\x0c]|\A\Z")
 #: Words whose ids a worker keeps, and characters in them for each; beyond either its cache starts anew.
 WORDS, WORD_CHARS = 2_000_000, 32
+#: Bytes of text that a worker takes up at a time.
+RUN = 4 << 20
+#: Words that are encoded as one text.
+TOGETHER = 64
+
+
+def _runs(ids: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Runs of ``ids``, one after the other."""
+    ends = np.cumsum(count)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(len(ids), total) < 1 << 31 else np.int64
+    at = np.repeat((start - ends + count).astype(kind), count)
+    at += np.arange(total, dtype=kind)
+    return ids[at]
 
 
 class WordTokens:
     """Ids of whole texts by a byte-level tokenizer, through a cache of its words.
 
     The tokenizer's pattern never joins a space with what precedes it, so a text may
-    be cut before each single space and the ids of the parts joined. Texts with
-    longer runs of white space, or with white space beyond ASCII, are encoded whole.
+    be cut before each space that no other white space precedes or ends the text, and
+    the ids of the parts joined; a line feed between other characters is a token of its
+    own, so a line's first word is one too, and so is punctuation that closes a word. Every
+    text starts as a line does. A slice's words are numbered by Arrow, and Python meets each
+    distinct one once. New words are encoded many at a time: each starts where a token
+    starts with the space or line feed that leads it. Other texts are encoded whole.
     """
 
     def __init__(self, path: str, most: int = WORDS):
@@ -64,91 +91,117 @@ class WordTokens:
         self.encoder = Tokenizer.from_file(path)
         self.encoder.encode_special_tokens = True  # such strings in a text are ordinary text
         self.most = most
+        vocabulary = self.encoder.get_vocab()
+        self.leads = {" ": np.zeros(max(vocabulary.values()) + 1, bool), "\n": np.zeros(max(vocabulary.values()) + 1, bool)}
+        self.leads[" "][[i for t, i in vocabulary.items() if t[0] == "Ġ"]] = True
+        self.leads["\n"][[i for t, i in vocabulary.items() if t[0] == "Ċ"]] = True
         self._forget()
 
     def _forget(self) -> None:
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        self.first: dict[str, int] = {}
+        self.later: dict[str, int] = {}
+        self.tails: dict[str, int] = {}
         self.chars = 0
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.encoder.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def _learn(self, missing: set[str]) -> None:
-        """Ids of new words that follow a space, and of the line starts inside them.
-
-        A lone line feed is a token of its own between other characters, and so is
-        closing punctuation after a letter or digit.
-        """
-        lines = {w: w.split("\n") for w in missing if "\n" in w}
-        lines = {w: parts for w, parts in lines.items() if all(parts)}
-        missing.difference_update(lines)
-        later = {parts[0] for parts in lines.values()} - self.later.keys() | missing
-        self._learn_lines(self.first, {p for parts in lines.values() for p in parts[1:]}, "")
-        self._learn_lines(self.later, later, " ")
-        feed = self.tails.setdefault("\n", self._encode(["\n"])[0]) if lines else b""
-        self.chars += sum(map(len, lines))
-        for word, parts in lines.items():
-            self.later[word] = feed.join([self.later[parts[0]], *map(self.first.__getitem__, parts[1:])])
-
-    def _learn_lines(self, cache: dict[str, bytes], missing: set[str], lead: str) -> None:
-        missing = missing - cache.keys()
-        self.chars += sum(map(len, missing))
-        marked = [w for w in missing if not w[-1:].isalnum()]
-        missing.difference_update(marked)
-        bases = [w.rstrip(string.punctuation) for w in marked]
-        for i, (word, base) in enumerate(zip(marked, bases)):
-            if base and base[-1].isalnum():
-                if base not in cache:
-                    missing.add(base)
+        self.ids = np.zeros(1 << 16, "<u4")
+        self.bounds = np.zeros(1 << 14, np.int64)  # of the words' ids, in the order in which they were learned
+
+    def _encode(self, parts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.encoder.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _keep(self, cache: dict[str, int], words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        """Put new words and their ids, of which ``ends`` are the ends, behind those that are there."""
+        done = len(self.first) + len(self.later) + len(self.tails)
+        used = int(self.bounds[done])
+        if used + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, max(2 * len(self.ids), used + len(ids)))
+        if done + len(words) >= len(self.bounds):
+            self.bounds = np.resize(self.bounds, max(2 * len(self.bounds), done + len(words) + 1))
+        self.ids[used : used + len(ids)] = ids
+        self.bounds[done + 1 : done + 1 + len(words)] = used + ends
+        cache.update(zip(words, range(done, done + len(words))))
+        self.chars += sum(map(len, words))
+
+    def _learn(self, cache: dict[str, int], lead: str, missing: list[str]) -> None:
+        alone = [w for w in missing if not lead or _INNER.search(w)]
+        plain = [] if not lead else [w for w in missing if not _INNER.search(w)] if alone else missing
+        for start in range(0, len(plain), 128 * TOGETHER):
+            part = plain[start : start + 128 * TOGETHER]
+            ids = np.concatenate(self._encode([lead + lead.join(part[k : k + TOGETHER]) for k in range(0, len(part), TOGETHER)]))
+            starts = np.flatnonzero(self.leads[lead][ids])
+            if len(starts) == len(part):
+                self._keep(cache, part, ids, np.append(starts[1:], len(ids)))
             else:
-                bases[i] = word
-                missing.add(word)
-        new = list(missing)
-        for start in range(0, len(new), 8192):
-            part = new[start : start + 8192]
-            cache.update(zip(part, self._encode([lead + w for w in part])))
-        tails = self.tails
-        for word, base in zip(marked, bases):
-            if base is not word:
-                tail = word[len(base):]
-                if tail not in tails:
-                    tails[tail] = self._encode([tail])[0]
-                cache[word] = cache[base] + tails[tail]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.later) + len(self.first) > self.most or self.chars > WORD_CHARS * self.most:
+                alone += part
+        for start in range(0, len(alone), 8192):
+            part = alone[start : start + 8192]
+            found = self._encode([lead + w for w in part])
+            self._keep(cache, part, np.concatenate(found), np.cumsum([len(x) for x in found]))
+
+    def _numbers(self, cache: dict[str, int], lead: str, words: list[str]) -> np.ndarray:
+        """Where the ids of distinct words are kept."""
+        found = list(map(cache.get, words))
+        missing = [w for w, at in zip(words, found) if at is None]
+        if missing:
+            self._learn(cache, lead, missing)
+            new = iter(missing)
+            found = [cache[next(new)] if at is None else at for at in found]
+        return np.array(found, np.int64)
+
+    def _units(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words, one after the other, and the start and number of each word's ids."""
+        base = pc.utf8_rtrim(words, characters=string.punctuation)
+        base = pc.if_else(pc.match_substring_regex(base, _ENDS), base, words)
+        size = pc.binary_length(words).to_numpy() - pc.binary_length(base).to_numpy()
+        cut = size > 0
+        ends = [w[-n:] for w, n in zip(words.filter(pa.array(cut)).to_numpy(zero_copy_only=False), size[cut].tolist())]
+        coded = base.dictionary_encode()
+        at_line = pc.starts_with(coded.dictionary, _LINE)
+        lines = at_line.to_numpy(zero_copy_only=False)
+        place = np.empty(len(lines), np.int64)
+        place[lines] = self._numbers(self.first, "\n", [w[1:] for w in coded.dictionary.filter(at_line).to_numpy(zero_copy_only=False)])
+        place[~lines] = self._numbers(self.later, " ", coded.dictionary.filter(pc.invert(at_line)).to_numpy(zero_copy_only=False).tolist())
+        tails = dict.fromkeys(ends)
+        tails = dict(zip(tails, self._numbers(self.tails, "", list(tails)).tolist()))
+        start, count = np.zeros((len(words), 2), np.int64), np.zeros((len(words), 2), np.int64)
+        for side, own, at in ((0, slice(None), place[coded.indices.to_numpy()]), (1, cut, np.array([tails[e] for e in ends], np.int64))):
+            start[own, side] = self.bounds[at]
+            count[own, side] = self.bounds[at + 1] - self.bounds[at]
+        total = count.sum(1)
+        return _runs(self.ids, start.ravel(), count.ravel()), np.cumsum(total) - total, total
+
+    def closed(self, texts: pa.Array, end_id: int) -> list[bytes]:
+        """Ids of every text and ``end_id`` after them."""
+        if not len(texts):
+            return []
+        if len(self.later) + len(self.first) + len(self.tails) > self.most or self.chars > WORD_CHARS * self.most:
             self._forget()
-        split: list[list[str] | None] = []
-        whole: list[int] = []
-        for i, text in enumerate(texts):
-            if any(s in text for s in _RUNS) or any(s in text for s in _ODD_SPACE):
-                split.append(None)
-                whole.append(i)
-            else:
-                split.append(text.split(" "))
-        later: set[str] = set()
-        for parts in split:
-            if parts:
-                later.update(parts[1:])
-        later.difference_update(self.later.keys())
-        self._learn(later)
-        self._learn_lines(self.first, {parts[0] for parts in split if parts and parts[0]}, "")
-        get = self.later.__getitem__
-        out: list[bytes] = []
-        for parts in split:
-            if parts is None:
-                out.append(b"")
-                continue
-            ids = list(map(get, parts[1:]))
-            if parts[0]:
-                ids.insert(0, self.first[parts[0]])
-            out.append(b"".join(ids))
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
-            out[i] = ids
+        texts = texts.cast(pa.large_string()).fill_null("")
+        whole = pc.match_substring_regex(texts, _WHOLE)
+        body = pc.if_else(whole, "", texts)
+        body = pc.if_else(pc.match_substring_regex(body, _FEEDS), body, pc.replace_substring(body, "\n", " " + _LINE))
+        line, none = pa.scalar(_LINE, pa.large_string()), pa.scalar("", pa.large_string())
+        split = pc.split_pattern(pc.binary_join_element_wise(line, body, none), " ")
+        last = split.offsets.to_numpy()[1:] - split.offsets[0].as_py() - 1
+        coded = split.flatten().dictionary_encode()
+        del body, split
+        known, start, count = self._units(coded.dictionary)
+        word = coded.indices.to_numpy()
+        count = count[word]
+        stops = np.cumsum(count)[last]
+        # every text begins with a line feed; its place goes to the end id of the text before
+        ids = np.append(_runs(known, start[word], count)[1:], np.uint32(end_id))
+        ids[stops - 1] = end_id
+        data = ids.astype("<u4", copy=False).tobytes()
+        stops = (4 * stops).tolist()
+        out = [data[a:b] for a, b in zip([0, *stops], stops)]
+        places = np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist()
+        for i, own in zip(places, self._encode(texts.filter(whole).to_pylist())):
+            out[i] = own.tobytes() + np.array([end_id], "<u4").tobytes()
         return out
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [x[:-4] for x in self.closed(pa.array(texts, pa.large_string()), 0)]
+
 
 _ENCODERS: dict[str, WordTokens] = CACHES.setdefault("packing", {})
 
@@ -258,14 +311,15 @@ def windows_of(lengths: list[int], capacity: int, cut: bool = True) -> list[list
 def pack(
     df: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
     end_id: int = END_ID, block: int = BLOCK, cut: bool = True, words: int = WORDS,
+    run_bytes: int = RUN,
 ) -> DataFrame:
     """Pieces (key, start, length, ids, doc_tokens, sequence_id, offset); ``ids`` are little-endian uint32.
 
-    A worker keeps the ids of about ``words`` words: fewer take less memory and more time.
+    A worker keeps the ids of about ``words`` words and takes up ``run_bytes`` of text at a time:
+    fewer take less memory and more time.
     """
     source = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = source.schema["key"].dataType.simpleString()
-    end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # no cycles are made here, and the collector would walk the cache again and again
@@ -298,12 +352,11 @@ def pack(
                 names=["key", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
             )
 
-        for batch in slices(batches, "text", 4 << 20, owner="packing"):
+        for batch in slices(batches, "text", run_bytes, owner="packing"):
             key_type = batch.column("key").type
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for k, x in zip(batch.column("key").to_pylist(), encoder(path, words).encode(texts)):
+            for k, x in zip(batch.column("key").to_pylist(), encoder(path, words).closed(batch.column("text"), end_id)):
                 keys.append(k)
-                ids.append(x + end)
+                ids.append(x)
                 held += len(ids[-1]) // 4
                 if held >= block:
                     yield flush()
@@ -322,8 +375,8 @@ def query(spark, folder: str) -> DataFrame:
     return pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-def pieces(docs: DataFrame, path: str, words: int = WORDS) -> DataFrame:
-    packed = pack(docs, path, words=words)
+def pieces(docs: DataFrame, path: str, words: int = WORDS, run_bytes: int = RUN) -> DataFrame:
+    packed = pack(docs, path, words=words, run_bytes=run_bytes)
     return packed.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )

@@ -16,6 +16,7 @@ from grainwise.llm import packing
 from tests.llm.conftest import FOLDER
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
+TOKENS = packing.WordTokens(PATH)
 TEXTS = [
     "", " ", "a  b", "a   b", "x \n \n y", "\n\n lead", "tail  ", "it's 'll don't's.", "<|endoftext|> a", "word.\nNext line,\nthird", "é ü  wide",
     "\x1cctrl", "!!! ??", "😀 日本", "a\tb\r\nc", "x" * 3000, "many words " * 9000,
@@ -121,3 +122,22 @@ def test_cache_is_bounded():
     for k in range(4):
         words.encode([f"{k}x{i}".ljust(3000, "y") for i in range(1500)])
     assert sum(map(len, words.first)) + sum(map(len, words.later)) < 13_000_000
+
+
+def test_new_words_are_encoded_together():
+    """Words and closing punctuation are met once each, and the tokenizer gets new words many at a time."""
+    tokens, seen = packing.WordTokens(PATH), []
+    encode = tokens._encode
+    tokens._encode = lambda parts: (seen.extend(parts), encode(parts))[1]
+    words = [f"w{chr(97 + k % 26)}{k}" for k in range(6400)]
+    texts = [" ".join(words), " ".join(w + "." for w in words), "\n".join(w + ",###" for w in words)]
+    whole = [np.asarray(e.ids, "<u4").tobytes() for e in tokens.encoder.encode_batch(texts, add_special_tokens=False)]
+    assert tokens.encode(texts) == whole
+    assert len(seen) < 300
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*" \n\t\r.'#aZ7", "  ", "\n\n", "ab", "é.", "日", "²", "ǅ!", "'s", "\x1c", "\x85", " ", "\x00", "😀", "é."]), max_size=12).map("".join), max_size=6))
+def test_any_text_gives_the_ids_of_the_whole(texts):
+    whole = [np.asarray(e.ids, "<u4").tobytes() for e in TOKENS.encoder.encode_batch_fast(texts, add_special_tokens=False)]
+    assert TOKENS.encode(texts) == whole
