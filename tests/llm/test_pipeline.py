@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -90,3 +91,28 @@ def test_empty_table_stays_empty(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = spark.createDataFrame(stage(spark, docs, FOLDER).collect(), docs.schema)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).collect() == []
+
+
+def test_workers_get_few_rows_at_a_time(spark):
+    """A stage's texts come in batches of at most ROWS; the session has its own setting again after a run."""
+    def count(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    before = spark.conf.get(corpus_pipeline.ROWS_SETTING)
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            if name != "private_data":  # which has no Python
+                spark.conf.set(corpus_pipeline.ROWS_SETTING, before)
+                stage(spark, docs, FOLDER)
+                sizes = [r.n for r in spark.range(0, 5000, 1, 1).mapInArrow(count, "n bigint").collect()]
+                assert sum(sizes) == 5000 and max(sizes) <= 1000, name
+        spark.conf.set(corpus_pipeline.ROWS_SETTING, "70")
+        corpus_pipeline.small_batches(spark)
+        assert spark.conf.get(corpus_pipeline.ROWS_SETTING) == "70"
+        spark.conf.set(corpus_pipeline.ROWS_SETTING, before)
+        corpus_pipeline.run(spark, FOLDER)
+        assert spark.conf.get(corpus_pipeline.ROWS_SETTING) == before
+    finally:
+        spark.conf.set(corpus_pipeline.ROWS_SETTING, before)
