@@ -147,3 +147,77 @@ def test_host_of_a_column(spark):
 
 def test_hosts():
     assert [ht.host_of(u) for u in ("http://A.b/c", "https://u@h.x:80/", "odd", None, "//x/y")] == ["a.b", "h.x", "", "", ""]
+
+
+def brute_repeated(pages):
+    """page_id -> how many places of its blocks (words, and an end each) its host repeats, by plain sets."""
+    read = [(i, ht.host_of(u), ht.blocks(h or "")) for i, u, h in pages]
+    found = {}
+
+    def keys(t, state):
+        words = [*t.split(), "\n"]
+        if len(words) < 12:
+            return [(0, (None, *words))] if state != ht.CLEAR else []
+        return [(k, tuple(words[k : k + 12])) for k in range(len(words) - 11)]
+
+    for _, host, blocks in read:
+        body = "\n".join(t for t, s in blocks if s != ht.DROPPED)
+        for t, state in blocks:
+            for _, key in keys(t, state):
+                found.setdefault((host, key), []).append((body, state == ht.CLEAR))
+    out = {}
+    for i, host, blocks in read:
+        own = any(s == ht.CLEAR for _, s in blocks)
+        n = 0
+        for t, state in blocks:
+            gone = set()
+            for at, key in keys(t, state):
+                if len({body for body, prose in found[host, key] if own or not prose}) > 1:
+                    gone |= set(range(at, at + len(key) - (key[0] is None)))
+            n += len(gone)
+        out[i] = n
+    return out
+
+
+def test_hosts_without_open_text_are_searched_too(spark):
+    shared = "Every page of this shop carries the very same long sentence about its owner and its terms"
+    page = "<body><nav><ul><li>Home</li></ul></nav><article><p>Page {} says {} things</p><p>{}</p></article><footer>foot {}</footer></body>"
+    rows = [(i, "http://a.example/x", page.format(i, i * 7, shared, i)) for i in range(4)]
+    rows += [(9, "http://b.example/x", page.format(9, 63, shared, 9)), (10, "http://b.example/y", page.format(9, 63, shared, 9))]
+    got = {r.page_id: r for r in ht.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    words = len(shared.split()) + 1
+    assert {i: r.n_repeated for i, r in got.items()} == {0: words + 2, 1: words + 2, 2: words + 2, 3: words + 2, 9: 0, 10: 0}  # and Home
+    assert all(r.text == f"Page {min(i, 9)} says {min(i, 9) * 7} things\n{shared}" for i, r in got.items())
+
+
+def test_repeats_of_all_pages_equal_brute_force(spark):
+    import random
+
+    rnd = random.Random(8)
+    say = lambda n: " ".join(rnd.choices("abcdefgh", k=n))
+    lines = [say(n) for n in (1, 2, 10, 11, 12, 13, 30, 200)]
+    rows = []
+    for i in range(120):
+        parts = [rnd.choice([rnd.choice(lines), say(rnd.randint(1, 40)), "same here"]) for _ in range(rnd.randint(0, 6))]
+        kinds = [rnd.choice(["<article><p>{}</p></article>", "<article><p>{}</p></article>", "<div>{}</div>", "<nav>{}</nav>"]) for _ in parts]
+        html = "<body>" + "".join(k.format(p) for k, p in zip(kinds, parts)) + "</body>"
+        rows.append((i, rnd.choice(["http://a.example/1", "http://a.example/2", "http://b.example/", None]), rnd.choice([html, html, html, None])))
+    rows += [(1000 + i, u, h) for i, (_, u, h) in enumerate(rows[::3])]  # whole pages again, some on their own host
+    rows += [(2000, "http://a.example/3", "<body>" + "<div>x</div>" * 3000 + f"<p>{say(5000)}</p></body>")]
+    want, text = brute_repeated(rows), brute_open_text(rows)
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for parts in (1, 7):
+        got = {r.page_id: (r.text, r.n_repeated) for r in ht.extract(pages.repartition(parts, "page_id")).collect()}
+        assert got == {i: (text[i], want[i]) for i in want}
+
+
+def test_names_of_tokens():
+    import numpy as np
+
+    texts = ["a b a", "b", "ü " * 3 + "a", "word " * 300_000 + "a"]
+    names, ends = ht.token_names(texts)
+    tokens = [w for t in texts for w in (*t.split(), "\n")]
+    assert len(names) == len(tokens) and len(set(zip(tokens, names.tolist()))) == len(set(tokens)) == len(set(names.tolist()))
+    assert ends.tolist() == [4, 6, 11, len(tokens)]
+    for values in ([], [0], [255, 256], [1 << 63, 5]):
+        assert ht.unpacked(ht.packed(np.array(values, np.uint64))).tolist() == values
